@@ -4,7 +4,8 @@ Vectors are quantised to floor(256 * x). Largest inner product becomes nearest n
 sqrt(M^2 - |c|^2) on the data side, M being the largest norm. PIVOTS data vectors (those with the smallest hash of
 their id) cut the space in cells. One pass gives each row its cell and distance to the pivot; a small summary per
 cell (rows, and its k + 1 smallest distances) bounds, per query cell, how far the k-th neighbour can be; by the
-triangle inequality a data row is sent only to the query cells whose bound it can beat. Cells are solved locally by
+triangle inequality a data row is sent only to the query cells whose bound it can beat, once for each group of
+neighbouring cells that together hold about CHUNK queries. Groups are solved locally by
 integer products, in blocks: rows of a cell are dealt over blocks of about BLOCK rows and its queries over chunks of
 CHUNK, so neither a common vector nor a large cell lands in one task, and the blocks' best k are merged by a window.
 
@@ -77,23 +78,35 @@ def voronoi_topk(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int =
     summary = kept.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 1).select("s_cell", "s_dist").collect()  # pivots x (k + 1)
     spread = {r.r_cell: (r.u, r.n) for r in kept.where("q").groupBy("r_cell").agg(F.max("r_dist").alias("u"), F.count(F.lit(1)).alias("n")).collect()}  # pivots rows
     apart = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(2)) if len(points) else np.zeros((0, 0))
-    slack, reach = 1e-6 * (1 + float(top) ** 0.5), []
-    for cell, (u, n) in sorted(spread.items()):
-        upper = sorted(u + apart[cell, s.s_cell] + s.s_dist for s in summary)[: k + 1]
+    slack, want, group = 1e-6 * (1 + float(top) ** 0.5), {}, 0
+    held, rest, at = 0, set(spread), None
+    while rest:  # neighbouring query cells share a group of about CHUNK queries, so that data is sent once for all
+        at = min(rest, key=lambda c: (0.0 if at is None else apart[at, c], c))
+        rest.discard(at)
+        u, n = spread[at]
+        if held and held + n > CHUNK:
+            group, held = group + 1, 0
+        held += n
+        upper = sorted(u + apart[at, s.s_cell] + s.s_dist for s in summary)[: k + 1]
         bound = upper[k] if len(upper) > k else float("inf")  # k + 1: one may be the query itself
         for other in range(len(points)):
-            low = max(0.0, apart[cell, other] - u - bound - slack)  # nearer to its pivot than this: out of reach
-            high = apart[cell, other] + u + bound + slack
-            reach.append((int(other), int(cell), float(low), float(high), int(n)))
+            low = max(0.0, apart[at, other] - u - bound - slack)  # nearer to its pivot than this: out of reach
+            high = apart[at, other] + u + bound + slack
+            old = want.get((other, group), (low, high))
+            want[other, group] = min(old[0], low), max(old[1], high)
+        spread[at] = (u, n, group)
     spark = vectors.sparkSession
-    reached = spark.createDataFrame(reach, "s_cell int, cell int, low double, high double, n_queries long")  # at most pivots^2 rows
-    chunks = lambda n: F.greatest(F.lit(1), F.ceil(n / CHUNK)).cast("int")
+    grouped = spark.createDataFrame([(int(c), int(x[2])) for c, x in spread.items()], "r_cell int, cell int")  # at most ``pivots`` rows
+    reached = spark.createDataFrame([(int(o), int(g), float(lo), float(hi)) for (o, g), (lo, hi) in want.items()], "s_cell int, cell int, low double, high double")  # at most pivots^2 rows
+    queries: dict[int, int] = {}
+    for _, n, g in spread.values():
+        queries[g] = queries.get(g, 0) + n
     sent = kept.join(F.broadcast(reached), "s_cell").where("s_dist between low and high")
     sizes = {r.cell: r.n for r in sent.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # pivots rows
-    cells = spark.createDataFrame([(c, max(1, -(-n // BLOCK)), max(1, -(-spread[c][1] // CHUNK))) for c, n in sizes.items()], "cell int, blocks int, chunks int")
+    cells = spark.createDataFrame([(c, max(1, -(-n // BLOCK)), max(1, -(-queries[c] // CHUNK))) for c, n in sizes.items()], "cell int, blocks int, chunks int")
     deal = lambda i, n: F.pmod(F.xxhash64(i), n).cast("int")
     data = sent.select("cell", "vec_id", "v").join(F.broadcast(cells), "cell").select("cell", deal("vec_id", F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "vec_id", "v")
-    asked = kept.where("q").select(F.col("r_cell").alias("cell"), F.col("vec_id").alias("query_id"), F.col("v").alias("w")).join(F.broadcast(cells), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), deal("query_id", F.col("chunks")).alias("chunk"), "query_id", "w")
+    asked = kept.where("q").join(F.broadcast(grouped), "r_cell").select("cell", F.col("vec_id").alias("query_id"), F.col("v").alias("w")).join(F.broadcast(cells), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), deal("query_id", F.col("chunks")).alias("chunk"), "query_id", "w")
 
     def solve(asked: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
