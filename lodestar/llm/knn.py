@@ -54,7 +54,7 @@ def voronoi_topk(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int =
     rows = rows.where(F.size("v") == width)
     norm2 = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
     top = rows.agg(F.max(norm2)).first()[0] or 0
-    points = np.array([r.v for r in chosen if len(r.v) == width], dtype=np.float64).reshape(-1, width)
+    points = np.array([r.v for r in chosen if len(r.v) == width], dtype=np.float64).reshape(-1, max(width, 1))
     points = np.hstack([points, np.sqrt(np.maximum(top - (points**2).sum(1), 0))[:, None]])
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

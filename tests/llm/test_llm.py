@@ -190,7 +190,7 @@ def test_secret_scan(spark, odd, none):
     assert red == {1: 'token = "[SECRET]" end', 2: "[SECRET]", 3: rows[2][1], 4: None, 5: ""}
     assert {r.doc_id for r in secret_scan.scan(df, forest, words).where("is_secret").collect()} == {1, 2}
     assert secret_scan.scan(none, forest, words).count() == 0 and secret_scan.redact(odd, forest, words).count() == odd.count()
-    assert len(secret_scan.fitted(none)[0].trees) == 1
+    assert len(secret_scan.train(secret_scan.rule_labels(secret_scan.findings(none, []))).trees) == 1
 
 
 def test_topk(spark):
