@@ -1,6 +1,294 @@
-"""The registered queries and their DuckDB SQL."""
+"""The registered queries, each over whole tables, and their DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestar.functions.text import citation_refs, normalize_name, slugify
+from lodestar.operators import evidence, graph, search
+from lodestar.sources.tables import entities, node, relations, table
+from lodestar.streaming import limits
+
+RANK_STEPS = 5
+
+
+def _docs(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def _asked(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+def _vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def _events(spark, sf):
+    return table(spark, sf, "events").select("event_id", "ts", F.col("user_id").alias("key"), F.col("event_type").alias("kind"), "value")
+
+
+def _graph(spark, sf):
+    nodes = entities(spark, sf)
+    return nodes, graph.merge_relations(relations(spark, sf), nodes)
+
+
+def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return search.bm25(_docs(spark, sf), _asked(spark, sf), 12)
+
+
+def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
+    v = _vectors(spark, sf)
+    return search.vector_topk(v, v.where("id % 50 = 0").withColumnRenamed("id", "qid"), 12, 0.5)
+
+
+def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    """Full text of benchmark item q over documents, and vector q over vectors, taken as one id space."""
+    v, asked = _vectors(spark, sf), _asked(spark, sf)
+    dense = search.vector_topk(v, v.join(asked.select(F.col("qid").alias("id")), "id").withColumnRenamed("id", "qid"), 12, 0.5)
+    lists = bm25_topk(spark, sf).select("qid", "id", "rank").unionByName(dense.select("qid", "id", "rank"))
+    return search.top(search.rrf(lists), 12)
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    return rrf_fusion(spark, sf)
+
+
+def relation_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return _graph(spark, sf)[1].groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs"))
+
+
+def entity_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of one name are one skill: first brand, all types as aliases, longest container text."""
+    p = table(spark, sf, "part").select(slugify(F.col("p_name")).alias("id"), F.lit("Skill").alias("type"), F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.array("p_type", "p_name").alias("aliases"), F.when(F.col("p_size") > 25, F.col("p_brand")).alias("url"), F.array("p_brand").alias("sources"), F.col("p_partkey").alias("seq"))
+    m = graph.merge_entities(p)
+    return m.select("id", "name", "description", F.array_join("aliases", "|").alias("aliases"), "url", F.array_join("sources", "|").alias("sources"), "seq")
+
+
+def type_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return entities(spark, sf).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def degree(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.degree(_graph(spark, sf)[1])
+
+
+def neighbors(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.neighbors(_graph(spark, sf)[1])
+
+
+def induced_subgraph(spark: SparkSession, sf: str) -> DataFrame:
+    """For each customer nation: its customers and their orders, and the edges among them."""
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("qid"))
+    o = table(spark, sf, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select("qid", node("project:o", "o_orderkey").alias("id"))
+    return graph.induced(_graph(spark, sf)[1], o.unionByName(c.select("qid", node("role:c", "c_custkey").alias("id"))))
+
+
+def match_path(spark: SparkSession, sf: str) -> DataFrame:
+    """Region - customer - order, counted by region and customer."""
+    return graph.match_path(_graph(spark, sf)[1], ["HELD_ROLE", "DELIVERED"]).groupBy("n0", "n1").agg(F.count(F.lit(1)).alias("n"))
+
+
+def global_pagerank(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = _graph(spark, sf)
+    nodes, edges = nodes.where("type in ('Role', 'Project')"), edges.where("type = 'DELIVERED'")
+    walk = graph.cut(graph.transitions(edges, nodes))
+    seeds = nodes.select(F.lit("all").alias("qid"), "id", F.lit(1.0).alias("weight"))
+    ranks = graph.pagerank(walk, nodes, seeds, 0.85, RANK_STEPS, 0.0)
+    n = nodes.count()
+    return ranks.select("id", F.round(F.col("rank") * n, 4).alias("scaled_rank"))
+
+
+def ppr_k_iters(spark: SparkSession, sf: str) -> DataFrame:
+    """Personalised PageRank from the first customer of each nation, a fixed number of steps."""
+    nodes, edges = _graph(spark, sf)
+    walk = graph.cut(graph.transitions(edges.where("type in ('DELIVERED', 'USES', 'IN_DOMAIN')"), nodes))
+    first = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("k"))
+    seeds = first.select(F.col("c_nationkey").alias("qid"), node("role:c", "k").alias("id"), F.lit(1.0).alias("weight"))
+    return graph.pagerank(walk, nodes, seeds, 0.5, RANK_STEPS, 0.0).select("qid", "id", F.round("rank", 6).alias("rank"))
+
+
+def shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """From each supplier to the first customer of the next nation; suppliers and customers meet in nations."""
+    nodes, edges = _graph(spark, sf)
+    first = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("k"))
+    pairs = table(spark, sf, "supplier").join(first, F.col("s_nationkey") == F.col("c_nationkey")).select(node("org:s", "s_suppkey").alias("source"), node("role:c", "k").alias("target"))
+    return graph.shortest_paths(edges.where("type in ('LOCATED_IN', 'HELD_ROLE')"), nodes, pairs).select("source", "target", (F.size("path") - 1).alias("hops"))
+
+
+def skill_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem")  # noqa: E741
+    newest = F.lit("1998-12-31").cast("date")
+    roles = o.groupBy("o_custkey").agg(F.min("o_orderdate").cast("date").alias("start"), F.max("o_orderdate").cast("date").alias("end")).select(F.col("o_custkey").alias("id"), "start", "end", (F.year("end") >= 1998).alias("current"))
+    sold = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("source"), F.col("l_partkey").alias("skill"))
+    used = l.select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("skill"))
+    skills = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") <= 10).alias("listed"), (F.col("p_retailprice") > F.avg("p_retailprice").over(Window.partitionBy("p_type"))).alias("verified"))
+    return evidence.skill_evidence(roles, sold, used, skills, newest)
+
+
+def type_share(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.shares(table(spark, sf, "part").select("p_brand", "p_type", F.col("p_size").cast("long").alias("p_size")), "p_brand", "p_type", "p_size")
+
+
+def fit_score(spark: SparkSession, sf: str) -> DataFrame:
+    o, l, p = table(spark, sf, "orders"), table(spark, sf, "lineitem"), table(spark, sf, "part")  # noqa: E741
+    flags = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("job_id"), "l_partkey").agg(F.min("l_returnflag").alias("flag"))
+    first = flags.withColumn("idx", F.row_number().over(Window.partitionBy("job_id").orderBy("l_partkey"))).where("idx <= 12")
+    req = first.join(p, F.col("l_partkey") == F.col("p_partkey")).select("job_id", "idx", F.when(F.col("p_size") > 25, "must").otherwise("nice").alias("importance"))
+    status = F.when(F.col("flag") == "N", "strong").when(F.col("flag") == "A", "partial").when(F.col("flag") == "R", "transferable")
+    return evidence.fit_score(req, first.select("job_id", "idx", status.alias("status")))
+
+
+def citations(spark: SparkSession, sf: str) -> DataFrame:
+    l = table(spark, sf, "lineitem")  # noqa: E741
+    text = F.concat(F.lit("x ["), F.col("l_linenumber"), F.lit("] y ["), F.col("l_linenumber"), F.lit("-"), F.col("l_linenumber") + F.col("l_suppkey") % 20, F.lit("] z [9](u)"))
+    return l.select("l_orderkey", "l_linenumber", F.array_join(citation_refs(text), ",").alias("refs"))
+
+
+def normalize_names(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.substring(normalize_name(F.regexp_replace("text", r"[^A-Za-zà-öø-ÿÀ-ÖØ-Þ0-9+#]", "")), 1, 200).alias("name"))
+
+
+def entity_link(spark: SparkSession, sf: str) -> DataFrame:
+    """Part names, some plural, to the first part whose normalised name is equal, or is after the s goes."""
+    p = table(spark, sf, "part")
+    index = p.select(normalize_name(F.col("p_name")).alias("k"), "p_partkey").groupBy("k").agg(F.min("p_partkey").alias("first"))
+    asked = p.select("p_partkey", normalize_name(F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit("s"))).otherwise(F.col("p_name"))).alias("q"))
+    tries = asked.select("p_partkey", F.posexplode(F.array(F.col("q"), F.concat("q", F.lit("s")), F.when((F.length("q") > 3) & F.col("q").endswith("s"), F.expr("substring(q, 1, length(q) - 1)")))).alias("priority", "k"))
+    return tries.join(index, "k").groupBy("p_partkey").agg(F.min_by("first", "priority").alias("linked"))
+
+
+def name_search(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), normalize_name(F.col("p_name")).alias("label"))
+    asked = p.groupBy(F.substring("label", 1, 4).alias("q")).agg(F.min("id").alias("qid"))
+    return search.name_search(p, asked).select("qid", "id", "rank")
+
+
+def history_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Last six turns of each conversation, 200 letters each."""
+    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    last = table(spark, sf, "conversations").withColumn("_n", F.row_number().over(w)).where("_n <= 6")
+    line = F.concat("role", F.lit(": "), F.substring("text", 1, 200))
+    return last.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x.l), "\n").alias("history"))
+
+
+def block_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return limits.block_ids(_events(spark, sf))
+
+
+def heartbeat(spark: SparkSession, sf: str) -> DataFrame:
+    found = limits.heartbeats(_events(spark, sf), 86_400)
+    return found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.unix_seconds("at")).alias("last"))
+
+
+def red_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    e = _events(spark, sf).select("ts", F.col("kind").alias("route"), (F.col("value") / 100).alias("latency"), (F.col("kind") == "error").alias("failed"))
+    return limits.red_metrics(e, 1440).withColumn("start", F.unix_seconds(F.col("start").cast("timestamp")))
+
+
+def daily_budget(spark: SparkSession, sf: str) -> DataFrame:
+    return limits.daily_use(_events(spark, sf).withColumn("cost", F.when(F.col("kind") == "purchase", 3).otherwise(1)), 4)
+
+
+QUERIES = {f.__name__: f for f in (rrf_fusion, bm25_topk, vector_topk, relation_dedup, entity_merge, type_counts, degree, neighbors, induced_subgraph, match_path, global_pagerank, ppr_k_iters, shortest_paths, skill_evidence, type_share, fit_score, citations, normalize_names, entity_link, name_search, history_window, block_ids, heartbeat, red_metrics, daily_budget)}
+
+_SLUG = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+_EDGES = f"""edges AS (
+ SELECT 'role:c' || o_custkey AS source, 'DELIVERED' AS type, 'project:o' || o_orderkey AS target, min(o_orderkey) AS seq FROM orders GROUP BY 1, 2, 3
+ UNION ALL SELECT 'project:o' || l_orderkey, 'USES', 'skill:p' || l_partkey, min(l_orderkey * 10 + l_linenumber) FROM lineitem GROUP BY 1, 2, 3
+ UNION ALL SELECT 'role:c' || o_custkey, 'USED', 'skill:p' || l_partkey, min(l_orderkey * 10 + l_linenumber) FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3
+ UNION ALL SELECT 'person:r' || n_regionkey, 'HELD_ROLE', 'role:c' || c_custkey, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey
+ UNION ALL SELECT 'skill:p' || p_partkey, 'IN_DOMAIN', 'domain:' || {_SLUG.format('p_type')}, p_partkey FROM part
+ UNION ALL SELECT 'role:c' || c_custkey, 'LOCATED_IN', 'loc:n' || c_nationkey, c_custkey FROM customer
+ UNION ALL SELECT 'org:s' || s_suppkey, 'LOCATED_IN', 'loc:n' || s_nationkey, s_suppkey FROM supplier)"""
+_BM25 = """
+terms AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_.+#-]+') AS t FROM documents),
+stats AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM terms),
+asked AS (SELECT qid, unnest(list_slice(ts, 1, 24)) AS term FROM (
+  SELECT item_id AS qid, list_distinct_in_order AS ts FROM (
+   SELECT item_id, (SELECT list(x ORDER BY p) FROM (SELECT x, min(p) AS p FROM (SELECT unnest(f) AS x, generate_subscripts(f, 1) AS p) GROUP BY x)) AS list_distinct_in_order
+   FROM (SELECT item_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_.+#-]+'), lambda x: len(x) >= 2 AND x NOT IN (STOPWORDS)) AS f FROM benchmark)))),
+postings AS (SELECT term, id, len, count(*) AS tf FROM (SELECT id, len(t) AS len, unnest(t) AS term FROM terms) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+weights AS (SELECT term, id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)) AS w FROM postings JOIN dfs USING (term), stats),
+scored AS (SELECT qid, id, round(sum(w), 6) AS score FROM asked JOIN weights USING (term) GROUP BY ALL),
+sparse AS (SELECT * FROM (SELECT qid, id, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1)::INT AS rank FROM scored) WHERE rank < 12)"""
+_DENSE = """
+pairs AS (SELECT q.vec_id AS qid, v.vec_id AS id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE QUERY),
+dense AS (SELECT * FROM (SELECT qid, id, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1)::INT AS rank FROM pairs WHERE (1 + score) / 2 >= 0.5) WHERE rank < 12)"""
+
+
+def _oracles() -> dict[str, str]:
+    from lodestar.functions.text import STOP
+
+    bm25 = _BM25.replace("STOPWORDS", ", ".join(f"'{w}'" for w in STOP))
+    dense = lambda where: _DENSE.replace("QUERY", where)
+    walk = lambda kinds, weight: f"both_ways AS (SELECT source, target, {weight} AS w FROM edges WHERE type IN ({kinds}) UNION ALL SELECT target, source, {weight} FROM edges WHERE type IN ({kinds})), flat AS (SELECT source, target, sum(w) AS w FROM both_ways GROUP BY ALL), walk AS (SELECT source, target, w / sum(w) OVER (PARTITION BY source) AS p FROM flat)"
+
+    def steps(d: float) -> str:
+        out = ["r0 AS (SELECT qid, id, r AS rank FROM restart)"]
+        for i in range(1, RANK_STEPS + 1):
+            a = f"r{i - 1}"
+            out.append(
+                f"r{i} AS (SELECT qid, id, sum(x) AS rank FROM (SELECT {a}.qid, target AS id, {d} * rank * p AS x FROM {a} JOIN walk ON {a}.id = walk.source"
+                f" UNION ALL SELECT restart.qid, restart.id, r * ({1 - d} + {d} * coalesce((SELECT sum(rank) FROM {a} WHERE {a}.qid = restart.qid AND {a}.id NOT IN (SELECT source FROM walk)), 0)) FROM restart) GROUP BY ALL)"
+            )
+        return ",\n".join(out)
+
+    fold = "regexp_replace(lower(strip_accents({0})), '[^a-z0-9+#]', '', 'g')"
+    norm = lambda c: f"replace(replace({fold.format(c)}, '++', 'pp'), '#', 'sharp')"
+    buckets = ", ".join(f"count(*) FILTER (WHERE value / 100 <= {b}) AS le_{str(b).replace('.', '_')}" for b in limits.BOUNDS)
+    return {
+        "bm25_topk": f"WITH {bm25} SELECT qid, id, score, rank FROM sparse",
+        "vector_topk": f"WITH {dense('q.vec_id % 50 = 0')} SELECT qid, id, score, rank FROM dense",
+        "rrf_fusion": f"""WITH {bm25}, {dense('q.vec_id IN (SELECT item_id FROM benchmark)')},
+fused AS (SELECT qid, id, round(sum(1.0::DOUBLE / (61 + rank)), 9) AS score FROM (SELECT qid, id, rank FROM sparse UNION ALL SELECT qid, id, rank FROM dense) GROUP BY ALL)
+SELECT * FROM (SELECT qid, id, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1)::INT AS rank FROM fused) WHERE rank < 12""",
+        "relation_dedup": f"WITH {_EDGES} SELECT type, count(*) AS n, sum(seq)::BIGINT AS seqs FROM edges GROUP BY type",
+        "entity_merge": f"""SELECT {_SLUG.format('p_name')} AS id, arg_min(p_name, p_partkey) AS name, arg_max(p_type, (len(p_type), -p_partkey)) AS description,
+ array_to_string(list_sort(list_filter(list_distinct(list(p_type)), lambda x: x <> arg_min(p_name, p_partkey))), '|') AS aliases,
+ arg_min(p_brand, p_partkey) FILTER (WHERE p_size > 25) AS url, array_to_string(list_sort(list_distinct(list(p_brand))), '|') AS sources, min(p_partkey) AS seq FROM part GROUP BY 1""",
+        "type_counts": "SELECT 'Person' AS type, count(*) AS n FROM region UNION ALL SELECT 'Role', count(*) FROM customer UNION ALL SELECT 'Project', count(*) FROM orders UNION ALL SELECT 'Skill', count(*) FROM part UNION ALL SELECT 'Organization', count(*) FROM supplier UNION ALL SELECT 'Location', count(*) FROM nation UNION ALL SELECT 'Domain', count(DISTINCT p_type) FROM part",
+        "degree": f"WITH {_EDGES} SELECT id, count(*) AS degree FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id",
+        "neighbors": f"WITH {_EDGES} SELECT source AS id, type, 'out' AS direction, target AS other FROM edges UNION ALL SELECT target, type, 'in', source FROM edges",
+        "induced_subgraph": "SELECT c_nationkey AS qid, 'role:c' || c_custkey AS source, 'DELIVERED' AS type, 'project:o' || o_orderkey AS target FROM orders JOIN customer ON o_custkey = c_custkey",
+        "match_path": "SELECT 'person:r' || n_regionkey AS n0, 'role:c' || c_custkey AS n1, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2",
+        "global_pagerank": f"""WITH {_EDGES}, {walk("'DELIVERED'", '1.0::DOUBLE')}, nodes AS (SELECT 'role:c' || c_custkey AS id FROM customer UNION ALL SELECT 'project:o' || o_orderkey FROM orders),
+restart AS (SELECT 'all' AS qid, id, 1.0::DOUBLE / count(*) OVER () AS r FROM nodes), {steps(0.85)}
+SELECT id, round(rank * (SELECT count(*) FROM nodes), 4) AS scaled_rank FROM r{RANK_STEPS}""",
+        "ppr_k_iters": f"""WITH {_EDGES}, {walk("'DELIVERED', 'USES', 'IN_DOMAIN'", "CASE WHEN type = 'IN_DOMAIN' THEN 0.35::DOUBLE ELSE 1.0::DOUBLE END")},
+restart AS (SELECT c_nationkey AS qid, 'role:c' || min(c_custkey) AS id, 1.0::DOUBLE AS r FROM customer GROUP BY 1), {steps(0.5)}
+SELECT qid, id, round(rank, 6) AS rank FROM r{RANK_STEPS}""",
+        "shortest_paths": "SELECT 'org:s' || s_suppkey AS source, 'role:c' || k AS target, 2 AS hops FROM supplier JOIN (SELECT c_nationkey, min(c_custkey) AS k FROM customer GROUP BY 1) ON s_nationkey = c_nationkey",
+        "skill_evidence": """WITH roles AS (SELECT o_custkey AS id, min(o_orderdate)::DATE AS s, max(o_orderdate)::DATE AS e FROM orders GROUP BY 1),
+spent AS (SELECT id, e, greatest(0.1, year(e) - year(s) + (month(e) - month(s) + 1) / 12) AS y FROM roles),
+r AS (SELECT l_partkey AS k, sum(0.35 + 0.1 * least(y, 4)) AS r, count(*) AS n, sum(y) AS years, max(strftime(e, '%Y-%m')) AS last, bool_or(year(e) >= 1998) AS now
+ FROM (SELECT DISTINCT o_custkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey) JOIN spent ON o_custkey = id GROUP BY 1),
+p AS (SELECT l_partkey AS k, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1),
+skills AS (SELECT p_partkey AS id, p_size <= 10 AS listed, p_retailprice > avg(p_retailprice) OVER (PARTITION BY p_type) AS verified FROM part),
+s AS (SELECT id, coalesce(r.r, 0) + least(0.45, 0.15 * coalesce(p.n, 0)) + CASE WHEN listed THEN 0.12 ELSE 0 END + CASE WHEN verified THEN 0.08 ELSE 0 END AS x, coalesce(r.n, 0) + coalesce(p.n, 0) AS evidence, years, now, last
+ FROM skills LEFT JOIN r ON id = r.k LEFT JOIN p ON id = p.k)
+SELECT id, round(round(least(1, x), 6), 2) AS strength, evidence, round(round(coalesce(years, 0), 6), 1) AS years, CASE WHEN now THEN 'present' ELSE last END AS last_used FROM s WHERE x > 0""",
+        "type_share": "SELECT * FROM (SELECT p_brand, p_type, sum(p_size)::BIGINT AS size, round(sum(p_size) / sum(sum(p_size)) OVER (PARTITION BY p_brand), 6) AS share FROM part GROUP BY 1, 2) WHERE share >= 0.05",
+        "fit_score": """WITH f AS (SELECT o_custkey AS job_id, l_partkey, min(l_returnflag) AS flag FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+q AS (SELECT job_id, flag, p_size > 25 AS must FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY l_partkey) AS i FROM f) JOIN part ON l_partkey = p_partkey WHERE i <= 12)
+SELECT job_id, round_even(100 * sum((CASE WHEN must THEN 2 ELSE 1 END) * CASE flag WHEN 'N' THEN 1 WHEN 'A' THEN 0.6::DOUBLE WHEN 'R' THEN 0.35::DOUBLE ELSE 0 END) / sum(CASE WHEN must THEN 2 ELSE 1 END), 0)::BIGINT AS percent,
+ count(*) FILTER (WHERE flag = 'N') AS strong, count(*) FILTER (WHERE flag = 'A') AS partial, count(*) FILTER (WHERE flag = 'R') AS transferable, count(*) FILTER (WHERE flag NOT IN ('N', 'A', 'R')) AS gap,
+ count(*) FILTER (WHERE flag NOT IN ('N', 'A', 'R') AND must) AS must_have_gaps FROM q GROUP BY 1""",
+        "citations": "SELECT l_orderkey, l_linenumber, array_to_string(CASE WHEN l_suppkey % 20 <= 12 THEN generate_series(l_linenumber, l_linenumber + l_suppkey % 20) ELSE [l_linenumber, l_linenumber + l_suppkey % 20] END, ',') AS refs FROM lineitem",
+        "normalize_names": f"SELECT doc_id, substring({norm(chr(34) + 't' + chr(34))}, 1, 200) AS name FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-zà-öø-ÿÀ-ÖØ-Þ0-9+#]', '', 'g') AS t FROM documents)",
+        "entity_link": f"""WITH i AS (SELECT {norm('p_name')} AS k, min(p_partkey) AS f FROM part GROUP BY 1), a AS (SELECT p_partkey, {norm("CASE WHEN p_partkey % 2 = 0 THEN p_name || 's' ELSE p_name END")} AS q FROM part),
+t AS (SELECT p_partkey, 0 AS pr, q AS k FROM a UNION ALL SELECT p_partkey, 1, q || 's' FROM a UNION ALL SELECT p_partkey, 2, left(q, -1) FROM a WHERE len(q) > 3 AND q LIKE '%s')
+SELECT p_partkey, arg_min(f, pr) AS linked FROM t JOIN i USING (k) GROUP BY 1""",
+        "name_search": f"""WITH p AS (SELECT p_partkey AS id, {norm('p_name')} AS label FROM part), a AS (SELECT left(label, 4) AS q, min(id) AS qid FROM p GROUP BY 1)
+SELECT * FROM (SELECT qid, id, (row_number() OVER (PARTITION BY qid ORDER BY id) - 1)::INT AS rank FROM p JOIN a ON starts_with(label, q)) WHERE rank < 12""",
+        "history_window": "SELECT conv_id, string_agg(role || ': ' || substring(text, 1, 200), chr(10) ORDER BY turn) AS history FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 6 GROUP BY 1",
+        "block_ids": "SELECT event_id, key, sum(n) OVER (PARTITION BY key ORDER BY ts, event_id)::BIGINT AS block FROM (SELECT event_id, ts, user_id AS key, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS n FROM events)",
+        "heartbeat": "WITH g AS (SELECT user_id AS key, epoch_us(ts) AS t, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS x FROM events), b AS (SELECT key, t, (x - t - 1) // 86400000000 AS n FROM g WHERE x IS NOT NULL) SELECT key, sum(n)::BIGINT AS n, max((t + n * 86400000000) // 1000000)::BIGINT AS last FROM b WHERE n > 0 GROUP BY 1",
+        "red_metrics": f"SELECT epoch(time_bucket(INTERVAL 1 DAY, ts))::BIGINT AS start, event_type AS route, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors, {buckets} FROM events GROUP BY 1, 2",
+        "daily_budget": "SELECT event_id, key, used, used <= 4 AS accepted FROM (SELECT event_id, user_id AS key, sum(CASE WHEN event_type = 'purchase' THEN 3 ELSE 1 END) OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id)::BIGINT AS used FROM events)",
+    }
+
+
+ORACLES = _oracles()
