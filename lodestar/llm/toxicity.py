@@ -29,7 +29,7 @@ from .common import text_batches
 
 BITS, EMBED, FILTERS, WIDTHS, PREFIX = 14, 16, 8, (1, 2, 3), 4
 BUCKETS = 1 << BITS
-SAMPLE, EPOCHS, BATCH, RATE, SEED = 10_000, 6, 32, 4e-3, 11
+SAMPLE, EPOCHS, STEPS, BATCH, RATE, SEED = 10_000, 6, 1_400, 32, 4e-3, 11
 #: Words remembered with their bucket in a Python worker; then the memo starts anew.
 MEMO = 500_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -101,7 +101,7 @@ class TextCNN:
     def train(self, texts: list[np.ndarray], labels: np.ndarray) -> None:
         rng, params = np.random.default_rng(SEED), [self.embed, *self.taps, *self.bias, self.out, self.base]
         first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(texts)))):  # a small sample is gone over more often
             order = rng.permutation(len(texts))
             for k in range(0, len(order), BATCH):
                 rows = order[k : k + BATCH]
