@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, text_batches
 
-WINDOW, END, LANE_TOKENS, MEMO = 4096, 2, 1 << 20, 600_000
+WINDOW, END, LANE_TOKENS, MEMO = 4096, 2, 1 << 20, 1_500_000
 
 
 class Words:
@@ -43,21 +43,54 @@ class Words:
         self.end = np.array([END], self.dtype).tobytes()
         self.memo: dict[bytes, bytes] = {}
 
+        vocab = self.tokenizer.get_vocab()
+        #: Whether an id ends a word.
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Memoise the ids of new words, the plain ones many in one text: each is one run of ids up to a word's end."""
+        plain, other = [], []
+        for w in words:
+            (plain if (t := w.decode()).isalpha() and max(t) < "\u0100" else other).append(w)
+        for i in range(0, len(plain), 2048):
+            part = plain[i : i + 2048]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, self.dtype)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part) or stops[-1] != len(ids):
+                other += part
+                continue
+            data, size = ids.tobytes(), ids.itemsize
+            at = 0
+            for w, stop in zip(part, (stops * size).tolist()):
+                self.memo[w] = data[at:stop]
+                at = stop
+        for i in range(0, len(other), 2048):
+            part = other[i : i + 2048]
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            self.memo.update(zip(part, [np.array(e.ids, self.dtype).tobytes() for e in found]))
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text, with the end token."""
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
+        # the vocabulary is lower case; lowering A-Z first makes fewer words
+        split = [(t or "").encode("utf-8", "replace").lower().split() if "<|" not in (t or "") else (t or "").encode("utf-8", "replace").split() for t in texts]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
         memo = self.memo
-        new = list({w for words in split for w in words if w not in memo})
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list({w for words in split for w in words})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            memo.update(zip(part, [np.array(e.ids, self.dtype).tobytes() for e in found]))
+        new = {w for words in split for w in words if w not in memo}
+        if new:
+            # a mark after a letter or digit is a token of its own: such a word needs only its stem's ids
+            marked = [w for w in new if w[-1:] in _MARKS and w[-2:-1].isalnum()]
+            need = new.difference(marked)
+            need.update(w[:-1] for w in marked)
+            need.update(w[-1:] for w in marked)
+            self._learn([w for w in need if w not in memo])
+            for w in marked:
+                memo[w] = memo[w[:-1]] + memo[w[-1:]]
         return [b"".join([memo[w] for w in words]) + self.end for words in split]
 
 
+_MARKS = tuple(b"%c" % c for c in b".,;:!?")
 _LOADED: dict[str, Words] = {}
 
 
