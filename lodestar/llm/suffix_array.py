@@ -119,6 +119,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     k = int(t.max()) + 1
     if k > MOST_BUCKETS:
         return _by_doubling(t)
+    t = t.astype(np.uint16)  # so that dealing by letter is a radix sort
     smaller = _smaller(t)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     is_lms = np.zeros(n, bool)

@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import NO_ID, stored, text_batches
 from .suffix_array import common_prefixes, suffix_array
 
-LENGTH, K, SHARD, HOT = 100, 24, 1 << 21, 2_048
+LENGTH, K, SHARD = 100, 24, 1 << 21
+#: As many surroundings as a shard can hold.
+HOT = SHARD // (2 * LENGTH - K)
 CHUNK_BITS = 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xFF51AFD7ED558CCD))
 
