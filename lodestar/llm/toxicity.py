@@ -143,7 +143,7 @@ class TextCNN:
             w = p * (1 - p) + 1e-9
             g = np.array([((p - y) * x).sum() + (self.scale - 1), (p - y).sum() + self.shift])
             h = np.array([[(w * x * x).sum() + 1, (w * x).sum()], [(w * x).sum(), w.sum() + 1]])
-            d = np.linalg.solve(h, g)
+            d = np.clip(np.linalg.solve(h, g), -0.5, 0.5)  # full steps run away where the rows are separable
             self.scale, self.shift = self.scale - d[0], self.shift - d[1]
         score = self.scores(texts)
         for lang in [None, *sorted({x for x in langs if x})]:
