@@ -6,8 +6,12 @@ over the whole text is kept, and a logistic layer gives the score, calibrated (P
 in numpy from a bounded sample: the SAMPLE labelled rows with the smallest hash of their id, whole texts. A threshold
 for each language is chosen on the held-back rows; it decides the extra column ``toxic``, never the score.
 
+Words and first letters are hashed to 2^BITS buckets. Those seen in fewer than LEAST_TEXTS training texts get no
+embedding of their own: they would be learned by heart, and in a small sample they outnumber the rest. Of the others, the
+ROWS seen in most texts have one, which bounds the model (under 12 MB).
+
 A trained filter tap times the embedding table is a table by word, so scoring is a few look-ups and additions a word.
-Scoring needs no shuffle; the model is under 4 MB.
+Scoring needs no shuffle.
 
 Edge cases: null and empty texts, and texts without words, are scored as no words; very long texts are pooled whole;
 repeated rows score alike; labels that are null take no part; with no labels, or labels of one kind only, every score
@@ -27,9 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import text_batches
 
-BITS, EMBED, FILTERS, WIDTHS, PREFIX = 14, 16, 8, (1, 2, 3), 4
-BUCKETS = 1 << BITS
-SAMPLE, EPOCHS, STEPS, BATCH, RATE, SEED = 10_000, 6, 1_400, 32, 4e-3, 11
+BITS, EMBED, FILTERS, WIDTHS, PREFIX = 20, 16, 8, (1, 2, 3), 4
+BUCKETS, LEAST_TEXTS, ROWS = 1 << BITS, 4, 1 << 15
+SAMPLE, EPOCHS, STEPS, BATCH, RATE, DROP, START, SEED = 10_000, 6, 1_400, 32, 4e-3, 0.5, 0.02, 11
 #: Words remembered with their bucket in a Python worker; then the memo starts anew.
 MEMO = 500_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -48,13 +52,19 @@ def _buckets(text: str | None) -> np.ndarray:
                 whole, start = (1 + zlib.crc32(x.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) for x in (w, "^" + w[:PREFIX]))
                 _memo[w] = whole | start << BITS
         found = [_memo[w] for w in words]
-    return np.array([*found, 0, 0], dtype=np.int32)
+    return np.array([*found, 0, 0], dtype=np.int64)
 
 
 class TextCNN:
-    def __init__(self, seed: int = SEED):
-        rng = np.random.default_rng(seed)
-        self.embed = rng.normal(0, 0.1, (BUCKETS, EMBED)).astype(np.float32)
+    def __init__(self, texts: list[np.ndarray], seed: int = SEED):
+        """Untrained; ``texts`` (buckets by word) decide which buckets have a row of the embedding table."""
+        rng, seen = np.random.default_rng(seed), np.zeros(BUCKETS, np.int32)
+        for t in texts:
+            seen[np.unique([t & (BUCKETS - 1), t >> BITS])] += 1
+        seen[0] = 0
+        most = np.argsort(-seen, kind="stable")[: ROWS - 1]
+        self.kept = np.sort(most[seen[most] >= LEAST_TEXTS]).astype(np.int32)
+        self.embed = rng.normal(0, START, (len(self.kept) + 1, EMBED)).astype(np.float32)
         self.taps = [rng.normal(0, (1 / (EMBED * w)) ** 0.5, (w, EMBED, FILTERS)).astype(np.float32) for w in WIDTHS]
         self.bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
         self.out, self.base = rng.normal(0, 0.1, FILTERS * len(WIDTHS)).astype(np.float32), np.zeros(1, np.float32)
@@ -62,6 +72,15 @@ class TextCNN:
         self.embed[0] = 0
         self.tables: list[np.ndarray] | None = None
 
+    def rows(self, buckets: np.ndarray) -> np.ndarray:
+        """The same words by row of the embedding table; row 0 is padding and all rare words."""
+        word, start = buckets & (BUCKETS - 1), buckets >> BITS
+        if not len(self.kept):
+            return np.zeros(len(buckets), np.int64)
+        at = [np.minimum(np.searchsorted(self.kept, x), len(self.kept) - 1) for x in (word, start)]
+        word, start = (np.where(self.kept[i] == x, i + 1, 0) for i, x in zip(at, (word, start)))
+        return word | start << BITS
+
     def _projected(self) -> list[np.ndarray]:
         """For each width, the response of each tap by word bucket."""
         return [np.stack([self.embed @ tap for tap in taps]) for taps in self.taps]
@@ -89,7 +108,7 @@ class TextCNN:
             while j < len(texts) and (j == i or words + len(texts[j]) < 200_000):
                 words += len(texts[j])
                 j += 1
-            part = texts[i:j]
+            part = [self.rows(t) for t in texts[i:j]]
             starts = np.concatenate([[0], np.cumsum([len(t) for t in part])[:-1]])
             out[i:j] = self.pooled(self.tables, np.concatenate(part), starts) @ self.out + self.base
             i = j
@@ -99,17 +118,20 @@ class TextCNN:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(texts) + self.shift, -40, 40)))
 
     def train(self, texts: list[np.ndarray], labels: np.ndarray) -> None:
+        texts = [self.rows(t) for t in texts]
         rng, params = np.random.default_rng(SEED), [self.embed, *self.taps, *self.bias, self.out, self.base]
         first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
         for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(texts)))):  # a small sample is gone over more often
             order = rng.permutation(len(texts))
             for k in range(0, len(order), BATCH):
                 rows = order[k : k + BATCH]
+                # other words get to be the largest when some are left out
+                seen = {r: np.where(rng.random(len(texts[r])) < DROP, 0, texts[r]) for r in rows}
                 tables, grads, step = self._projected(), [np.zeros_like(p) for p in params], step + 1
                 at, best = [], []
                 for r in rows:  # where each filter responds most
                     for t in tables:
-                        resp = self._responses(t, texts[r])
+                        resp = self._responses(t, seen[r])
                         at.append(resp.argmax(0))
                         best.append(resp.max(0))
                 best = np.array(best).reshape(len(rows), -1) + np.concatenate(self.bias)
@@ -123,7 +145,7 @@ class TextCNN:
                     grads[1 + len(WIDTHS) + w] = own.sum(0)
                     where = np.array([at[i * len(WIDTHS) + w] for i in range(len(rows))])
                     for j in range(width):
-                        words = np.array([[texts[r][x] if (x := a + j) < len(texts[r]) else 0 for a in where[i]] for i, r in enumerate(rows)])
+                        words = np.array([[seen[r][x] if (x := a + j) < len(seen[r]) else 0 for a in where[i]] for i, r in enumerate(rows)])
                         for f in range(FILTERS):
                             for half in (words[:, f] & (BUCKETS - 1), words[:, f] >> BITS):
                                 grads[1 + w][j, :, f] += self.embed[half].T @ own[:, f]
@@ -159,9 +181,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
     """Trained from rows of labels where ``usable``; at most SAMPLE texts come to the driver."""
     few = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & usable).select("doc_id", F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id")).limit(SAMPLE)
     rows = docs.select("doc_id", "text", "lang").join(F.broadcast(few), "doc_id").orderBy(F.xxhash64("doc_id")).limit(SAMPLE).collect()
-    model, y = TextCNN(), np.array([float(r.y) for r in rows])
-    texts = [_buckets(r.text) for r in rows]
+    y, texts = np.array([float(r.y) for r in rows]), [_buckets(r.text) for r in rows]
     held = np.array([zlib.crc32(b"c%d" % r.doc_id) % 4 == 0 for r in rows], dtype=bool)
+    model = TextCNN([t for t, h in zip(texts, held) if not h])
     if len(set(y.tolist())) < 2:
         rate = float(y.mean()) if len(y) else 0.0
         model.out[:], model.shift = 0, float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)))
