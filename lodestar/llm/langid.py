@@ -7,7 +7,7 @@ short texts. A margin below ``min_margin`` (the relative gain of the best over t
 rejected.
 
 What is fitted is bounded: DICTS x DICT_BYTES of text a language, from the SAMPLE_DOCS labelled rows with the
-smallest hash of their id; per-language statistics play no part. The dictionaries (at most
+smallest hash of id and text, of the MAX_LANGUAGES commonest languages; per-language statistics play no part otherwise. The dictionaries (at most
 MAX_LANGUAGES x DICTS x DICT_BYTES = 12 MB) travel with the task. Every block of every text is scored.
 
 Edge cases: a null text, or one with no letter, is ``und`` with score 0 and rejected; ties go to the language that
@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, text_batches
+from .common import fold, hash_bound, text_batches
 
 DICTS, DICT_BYTES, SAMPLE_DOCS, MAX_LANGUAGES = 4, 32_768, 400, 96
 BLOCK, SHORT = 4_096, 600
@@ -37,10 +37,15 @@ _FRAME = 6
 
 def learn(docs: DataFrame) -> dict[str, list[bytes]]:
     """Dictionaries by language from rows with text and lang; only a bounded sample comes to the driver."""
-    few = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"))
+    usable = docs.where("lang is not null and text is not null and length(text) >= 40").select("doc_id", "lang", "text")
+    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    if not common:
+        return {}
+    order, few = F.xxhash64("doc_id", "text"), Window.partitionBy("lang").orderBy("_h")
+    bounds = F.create_map(*[F.lit(x) for r in common for x in (r.lang, hash_bound(SAMPLE_DOCS, r["count"]))])
     rows = (
-        docs.where("lang is not null and text is not null and length(text) >= 40")
-        .select("doc_id", "lang", "text")
+        usable.withColumn("_h", order)
+        .where(F.col("_h") <= bounds[F.col("lang")])  # about 2 x SAMPLE_DOCS rows a language, before they are dealt
         .withColumn("_n", F.row_number().over(few))
         .where(F.col("_n") <= SAMPLE_DOCS)
         .select("lang", "_n", F.substring("text", 1, 2 * DICTS * DICT_BYTES // SAMPLE_DOCS * 4).alias("text"))
@@ -51,7 +56,7 @@ def learn(docs: DataFrame) -> dict[str, list[bytes]]:
     for r in rows:
         own = parts.setdefault(r.lang, [[] for _ in range(DICTS)])
         own[r._n % DICTS].append(_prepared(r.text).encode("utf-8", "surrogatepass"))
-    return {lang: [b"\n".join(p)[-DICT_BYTES:] or b"\n" for p in own] for lang, own in sorted(parts.items())[:MAX_LANGUAGES]}
+    return {lang: [b"\n".join(p)[-DICT_BYTES:] or b"\n" for p in own] for lang, own in sorted(parts.items())}
 
 
 def _prepared(text: str) -> str:
