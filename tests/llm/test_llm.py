@@ -279,7 +279,7 @@ def test_bpe(odd, none):
     assert all(r.decoded == (r.text or "") for r in back)
 
 
-@pytest.mark.xfail(reason="known failure: sf0.1 has about 2,600 labelled rows to train on, and recall there is about 0.88, not 0.9")
+@pytest.mark.xfail(reason="borderline: sf0.1 has about 2,600 labelled rows to train on; recall there was 0.875 in a trial and above 0.9 in a run of this test")
 def test_toxicity(spark, odd, none):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     test = entry.fold("doc_id", 3) == 1
