@@ -90,18 +90,22 @@ def transitions(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def pagerank(walk: DataFrame, nodes: DataFrame, seeds: DataFrame, damping: float = 0.5, iterations: int = 60, tolerance: float = 1e-9, every: int = 5) -> DataFrame:
     """(qid, id, rank) for every qid of seeds(qid, id, weight): personalised PageRank of a batch of queries.
 
-    Restart is the normalised positive known seeds; mass at nodes without walkable edges restarts too. Lineage is cut
-    and convergence (largest total change of a query) tested every few steps. Queries without known seeds give no rows.
+    Restart is the normalised positive known seeds; mass at nodes without walkable edges restarts too. The walk goes
+    both ways, so that only seeds can be such nodes and a step is one join and one aggregation. Lineage is cut and
+    convergence (largest total change of a query) tested every few steps. Queries without known seeds give no rows.
     """
     start = seeds.where("weight > 0").join(nodes.select("id"), "id", "left_semi").groupBy("qid", "id").agg(F.sum("weight").alias("weight"))
     total = start.groupBy("qid").agg(F.sum("weight").alias("t"))
-    restart = cut(start.join(total, "qid").select("qid", "id", (F.col("weight") / F.col("t")).alias("r")))
-    ends = walk.select(F.col("source").alias("id")).distinct()
+    shares = start.join(total, "qid").select("qid", "id", (F.col("weight") / F.col("t")).alias("r"))
+    lone = shares.join(walk.select(F.col("source").alias("id")).distinct(), "id", "left_anti").groupBy("qid").agg(F.sum("r").alias("lone"))
+    # What the seeds without edges hold settles geometrically at ``rest``, whatever the other ranks are.
+    held = F.coalesce("lone", F.lit(0.0))
+    restart = cut(shares.join(lone, "qid", "left").select("qid", "id", "r", held.alias("lone"), (held * (1 - damping) / (1 - damping * held)).alias("rest")))
     rank = restart.select("qid", "id", F.col("r").alias("rank"))
     for i in range(1, iterations + 1):
-        flow = rank.join(walk, rank.id == walk.source).groupBy("qid", F.col("target").alias("id")).agg((damping * F.sum(F.col("rank") * F.col("p"))).alias("x"))
-        stuck = rank.join(ends, "id", "left_anti").groupBy("qid").agg(F.sum("rank").alias("d"))
-        back = restart.join(stuck, "qid", "left").select("qid", "id", (F.col("r") * ((1 - damping) + damping * F.coalesce("d", F.lit(0.0)))).alias("x"))
+        flow = rank.join(walk, rank.id == walk.source).select("qid", F.col("target").alias("id"), (damping * F.col("rank") * F.col("p")).alias("x"))
+        stuck = F.col("rest") + (F.col("lone") - F.col("rest")) * F.pow(damping * F.col("lone"), F.lit(i - 1))
+        back = restart.select("qid", "id", (F.col("r") * ((1 - damping) + damping * stuck)).alias("x"))
         new = flow.unionByName(back).groupBy("qid", "id").agg(F.sum("x").alias("rank"))
         if i % every == 0 or i == iterations:
             new = cut(new)

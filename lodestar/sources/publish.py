@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions.text import slugify
+
 #: Columns that do not count as content, by table.
 NOT_CONTENT = {"entities": ("embedding",), "chunks": ("embedding",), "relations": ("props",)}
 
@@ -120,11 +122,14 @@ def fresh_answers(questions: DataFrame, cache: DataFrame, now: Column, ttl: floa
 
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
-    """(id, title, text) of Markdown files, a file a document; the title is its first heading, or else its name."""
+    """(id, title, kind, text) of the Markdown files in a folder, a file a document, readme.md left out.
+
+    The title is the first line that begins with #, or else the file's name.
+    """
     stem = F.regexp_extract("path", r"([^/]+)\.md$", 1)
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    heading = F.nullif(F.trim(F.regexp_extract("text", r"(?m)^#[^\S\n]+(.+)$", 1)), F.lit(""))
-    return files.where(F.lower(stem) != "readme").select(F.concat(F.lit("note:"), stem).alias("id"), F.coalesce(heading, stem).alias("title"), "text")
+    files = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    heading = F.when(F.col("text").rlike("(?m)^#"), F.trim(F.regexp_extract("text", r"(?m)^#[# ]*([^\n]*)$", 1)))
+    return files.where(F.lower(stem) != "readme").select(F.concat(F.lit("note:"), slugify(stem)).alias("id"), F.concat(F.lit("Note — "), F.coalesce(heading, stem)).alias("title"), F.lit("note").alias("kind"), "text")
 
 
 #: Directories that hold no source of their own, and the largest file read.
