@@ -126,8 +126,8 @@ def read_notes(spark: SparkSession, path: str) -> DataFrame:
 
     The title is the first line that begins with #, or else the file's name.
     """
-    stem = F.regexp_extract("path", r"([^/]+)\.md$", 1)
-    files = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    stem = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), r"\.md$", "")  # names come percent-encoded
+    files = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("path"), F.col("value").alias("text"))
     heading = F.when(F.col("text").rlike("(?m)^#"), F.trim(F.regexp_extract("text", r"(?m)^#[# ]*([^\n]*)$", 1)))
     return files.where(F.lower(stem) != "readme").select(F.concat(F.lit("note:"), slugify(stem)).alias("id"), F.concat(F.lit("Note — "), F.coalesce(heading, stem)).alias("title"), F.lit("note").alias("kind"), "text")
 
