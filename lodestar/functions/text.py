@@ -21,12 +21,17 @@ def folded(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.translate(text, "".join(_FROM), "".join(_TO))), r"[^\x00-\x7F]", "")
 
 
+def spelled(text: Column) -> Column:
+    """Folded, with ++ and # as letters, so that C, C++ and C# stay apart."""
+    return F.replace(F.replace(folded(text), F.lit("++"), F.lit("pp")), F.lit("#"), F.lit("sharp"))
+
+
 def normalize_name(text: Column) -> Column:
-    return F.regexp_replace(F.replace(F.replace(folded(text), F.lit("++"), F.lit("pp")), F.lit("#"), F.lit("sharp")), "[^a-z0-9]", "")
+    return F.regexp_replace(spelled(text), "[^a-z0-9]", "")
 
 
 def slugify(text: Column, most: int = 80) -> Column:
-    slug = F.regexp_replace(F.regexp_replace(folded(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    slug = F.regexp_replace(F.regexp_replace(spelled(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.coalesce(F.nullif(F.regexp_replace(F.substring(slug, 1, most), "-+$", ""), F.lit("")), F.lit("item"))
 
 
@@ -45,9 +50,9 @@ def snippet(text: Column, most: int) -> Column:
 
 
 def citation_refs(text: Column) -> Column:
-    """Numbers cited as [3], [2, 16] or [4-6] (ranges over 12 give both ends), not when a link follows; distinct, sorted."""
-    groups = F.regexp_extract_all(text, F.lit(r"\[(\d{1,3}(?:\s*[,–-]\s*\d{1,3})*)\](?!\()"), F.lit(1))
-    parts = F.flatten(F.transform(groups, lambda g: F.split(g, r"\s*,\s*")))
+    """Numbers cited as [3], [2, 16], [2; 16] or [4-6] (ranges over 12 give both ends), not when a link follows; distinct, sorted."""
+    groups = F.regexp_extract_all(text, F.lit(r"\[(\d{1,3}(?:\s*[,;–-]\s*\d{1,3})*)\](?!\()"), F.lit(1))
+    parts = F.flatten(F.transform(groups, lambda g: F.split(g, r"\s*[,;]\s*")))
     number = lambda p, i: F.get(F.split(p, r"\s*[–-]\s*"), F.lit(i)).cast("int")
     spread = F.transform(
         parts,
