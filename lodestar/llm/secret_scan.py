@@ -1,12 +1,13 @@
 """Secret scanning with a random forest that removes false positives (operator 5, native).
 
-Candidates are words whose value part (after quotes and ``name=``) is a run of 16 or more key-like characters. Each
-gets features of its length, character classes and transitions, share covered by dictionary words, path signs and the
+Candidates are runs of key-like characters, any number in a word: compact JSON, CSV and URLs are cut at their quotes,
+separators and ``name=``, and a form of a known issuer inside a longer run is a candidate of its own. A run has LEAST or
+more characters, or LEAST_NAMED or more (marks too) where a telling name is assigned to it. Each gets features of its length, character classes and transitions, share covered by dictionary words, path signs and the
 neighbouring words. A random forest trained from labelled findings decides; its trees are then written as one Column
 expression, so that scanning happens inside each row: no shuffle, no Python.
 
-Fitted are, on bounded samples and 600 made-up keys of known issuers: the dictionary (the DICTIONARY commonest words of the SAMPLE_DOCS texts with the
-smallest hash of id and text) and the forest (the SAMPLE_FINDINGS findings with the smallest hash). Every word of every
+Fitted are, outside the test fold, the dictionary (the DICTIONARY commonest words of all texts), and, on a bounded sample
+and made-up keys and passwords, the forest (the SAMPLE_FINDINGS findings with the smallest hash). Every word of every
 text is scanned.
 
 Edge cases: null and empty texts have no findings; a secret that occurs twice is two findings; repeated rows repeat
@@ -24,37 +25,67 @@ from pyspark.sql import functions as F
 from .common import fold, smallest
 
 TREES, DEPTH, SEED, CUT = 15, 5, 7, 0.5
-SAMPLE_DOCS, DICTIONARY, SAMPLE_FINDINGS = 1_000, 250, 20_000
-LEAST = 16
-FEATURES = ["len", "digits", "uppers", "transitions", "distinct", "hex", "words", "paths", "dots", "assigned", "named", "example"]
+SAMPLE_DOCS, DICTIONARY, SAMPLE_FINDINGS = 20_000, 250, 20_000
+LEAST, LEAST_NAMED, LEAST_MIXED = 16, 4, 8
+FEATURES = ["len", "digits", "uppers", "transitions", "distinct", "hex", "words", "paths", "dots", "assigned", "named", "example", "letters", "strict", "issuer"]
 #: Names before a secret, and words beside a made-up one.
 NAMES = "secret|token|passw|pwd|api|key|auth|credential|bearer"
 EXAMPLES = "example|sample|dummy|placeholder|changeme|xxxx|your"
 
 
-def _value(word: Column) -> Column:
-    """The word without quotes, ``name=`` and punctuation around it."""
-    return F.regexp_replace(F.regexp_replace(word, r"^[^A-Za-z0-9]*(?:[A-Za-z_-]{2,40}[:=]+)?[^A-Za-z0-9/+_]*", ""), r"[^A-Za-z0-9=/+_]+$", "")
+STRICT = "passw|pwd|secret|credential"
+ISSUED = r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])|sk_live_[A-Za-z0-9]{16,}|xox[abpr]-[A-Za-z0-9-]{10,}"
+#: A run (1; after a separator, of all but delimiters) with its padding, and the separator behind it (2).
+_SEP, _ENDS = r"""["'\\)\]]*[:=]+>?["'\\]*""", r"""\s,;&<>(){}\[\]|`"""
+RUN = rf"""((?:(?<=[:=>]["'\\]{{0,3}})[^"'\\:={_ENDS}]++|[A-Za-z0-9_+/.~-]++)(?:={{1,2}}(?=["'\\]*(?:$|[{_ENDS}])))?)({_SEP})?"""
+#: A name at the end of a text, with and without its separator, and a telling name with one anywhere.
+_NAME = r"""([A-Za-z0-9_.-]{1,64})["'\\)\]]{0,3}"""
+NAMED, LAST = _NAME + r"""\s*[:=]+>?\s*["'\\]*$""", _NAME + "$"
+TELLING = rf"""(?i)(?:{NAMES})[A-Za-z0-9_.-]{{0,64}}["'\\)\]]{{0,3}}\s*[:=]"""
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _runs(word: Column, before: Column, before2: Column) -> Column:
+    """Array of (v, name) of a word's runs; the name may stand in the words before."""
+    name = F.when(word.rlike(r"""^["'\\]*[:=]"""), F.regexp_extract(before, LAST, 1)).otherwise(F.regexp_extract(F.concat_ws(" ", before2, before), NAMED, 1))
+    lead = F.when((name == "") | word.rlike(r"""^["'\\]*[:=]"""), name).otherwise(F.concat(name, F.lit("=")))
+    part = lambda i: F.regexp_extract_all(F.concat(lead, word), F.lit(RUN), F.lit(i))
+    parts = F.struct(part(1).alias("v"), part(2).alias("sep"), (name != "").cast("int").alias("from"))
+    bare = lambda v: F.regexp_replace(v, r"^[^A-Za-z0-9/+_$!@#%^*]+|[.~?-]+$", "")
+    named = lambda p: F.transform(p.v, lambda v, k: F.struct(k.alias("k"), v.alias("v"), F.when((k > 0) & (F.get(p.sep, k - 1) != ""), F.get(p.v, k - 1)).otherwise("").alias("name")))
+    own = rf"(?<![A-Za-z0-9])(?:{ISSUED})"
+    pieces = lambda v: F.concat(F.transform(F.split(v, own, -1), bare), F.regexp_extract_all(v, F.lit(own), F.lit(0)))
+    every = lambda r: F.transform(pieces(r.v), lambda v: F.struct(v.alias("v"), r["name"].alias("name")))
+    return _let(parts, lambda p: F.flatten(F.transform(F.filter(named(p), lambda r: r.k >= p["from"]), every)))
 
 
 def _candidates(text: Column) -> Column:
-    """Array of (at, v, word, before, before2, after) of a text."""
-    words = F.split(F.coalesce(text, F.lit("")), r"\s+")
-    key_like = lambda w: (F.length(w) >= LEAST) & w.rlike("[A-Za-z0-9_+/=.-]{%d}" % LEAST)
+    """Array of (at, v, word, name, before, before2, after) of a text."""
     near = lambda ws, i: F.coalesce(F.get(ws, i), F.lit(""))
-    found = F.transform(
-        F.filter(F.transform(words, lambda w, i: F.when(key_like(w), i)), lambda i: i.isNotNull()),
-        lambda i: F.struct(
-            i.alias("at"), _value(F.get(words, i)).alias("v"), F.get(words, i).alias("word"), near(words, i - 1).alias("before"), near(words, i - 2).alias("before2"), near(words, i + 1).alias("after")
-        ),
-    )
-    return F.filter(found, lambda c: F.length(c.v) >= LEAST)
+    key_like = lambda w: (F.length(w) >= LEAST) & w.rlike("[A-Za-z0-9_+/=.-]{%d}" % LEAST)
+    told = lambda ws, w, i: w.rlike(TELLING) | F.concat_ws(" ", near(ws, i - 2), near(ws, i - 1)).rlike(TELLING) | (w.rlike(r"""^["'\\]*[:=]""") & F.lower(near(ws, i - 1)).rlike(NAMES))
+    some = lambda ws, keep: F.filter(F.transform(ws, lambda w, i: F.when(keep(w, i), i)), lambda i: i.isNotNull())
+
+    def found(ws: Column) -> Column:
+        at = F.when(text.rlike(TELLING), some(ws, lambda w, i: key_like(w) | told(ws, w, i))).otherwise(some(ws, lambda w, i: key_like(w)))
+        words = F.transform(at, lambda i: F.struct(i.alias("at"), F.get(ws, i).alias("word"), near(ws, i - 1).alias("before"), near(ws, i - 2).alias("before2"), near(ws, i + 1).alias("after")))
+        full = lambda x: F.transform(
+            _runs(x.word, x.before, x.before2), lambda r: F.struct(x["at"].alias("at"), r.v.alias("v"), x.word.alias("word"), r["name"].alias("name"), x.before.alias("before"), x.before2.alias("before2"), x.after.alias("after"))
+        )
+        return F.flatten(F.transform(words, full))
+
+    whole = lambda c: (F.length(c.v) >= LEAST) & c.v.rlike("[A-Za-z0-9_+/=.-]{%d}" % LEAST)
+    return F.filter(_let(F.split(F.coalesce(text, F.lit("")), r"\s+"), found), lambda c: whole(c) | ((F.length(c.v) >= LEAST_NAMED) & F.lower(c["name"]).rlike(NAMES)))
 
 
 def _features(c: Column, dictionary: list[str]) -> Column:
     v, n = c.v, F.length(c.v)
     share = lambda pattern: F.regexp_count(v, F.lit(pattern)) / n
-    beside = F.lower(F.concat_ws(" ", c.before2, c.before, F.regexp_extract(c.word, r"^[^A-Za-z0-9]*([A-Za-z_-]{2,40})[:=]", 1)))
+    beside = F.lower(F.concat_ws(" ", c.before2, c.before, c["name"]))
     number = lambda b: b.cast("double")
     covered = F.length(F.regexp_replace(F.lower(v), "|".join(dictionary) or "(?!)", "")) / n
     return F.struct(
@@ -67,9 +98,12 @@ def _features(c: Column, dictionary: list[str]) -> Column:
         (1 - covered).alias("words"),
         share("/").alias("paths"),
         share("[.]").alias("dots"),
-        number(c.before.rlike("[:=]$") | c.word.rlike("^[^A-Za-z0-9]*[A-Za-z_-]{2,40}[:=]")).alias("assigned"),
+        number(c["name"] != "").alias("assigned"),
         number(beside.rlike(NAMES)).alias("named"),
         number(F.lower(F.concat_ws(" ", beside, v, c.after)).rlike(EXAMPLES)).alias("example"),
+        share("[A-Za-z]").alias("letters"),
+        number(F.lower(c["name"]).rlike(STRICT)).alias("strict"),
+        number(v.rlike(f"^(?:{ISSUED})$")).alias("issuer"),
     )
 
 
@@ -83,8 +117,8 @@ def findings(docs: DataFrame, dictionary: list[str]) -> DataFrame:
 
 
 def learn_dictionary(docs: DataFrame) -> list[str]:
-    few = smallest(docs.where("text is not null").select("doc_id", "text"), SAMPLE_DOCS, "doc_id", "text")
-    words = few.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("w"))
+    """Commonest words of all texts; each task counts its own before they are shuffled."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("w"))
     top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(DICTIONARY).collect()  # at most DICTIONARY rows
     return sorted((r.w for r in top), key=lambda w: (-len(w), w))
 
@@ -92,15 +126,19 @@ def learn_dictionary(docs: DataFrame) -> list[str]:
 def rule_labels(found: DataFrame) -> DataFrame:
     """Labelled findings where people gave none: a key with its issuer's form, or a random value assigned to a telling name."""
     c, f = F.col("c"), F.col("f")
-    issued = c.v.rlike("^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^sk_live_[A-Za-z0-9]{16,}$|^xox[abpr]-[A-Za-z0-9-]{10,}$")
-    random = (f.assigned == 1) & (f.named == 1) & (f.digits > 0.1) & (f.words < 0.5)
-    return found.withColumn("label", ((issued | random) & (f.example == 0)).cast("int"))
+    # a short value is random where its name is a password's, or letters and digits are mixed
+    fit = (f.len >= LEAST) | (f.strict == 1) | ((f.len >= LEAST_MIXED) & (f.letters > 0) & (f.dots == 0))
+    random = (f.assigned == 1) & (f.named == 1) & (f.digits > 0.1) & (f.words < 0.5) & fit
+    return found.withColumn("label", (((f.issuer == 1) | random) & (f.example == 0)).cast("int"))
 
 
 def issued_examples(spark: SparkSession, n: int = 200) -> DataFrame:
-    """Documents holding made-up keys of known issuers, so that the forest knows forms that the sample may lack."""
+    """Documents holding made-up keys of known issuers, passwords and values that are none: what the sample may lack."""
     body = F.translate(F.sha2(F.concat(F.lit("example"), F.col("id")).cast("binary"), 256), "0123456789abcdef", "Q7C2EFGH3JKL4NOP")
     forms = F.array(F.concat(F.lit("AKIA"), F.substring(body, 1, 16)), F.concat(F.lit("ghp_"), F.initcap(F.substring(body, 1, 36))), F.concat(F.lit("sk_live_"), F.lower(F.substring(body, 1, 24))))
+    short = F.substring(F.sha2(F.col("id").cast("string").cast("binary"), 256), 1, (4 + F.col("id") % 11).cast("int"))
+    named = F.array(*[F.concat(F.lit(name), value) for name in ("password=", "api_key: ") for value in (short, F.regexp_replace(short, "[a-f]", "7"), F.translate(short, "0123456789", "ghijklmnop"), F.concat(short, F.lit("."), short))])
+    forms = F.concat(forms, F.transform(forms, lambda k: F.concat(F.lit('{"api_key":"'), k, F.lit('","x":1}'))), named)
     return spark.range(n).select((-1 - F.col("id")).alias("doc_id"), F.explode(forms).alias("text"))
 
 
@@ -148,7 +186,7 @@ def fitted(docs: DataFrame, labels=rule_labels) -> tuple[Forest, list[str]]:
     """Forest and dictionary from the rows of ``docs`` outside the test fold (crc32 of the id modulo 5 not 0)."""
     own = docs.where(fold("doc_id", 5) != 0)
     dictionary = learn_dictionary(own)
-    few = smallest(own.where("text is not null").select("doc_id", "text"), 20 * SAMPLE_DOCS, "doc_id", "text")
+    few = smallest(own.where("text is not null").select("doc_id", "text"), SAMPLE_DOCS, "doc_id", "text")
     found = findings(few.unionByName(issued_examples(docs.sparkSession)), dictionary)
     return train(labels(found)), dictionary
 
@@ -171,8 +209,12 @@ def scan(docs: DataFrame, forest: Forest, dictionary: list[str]) -> DataFrame:
 
 def redact(docs: DataFrame, forest: Forest, dictionary: list[str], mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found secret replaced in its text; other texts are unchanged, and no row goes."""
-    scored = F.transform(_scanned(F.col("text"), dictionary), lambda x: F.struct(x.c.v.alias("v"), forest.probability(x.f).alias("p")))
-    secrets = F.array_distinct(F.transform(F.filter(scored, lambda x: x.p >= CUT), lambda x: x.v))
+    scored = F.transform(_scanned(F.col("text"), dictionary), lambda x: F.struct((-F.length(x.c.v)).alias("n"), x.c.v.alias("v"), x.c["name"].alias("name"), forest.probability(x.f).alias("p")))
+    secrets = F.array_sort(F.array_distinct(F.filter(scored, lambda x: x.p >= CUT)))  # the longest first: one may hold another
     clean = docs.withColumn("_secrets", secrets)
-    text = F.when(F.size("_secrets") > 0, F.aggregate("_secrets", F.col("text"), lambda t, v: F.replace(t, v, F.lit(mask)))).otherwise(F.col("text"))
+    # a short value goes only where its name is assigned to it
+    after_name = lambda s: F.concat(F.lit(r"(\Q"), s["name"], F.lit(r"""\E["'\\)\]]{0,3}\s*[:=]+>?\s*[^\s\w]{0,3}?)\Q"""), s.v, F.lit(r"\E(?![A-Za-z0-9])"))
+    shown = mask.replace("\\", "\\\\").replace("$", "\\$")
+    masked = lambda t, s: F.when(F.length(s.v) >= LEAST, F.replace(t, s.v, F.lit(mask))).otherwise(F.regexp_replace(t, after_name(s), F.lit("$1" + shown)))
+    text = F.when(F.size("_secrets") > 0, F.aggregate("_secrets", F.col("text"), masked)).otherwise(F.col("text"))
     return clean.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
