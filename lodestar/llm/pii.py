@@ -25,10 +25,15 @@ PATTERN = "|".join(
         r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-])",
         r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
         r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
+        r"\+\d(?:[ ./()-]{0,3}(?!\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4})\d){7,17}(?!\d)",
         r"(?<![\d(])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)",
         r"(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d])",
     )
 )
+#: Country codes (ITU); the digits after them are a number's own.
+COUNTRY = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: Letters and digits of an address are permuted so many at a time.
+LETTERS = 20
 #: Days are permuted within blocks of this many from 1600-01-01; the last block ends in 2399.
 BLOCK_DAYS, BLOCKS, FIRST_DAY = 73_000, 4, "1600-01-01"
 
@@ -65,24 +70,32 @@ def _kind(s: Column) -> Column:
         .when(s.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.when(F.forall(octets, lambda o: o.cast("int") < 256), "ip"))
         .when(s.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{1,2}[/.]\d{1,2}[/.]\d{4})$"), F.when(day.between(0, BLOCKS * BLOCK_DAYS - 1), "date"))
         .when(s.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(s.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$"), "ssn"))
-        .when(s.rlike(r"^\+|^\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}$"), F.when(F.length(d) >= 10, "phone"))
+        .when(s.rlike(r"^\+|^\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}$"), F.when(F.length(d) >= F.when(s.startswith("+"), 8).otherwise(10), "phone"))
         .when(F.length(d).between(13, 19) & ((_luhn(F.substring(d, F.lit(1), F.length(d) - 1)) + F.substring(d, -1, 1).cast("int")) % 10 == 0), "card")
     )
 
 
 def _local(s: Column) -> Column:
-    """Letters and digits of an address before the @, at most 20."""
-    return F.substring(F.regexp_replace(F.lower(F.regexp_extract(s, "^([^@]*)", 1)), "[^a-z0-9]", ""), 1, 20)
+    """Letters and digits of an address before the @."""
+    return F.regexp_replace(F.lower(F.regexp_extract(s, "^([^@]*)", 1)), "[^a-z0-9]", "")
 
 
 def _number(text: Column, base: int) -> Column:
     return F.coalesce(F.conv(F.when(F.length(text) > 0, text).otherwise("0"), base, 10).cast("long"), F.lit(0).cast("long"))
 
 
-def _pair(c: Column) -> Column:
-    """(l, r, a, b): the value as a pair, and the two moduli."""
+def _pairs(c: Column) -> Column:
+    """A value's pairs: one, or of an address one for each LETTERS letters, with the letters before as its tweak."""
+    s, d = c.s, _digits(c.s)
+    pieces = lambda t: F.transform(F.sequence(F.lit(0), ((F.length(t) - 1) / LETTERS).cast("int")), lambda i: F.struct(F.substring(t, i * LETTERS + 1, F.lit(LETTERS)).alias("w"), F.when(i > 0, F.substring(t, F.lit(1), i * LETTERS)).alias("t")))
+    wide = F.when(c.kind == "card", F.substring(d, F.lit(1), F.length(d) - 1)).when((c.kind == "phone") & s.startswith("+"), F.regexp_replace(d, COUNTRY, "")).otherwise(F.substring(d, -10, 10))
+    parts = F.when(c.kind == "email", pieces(_local(s))).otherwise(F.array(F.struct(wide.alias("w"), F.lit(None).cast("string").alias("t"))))
+    return F.transform(parts, lambda x: _pair(c, x.w, x.t))
+
+
+def _pair(c: Column, wide: Column, before: Column) -> Column:
+    """(l, r, a, b, t): the value as a pair, the two moduli, and what else goes into the tweak."""
     s, d = c.s, _digits(c.s)
-    wide = F.when(c.kind == "email", _local(s)).when(c.kind == "card", F.substring(d, F.lit(1), F.length(d) - 1)).otherwise(F.substring(d, -10, 10))
     half = (F.length(wide) / 2).cast("int")
     left, right = F.substring(wide, F.lit(1), half), F.substring(wide, half + 1, F.length(wide))
     octet = lambda i: F.get(F.split(s, r"\."), F.lit(i)).cast("long")
@@ -90,7 +103,7 @@ def _pair(c: Column) -> Column:
     area = F.substring(d, 1, 3).cast("long")
     area = area - F.when(area > 666, 2).otherwise(1)
     rest = (F.substring(d, 4, 2).cast("long") - 1) * 9999 + F.substring(d, 6, 4).cast("long") - 1
-    pair = lambda l, r, a, b: F.struct(l.cast("long").alias("l"), r.cast("long").alias("r"), a.cast("long").alias("a"), b.cast("long").alias("b"))  # noqa: E731, E741
+    pair = lambda l, r, a, b: F.struct(l.cast("long").alias("l"), r.cast("long").alias("r"), a.cast("long").alias("a"), b.cast("long").alias("b"), before.alias("t"))  # noqa: E731, E741
     return (
         F.when(c.kind == "ip", pair(octet(0) * 256 + octet(1), octet(2) * 256 + octet(3), F.lit(65536), F.lit(65536)))
         .when(c.kind == "date", pair(F.floor(day / 250), day % 250, F.lit(BLOCK_DAYS // 250), F.lit(250)))
@@ -100,16 +113,15 @@ def _pair(c: Column) -> Column:
     )
 
 
-def _feistel(c: Column, key: str) -> Column:
-    # the block of a date, and the country and area of a number longer than ten digits, go into the tweak
-    tweak = F.concat_ws("|", F.lit(key), c.kind, c.p.a.cast("string"), c.p.b.cast("string"))
+def _feistel(kind: Column, p: Column, key: str) -> Column:
+    tweak = F.concat_ws("|", F.lit(key), kind, p.a.cast("string"), p.b.cast("string"), p.t)
     mixed = lambda i, x, m: F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("|", tweak, i.cast("string"), x.cast("string")), 256), 1, 15), 16, 10).cast("long"), m)
-    start = F.struct(c.p.l.alias("l"), c.p.r.alias("r"))
+    start = F.struct(p.l.alias("l"), p.r.alias("r"))
     return F.aggregate(
         F.sequence(F.lit(0), F.lit(ROUNDS - 1)),
         start,
-        lambda acc, i: F.when(i % 2 == 0, F.struct(((acc.l + mixed(i, acc.r, c.p.a)) % c.p.a).alias("l"), acc.r.alias("r"))).otherwise(
-            F.struct(acc.l.alias("l"), ((acc.r + mixed(i, acc.l, c.p.b)) % c.p.b).alias("r"))
+        lambda acc, i: F.when(i % 2 == 0, F.struct(((acc.l + mixed(i, acc.r, p.a)) % p.a).alias("l"), acc.r.alias("r"))).otherwise(
+            F.struct(acc.l.alias("l"), ((acc.r + mixed(i, acc.l, p.b)) % p.b).alias("r"))
         ),
     )
 
@@ -125,12 +137,11 @@ def _refill(s: Column, letters: Column, what: str) -> Column:
 
 def _written(c: Column) -> Column:
     """The pseudonym in the form of the original."""
-    s, d, l, r = c.s, _digits(c.s), c.q.l, c.q.r  # noqa: E741
-    padded = lambda base: F.concat(
-        F.when(c.p.a > 1, F.lpad(F.lower(F.conv(l.cast("string"), 10, base)), F.round(F.log(float(base), c.p.a.cast("double"))).cast("int"), F.lit("0"))).otherwise(F.lit("")),
-        F.lpad(F.lower(F.conv(r.cast("string"), 10, base)), F.round(F.log(float(base), c.p.b.cast("double"))).cast("int"), F.lit("0")),
-    )
-    ten = padded(10)
+    one, to = F.get(c.p, F.lit(0)), F.get(c.q, F.lit(0))
+    s, d, l, r = c.s, _digits(c.s), to.l, to.r  # noqa: E741
+    digits = lambda x, m, base: F.when(m > 1, F.lpad(F.lower(F.conv(x.cast("string"), 10, base)), F.round(F.log(float(base), m.cast("double"))).cast("int"), F.lit("0"))).otherwise(F.lit(""))
+    padded = lambda p, q, base: F.concat(digits(q.l, p.a, base), digits(q.r, p.b, base))
+    ten = padded(one, to, 10)
     body_sum = _luhn(ten)
     day = F.date_add(F.to_date(F.lit(FIRST_DAY)), (F.floor(F.datediff(_date(s), F.to_date(F.lit(FIRST_DAY))) / BLOCK_DAYS) * BLOCK_DAYS + l * 250 + r).cast("int"))
     area = l + 1 + F.when(l + 1 >= 666, 1).otherwise(0)
@@ -140,7 +151,7 @@ def _written(c: Column) -> Column:
         F.when(c.kind == "ip", F.concat_ws(".", F.floor(l / 256), l % 256, F.floor(r / 256), r % 256))
         .when(c.kind == "date", F.when(s.rlike(r"^\d{4}-"), F.date_format(day, "yyyy-MM-dd")).otherwise(dotted))
         .when(c.kind == "ssn", F.format_string("%03d-%02d-%04d", area, F.floor(r / 9999) + 1, r % 9999 + 1))
-        .when(c.kind == "email", F.concat(_refill(F.lower(F.regexp_extract(s, "^([^@]*)", 1)), padded(36), "[a-z0-9]"), F.regexp_extract(s, "(@.*)$", 1)))
+        .when(c.kind == "email", F.concat(_refill(F.lower(F.regexp_extract(s, "^([^@]*)", 1)), F.array_join(F.zip_with(c.p, c.q, lambda p, q: padded(p, q, 36)), ""), "[a-z0-9]"), F.regexp_extract(s, "(@.*)$", 1)))
         .when(c.kind == "card", _refill(s, F.concat(ten, ((10 - body_sum % 10) % 10).cast("string")), "[0-9]"))
         .otherwise(_refill(s, F.concat(kept, ten), "[0-9]"))
     )
@@ -150,8 +161,8 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with personal values in text replaced, plus pii_found and pii_replaced (array of the kinds replaced)."""
     found = F.regexp_extract_all(F.col("text"), F.lit(PATTERN), F.lit(0))
     kinds = F.transform(found, lambda s: F.struct(s.alias("s"), _kind(s).alias("kind")))
-    pairs = F.transform(kinds, lambda c: F.struct(c.s.alias("s"), c.kind.alias("kind"), F.when(c.kind.isNotNull(), _pair(c)).alias("p")))
-    mixed = F.transform(pairs, lambda c: F.struct(c.s.alias("s"), c.kind.alias("kind"), c.p.alias("p"), F.when(c.kind.isNotNull(), _feistel(c, key)).alias("q")))
+    pairs = F.transform(kinds, lambda c: F.struct(c.s.alias("s"), c.kind.alias("kind"), F.when(c.kind.isNotNull(), _pairs(c)).alias("p")))
+    mixed = F.transform(pairs, lambda c: F.struct(c.s.alias("s"), c.kind.alias("kind"), c.p.alias("p"), F.when(c.kind.isNotNull(), F.transform(c.p, lambda p: _feistel(c.kind, p, key))).alias("q")))
     done = F.transform(mixed, lambda c: F.struct(F.coalesce(F.when(c.kind.isNotNull(), _written(c)), c.s).alias("to"), c.kind.alias("kind")))
     marked = docs.withColumn("_done", done)
     between = F.split(F.col("text"), PATTERN, -1)

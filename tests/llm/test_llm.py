@@ -179,6 +179,26 @@ def test_pii_is_a_permutation(spark):
     assert out.select("text").distinct().count() == 4000 and out.where(F.to_date("text").isNull()).count() == 0
 
 
+def test_pii_is_whole(spark):
+    import re
+
+    phones = ["+44 20 7946 0958", "+33 1 23 45 67 89", "+49 30 901820", "+34 912 34 56 78", "+49 (0)30/901820", "+442079460958", "+1 564 555 4526"]
+    mails = [f"maria.schneider-hoffmann.berlin{i}@x.org" for i in ("", "1", "2", ".and.a.much.longer.tail.here")]
+    rows = [*phones, *mails, "+33 1 23 45 67 89 2024-02-30", "1 +2345 6"]
+    got = [r.text for r in pii.pseudonymised(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    for old, new in zip(phones, got):
+        assert re.sub(r"\d", "9", old) == re.sub(r"\d", "9", new) and old[:2] == new[:2] and old[-6:] != new[-6:]
+    assert got[0][:3] == "+44" and got[0].replace(" ", "") == got[5] and got[1] == got[-2][:17] and got[-2].endswith(" 2024-02-30") and got[-1] == rows[-1]
+    own = got[len(phones) : len(phones) + len(mails)]
+    form = lambda t: re.sub("[a-z0-9]", "x", t.split("@")[0])
+    assert [form(t) for t in own] == [form(t) for t in mails]
+    assert len(set(own)) == 4 and not any("berlin" in n or "tail.here" in n or "nn.be" in n for n in own) and all(n.endswith("@x.org") for n in own)
+    # two letters beyond the first 20 are permuted: all 1296 tails differ
+    tails = spark.range(1296).select(F.col("id").alias("doc_id"), F.concat(F.lit("abcdefghij.klmnopqrst"), F.lpad(F.lower(F.conv(F.col("id").cast("string"), 10, 36)), 2, "0"), F.lit("@x.org")).alias("text"))
+    out = pii.pseudonymised(tails)
+    assert out.select("text").distinct().count() == 1296 and out.join(tails, ["doc_id", "text"]).count() == 0
+
+
 def test_secret_scan(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     forest, words = secret_scan.fitted(docs)
