@@ -61,7 +61,27 @@ def test_exact_dedup(odd, none):
         assert sum(r.kept for r in got if r.text_sha256 == sha) == 1
     left = exact_dedup.exact_dedup(odd)
     assert left.columns == odd.columns and left.count() == len({norm(t) for _, t in rows})
-    assert exact_dedup.exact_groups(none).count() == 0
+    assert exact_dedup.exact_groups(none).count() == 0 and exact_dedup.exact_dedup(none).count() == 0
+
+
+@pytest.mark.parametrize("bits", [10, 3])
+def test_exact_dedup_after_a_shuffle(spark, bits, monkeypatch):
+    """Rows that come in no fixed order; with a filter that is too small too."""
+    monkeypatch.setattr(exact_dedup, "LEAST_BITS", bits)
+    monkeypatch.setattr(exact_dedup, "MOST_BITS", max(bits, 3) if bits == 3 else 22)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = texts(docs)
+    want = {}
+    for i, t in rows:
+        want[norm(t)] = min(i, want.get(norm(t), i))
+    dealt = docs.repartition(7)
+    left = exact_dedup.exact_dedup(dealt).collect()
+    assert sorted(r.doc_id for r in left) == sorted(want.values()) and len({norm(r.text) for r in left}) == len(left)
+    got = exact_dedup.exact_groups(dealt).collect()
+    assert len(got) == len(rows) and sorted(r.doc_id for r in got if r.kept) == sorted(want.values())
+    many = spark.range(5000).select(F.lit(3).cast("long").alias("doc_id"), F.when(F.col("id") % 5 > 0, F.lit("same  text")).otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text"), F.col("id").alias("_carry"), F.lit(1).alias("_h")).repartition(5)
+    assert exact_dedup.exact_groups(many).where("kept").count() == exact_dedup.exact_dedup(many).count() == 1001
+    assert exact_dedup.exact_groups(many).where("group_size = 4000").count() == 4000 and exact_dedup.exact_dedup(many).columns == many.columns
 
 
 def test_suffix_array():
@@ -133,6 +153,51 @@ def test_packing(odd, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_packing_lanes(spark):
+    """Rows of one id fill many lanes; every lane holds every source at its share; null and empty sources differ."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    many = spark.range(6000).select(F.lit(5).cast("long").alias("doc_id"), F.repeat(F.lit("one two "), 20).alias("text"), F.when(F.col("id") % 3 > 0, "a").when(F.col("id") % 6 == 0, "").alias("source")).repartition(3)
+    tokens = packing.tokenised(many, path)
+    assert {r.queue: r.n for r in tokens.groupBy("queue").agg(F.sum("n").alias("n")).collect()} == {"1a": 4000 * 41, "1": 1000 * 41, "0": 1000 * 41}
+    got = packing.pack(many, path, 20_000).withColumn("lane", F.shiftright("sequence_id", 32))
+    sizes = [r.n for r in got.groupBy("lane").agg(F.sum("length").alias("n")).collect()]
+    assert len(sizes) == 13 and sum(sizes) == 6000 * 41 and max(sizes) - min(sizes) <= 3
+    assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n = 4096").count() == 13 * 4
+
+
+@pytest.mark.parametrize("targets", [None, {"a": 0.5, None: 0.3}, {"a": 1.0}, {"": 0.0, "zz": 0.9, "a": 0.1}])
+def test_packing_targets(spark, targets):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.range(900).select(F.col("id").alias("doc_id"), F.repeat(F.lit("one "), (F.col("id") % 70).cast("int")).alias("text"), F.when(F.col("id") < 450, "a").when(F.col("id") < 700, "b").when(F.col("id") < 800, "").alias("source"))
+    got = packing.pack(docs, path, 3000, targets).join(docs, "doc_id").toPandas()
+    assert got.groupby("doc_id").length.sum().to_dict() == {i: i % 70 + 1 for i in range(900)}
+    for _, own in got.groupby("doc_id"):
+        own = own.sort_values("start")
+        assert own.start.tolist() == [0, *own.length.cumsum().tolist()[:-1]]
+    first = got[got.sequence_id < 1 << 32].groupby("source", dropna=False).length.sum().to_dict()
+    total = sum(first.values())
+    if targets == {"a": 1.0}:
+        assert set(first) == {"a"}
+    if targets and None in targets:
+        assert abs(first["a"] / total - 0.5) < 0.01 and abs(sum(v for k, v in first.items() if not isinstance(k, str)) / total - 0.3) < 0.01
+
+
+def test_schedule():
+    rng = random.Random(6)
+    for _ in range(200):
+        totals = {q: rng.choice([0, 1, 7, rng.randint(1, 10**6)]) for q in "abcd"}
+        plan = packing.schedule(totals, {q: rng.choice([0, 0.1, 0.5]) for q in "abc"})
+        ends = [0.0]
+        for q, stretches in plan.items():
+            at = 0.0
+            for c0, c1, x0, x1 in stretches:
+                assert c0 == at and c1 >= c0 and x1 >= x0
+                at = c1
+                ends.append(x1)
+            assert at == totals[q]
+        assert max(ends) == pytest.approx(sum(totals.values()))
+
+
 def test_windows_follow_the_mixture():
     left = np.array([50_000, 30_000, 1_000, 3])
     windows = list(packing.lane_windows(left, np.array([10.0, -10.0, 0.0, 0.0])))
