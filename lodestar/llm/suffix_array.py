@@ -1,16 +1,20 @@
 """Suffix array by induced sorting, and permuted common prefixes, in numpy, for one shard of text.
 
 Positions are classified as smaller (S) or larger (L) than what follows; the leftmost-smaller (LMS) substrings are
-sorted by inducing, named, and the shorter string of names is sorted in turn; from the sorted LMS suffixes the whole
-array is induced, bucket by bucket, in time linear in the shard. A bucket is handled as a batch: its entries' left
-neighbours are dealt, in order, to the buckets of their letters.
+sorted by inducing, named, and the shorter string of names is sorted in turn, by the same means, until all names
+differ; from the sorted LMS suffixes the whole array is induced, bucket by bucket, in time linear in the shard. A bucket
+is handled as a batch: its entries' left neighbours are dealt, in order, to the buckets of their letters.
+
+Strings of names have far more letters than bytes do, so their buckets are not walked one by one: the letters and types
+from a position up to the next LMS position are ranked, and the array is induced from the ranks of those LMS suffixes
+for all buckets at once. Names that occur once need no further sorting and leave the string.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: A string of names with more letters than this is sorted by doubling the length of its names, not bucket by bucket.
+#: Buckets of a string with more letters than this are induced all at once, not one by one.
 MOST_BUCKETS = 1024
 
 
@@ -96,19 +100,43 @@ def _named(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return name[lms]
 
 
-def _by_doubling(t: np.ndarray) -> np.ndarray:
-    rank, width, n = np.unique(t, return_inverse=True)[1].astype(np.int64), 1, len(t)
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: n - width] = rank[width:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-        rank, width = new, 2 * width
-        if rank.max() == n - 1 or width >= n:
-            return np.argsort(rank, kind="stable")
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """Dense rank of each key."""
+    order = np.argsort(keys)
+    ordered, out = keys[order], np.empty(len(keys), np.int64)
+    out[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+    return out
+
+
+def _lms_order(names: np.ndarray) -> np.ndarray:
+    """Order of the LMS suffixes, by number, from the names of their substrings; the last is the end letter's."""
+    if names.max() + 1 == len(names):
+        return np.argsort(names)
+    once = np.bincount(names)[names] == 1
+    # comparing ends at a name that occurs once: after it, names that occur once too are not needed
+    kept = ~once
+    kept[1:] |= ~once[:-1]
+    kept[-1] = True
+    at = np.flatnonzero(kept)
+    place = np.zeros(len(names), np.int64)
+    place[at[suffix_array(_ranks(names[at]))]] = np.arange(len(at))
+    return np.argsort(names * (len(names) + 1) + place)  # equal names have places
+
+
+def _all_buckets(t: np.ndarray) -> np.ndarray:
+    """The suffix array of a string with many different letters."""
+    n = len(t)
+    smaller, at = _smaller(t), np.arange(n)
+    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    following = np.append(lms, n - 1)[np.searchsorted(lms, at, side="right")]
+    reach, rank, width = following - at, _ranks(2 * t + smaller), 1
+    # letters with their types up to the next LMS position; no such string begins another one
+    while width <= reach.max() and rank.max() + 1 < n:
+        ahead = np.where(width <= reach, rank[np.minimum(at + width, n - 1)] + 1, 0)
+        rank, width = _ranks(rank * (n + 1) + ahead), 2 * width
+    place = np.zeros(n, np.int64)
+    place[lms[_lms_order(_ranks(rank[lms]))]] = np.arange(len(lms))
+    return np.argsort(rank * (n + 1) + place[following])
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -118,18 +146,14 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         return np.zeros(1, np.int64)
     k = int(t.max()) + 1
     if k > MOST_BUCKETS:
-        return _by_doubling(t)
+        return _all_buckets(t)
     t = t.astype(np.uint16)  # so that dealing by letter is a radix sort
     smaller = _smaller(t)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     rough = _induced(t, smaller, lms, k)
-    names = _named(t, lms, rough[is_lms[rough]])
-    if names.max() + 1 < len(lms):
-        order = suffix_array(names)
-    else:
-        order = np.argsort(names)
+    order = _lms_order(_named(t, lms, rough[is_lms[rough]]))
     return _induced(t, smaller, lms[order], k)
 
 

@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from lodestar.llm import bpe, entry, exact_dedup, knn, langid, packing, pii, secret_scan, simhash, suffix_dedup, toxicity
 from lodestar.llm.components import components
+from lodestar.llm import suffix_array as array_module
 from lodestar.llm.suffix_array import common_prefixes, suffix_array
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, _w long"
@@ -84,10 +85,12 @@ def test_exact_dedup_after_a_shuffle(spark, bits, monkeypatch):
     assert exact_dedup.exact_groups(many).where("group_size = 4000").count() == 4000 and exact_dedup.exact_dedup(many).columns == many.columns
 
 
-def test_suffix_array():
+@pytest.mark.parametrize("most", [1024, 0, 3])
+def test_suffix_array(most, monkeypatch):
+    monkeypatch.setattr(array_module, "MOST_BUCKETS", most)
     rng = random.Random(3)
     for _ in range(120):
-        s = [rng.randint(1, rng.choice([1, 2, 3, 40])) for _ in range(rng.randint(1, 90))] + [0]
+        s = [rng.randint(1, rng.choice([1, 2, 3, 40, 2000])) for _ in range(rng.randint(1, 90))] * rng.choice([1, 1, 4]) + [0]
         t = np.array(s)
         sa = suffix_array(t)
         assert sa.tolist() == sorted(range(len(s)), key=lambda i: s[i:])
@@ -99,6 +102,23 @@ def test_suffix_array():
             assert shared[a] == n
 
 
+def test_suffix_array_recurses():
+    """Thousands of names, several levels deep."""
+    rng = np.random.default_rng(7)
+    words = [bytes(rng.integers(97, 107, rng.integers(30, 400)).astype(np.uint8)) for _ in range(200)]
+    text = b"".join(words[i] for i in rng.integers(0, 200, 700))
+    t = np.append(np.frombuffer(text, np.uint8).astype(np.int64), 0)
+    depth, inner = [], array_module._all_buckets
+    array_module._all_buckets = lambda t: (depth.append(int(t.max())), inner(t))[1]
+    try:
+        sa = suffix_array(t).tolist()
+    finally:
+        array_module._all_buckets = inner
+    assert len(depth) > 2 and depth[0] > 1024
+    data = bytes(t.astype(np.uint8))
+    assert sa == sorted(range(len(data)), key=lambda i: data[i:])
+
+
 def brute_repeats(rows):
     seen, out = set(), []
     for i, t in rows:
@@ -113,7 +133,7 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [2048, 1])
+@pytest.mark.parametrize("hot", [8192, 1])
 def test_suffix_dedup(spark, none, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "SHARD", 4000)
@@ -123,13 +143,37 @@ def test_suffix_dedup(spark, none, hot, monkeypatch):
     rows += [(60, None), (61, ""), (62, "a" * 1000), (63, "ab" * 400), (64, "a" * 150), (65, rows[5][1]), (66, part[0][:99])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(tuple(r)[:5] for r in suffix_dedup.suffix_dedup(df).collect())
-    assert got == sorted(brute_repeats(rows))
+    assert got == sorted(brute_repeats(rows)) and got == sorted(map(tuple, suffix_dedup.digests(df).collect()))
     assert suffix_dedup.suffix_dedup(none).count() == 0
 
 
+def test_anchors_in_chunks(monkeypatch):
+    """Picks do not depend on how texts are cut, and two equal windows pick the same piece at the same place."""
+    rng = random.Random(2)
+    text = [bytes(rng.choice(b"abc ") for _ in range(n)) for n in (0, 99, 100, 700, 5000, 3)]
+    text += [text[4][1000:3000], b"x" * 900]
+    data, begins = np.frombuffer(b"".join(text), np.uint8), np.cumsum([0, *map(len, text)])
+    whole = suffix_dedup.anchors(data, begins)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BITS", 10)
+    assert all((a == b).all() for a, b in zip(whole, suffix_dedup.anchors(data, begins)))
+    at, h, lo, hi, s = whole
+    picked, stretch = {}, {}
+    for a, x, first, last, y in zip(at.tolist(), h.tolist(), lo.tolist(), hi.tolist(), s.tolist()):
+        own = data[first : last + 100].tobytes()
+        assert stretch.setdefault(y, (own, a - first)) == (own, a - first)
+        for w in range(first, last + 1):
+            assert picked.setdefault(data[w : w + 100].tobytes(), (a - w, x)) == (a - w, x)
+    assert sum((hi - lo + 1).tolist()) == sum(max(0, len(t) - 99) for t in text)
+
+
 def test_suffix_dedup_ids(odd):
+    """Ids that repeat or are missing: documents in the order of id, then of the text's hash; identical rows are one."""
+    hashes = {r.t or "": r.h for r in odd.select(F.col("text").alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    docs = sorted({(2**63 - 1 if i is None else i, hashes[t or ""], t or "") for i, t in texts(odd)})
+    want = {(i, t): r[1:] for (i, _, t), r in zip(docs, brute_repeats([(i, t) for i, _, t in docs]))}
     got = suffix_dedup.suffix_dedup(odd).collect()
     assert len(got) == odd.count() and all(len(r.kept) == r.n_bytes - r.n_removed for r in got)
+    assert sorted((2**63 - 1 if r.doc_id is None else r.doc_id, *tuple(r)[1:5]) for r in got) == sorted((i, *want[i, t or ""]) for i, t in ((2**63 - 1 if i is None else i, t) for i, t in texts(odd)))
 
 
 def test_packing(odd, none):
