@@ -25,6 +25,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 import os
 import zlib
 from collections.abc import Iterator, Mapping
@@ -244,21 +245,23 @@ def pack_lane(pieces: pd.DataFrame, width: int) -> pd.DataFrame:
 def _placed(counts: DataFrame, targets: Mapping[str | None, float], lanes: int) -> DataFrame:
     """(queue, part, behind, stretches) for counts(queue, part, n): tokens of the queue in the parts before, and the
     stretches (lo, hi, lane, rate) in which tokens lo to hi go to the lanes from ``lane`` on, ``rate`` lanes a token."""
-    spark = counts.sparkSession
     named = {("0" if s is None else f"1{s}"): w for s, w in targets.items()}
     group = F.when(F.col("queue").isin(*named), F.col("queue")).otherwise("rest") if named else F.lit("rest")
     sizes = counts.groupBy("queue").agg(F.sum("n").alias("size")).withColumn("group", group)
     totals = {r.group: r.size for r in sizes.groupBy("group").agg(F.sum("size").alias("size")).collect()}  # a row for each target
     total = sum(totals.values())
     named.setdefault("rest", max(0.0, 1.0 - sum(named.values())))
-    plan = [(g, float(totals[g]), *s) for g, ss in schedule(totals, named).items() for s in ss]
-    plan = spark.createDataFrame(plan, "group string, of double, c0 double, c1 double, x0 double, x1 double")
-    part = F.col("size") / F.col("of")
-    edge = lambda c: F.when(F.col(c) >= F.col("of"), F.col("size")).otherwise(F.floor(F.col(c) * part)).cast("long")
-    whole = F.lit(lanes / max(total, 1))
-    ends = sizes.join(F.broadcast(plan), "group").select("queue", edge("c0").alias("lo"), edge("c1").alias("hi"), (F.col("x0") * whole).alias("lane"), (F.col("x1") * whole).alias("to"))  # a row for each target
-    ends = ends.where("hi > lo").select("queue", F.struct("lo", "hi", "lane", ((F.col("to") - F.col("lane")) / (F.col("hi") - F.col("lo"))).alias("rate"), F.least(F.ceil("to"), F.lit(lanes)).alias("to")).alias("s"))
-    stretches = ends.groupBy("queue").agg(F.collect_list("s").alias("stretches"))  # at most one a target
+    part, whole = lambda g: F.col("size") / F.lit(float(totals[g])), lanes / max(total, 1)
+    edge = lambda g, c: (F.col("size") if c >= totals[g] else F.floor(F.lit(c) * part(g))).cast("long")
+
+    def stretch(g, c0, c1, x0, x1):
+        lo, hi = edge(g, c0), edge(g, c1)
+        return F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(x0 * whole).alias("lane"), (F.lit((x1 - x0) * whole) / F.nullif(hi - lo, F.lit(0))).alias("rate"), F.lit(min(math.ceil(x1 * whole), lanes)).cast("long").alias("to"))
+
+    ends = F.lit(None).cast("array<struct<lo:bigint,hi:bigint,lane:double,rate:double,to:bigint>>")  # at most one stretch a target
+    for g, plan in schedule(totals, named).items():
+        ends = F.when(F.col("group") == g, F.array(*[stretch(g, *s) for s in plan])).otherwise(ends) if plan else ends
+    stretches = sizes.select("queue", F.filter(ends, lambda s: s.lo < s.hi).alias("stretches"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("behind", F.coalesce(F.sum("n").over(before), F.lit(0))).join(stretches, "queue").select("queue", "part", "behind", "stretches")
 
