@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import citation_refs, normalize_name, slugify
+from lodestar.functions.text import CITATION, citation_refs, normalize_name, slugify, truncate
 from lodestar.operators import evidence, graph, search
 from lodestar.plans import answers, build, live, upkeep
 from lodestar.sources.tables import entities, node, relations, table
-from lodestar.streaming import limits
+from lodestar.streaming import limits, state
 
 RANK_STEPS = 5
 
@@ -142,13 +142,16 @@ def fit_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def citations(spark: SparkSession, sf: str) -> DataFrame:
-    l = table(spark, sf, "lineitem")  # noqa: E741
-    text = F.concat(F.lit("x ["), F.col("l_linenumber"), F.lit("] y ["), F.col("l_linenumber"), F.lit("-"), F.col("l_linenumber") + F.col("l_suppkey") % 20, F.lit("] z [9](u)"))
-    return l.select("l_orderkey", "l_linenumber", F.array_join(citation_refs(text), ",").alias("refs"))
+    """Whole document texts with the numbers of a label row's neighbours cited after them: lists, ranges, links."""
+    d, n = table(spark, sf, "documents"), F.col("doc_id") % 90
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" ["), n, F.lit("; "), n + 7, F.lit("] and ["), n, F.lit("-"), n + F.col("doc_id") % 20, F.lit(", 3], [1-2-4], [9](u) [5–"), n, F.lit("]"))
+    return d.select("doc_id", F.array_join(citation_refs(text), ",").alias("refs"))
 
 
 def normalize_names(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.substring(normalize_name(F.regexp_replace("text", r"[^A-Za-zà-öø-ÿÀ-ÖØ-Þ0-9+#]", "")), 1, 200).alias("name"))
+    """Whole texts as names: length and hash of what stays."""
+    name = normalize_name(F.regexp_replace("text", r"[^A-Za-zà-öø-ÿÀ-ÖØ-Þ0-9+#]", ""))
+    return table(spark, sf, "documents").select("doc_id", F.length(name).alias("letters"), F.sha2(name, 256).alias("name_sha256"))
 
 
 def entity_link(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,10 +170,11 @@ def name_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def history_window(spark: SparkSession, sf: str) -> DataFrame:
-    """Last six turns of each conversation, 200 letters each."""
+    """Last six turns of each conversation, without citations, 700 letters each."""
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     last = table(spark, sf, "conversations").withColumn("_n", F.row_number().over(w)).where("_n <= 6")
-    line = F.concat("role", F.lit(": "), F.substring("text", 1, 200))
+    who = F.when(F.col("role") == "user", "Visitor").otherwise("Assistant")
+    line = F.concat_ws(": ", who, truncate(F.regexp_replace("text", CITATION, ""), 700))
     return last.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x.l), "\n").alias("history"))
 
 
@@ -189,7 +193,8 @@ def red_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def daily_budget(spark: SparkSession, sf: str) -> DataFrame:
-    return limits.daily_use(_events(spark, sf).withColumn("cost", F.when(F.col("kind") == "purchase", 3).otherwise(1)), 4)
+    """Four units a user and day; purchases cost three; what is refused costs nothing."""
+    return state.replay(_events(spark, sf).withColumn("cost", F.when(F.col("kind") == "purchase", 3).otherwise(1)), state.daily_budget(4))
 
 
 QUERIES = {f.__name__: f for f in (rrf_fusion, bm25_topk, vector_topk, relation_dedup, entity_merge, type_counts, degree, neighbors, induced_subgraph, match_path, global_pagerank, ppr_k_iters, shortest_paths, skill_evidence, type_share, fit_score, citations, normalize_names, entity_link, name_search, history_window, block_ids, heartbeat, red_metrics, daily_budget)}
@@ -239,7 +244,7 @@ def _oracles() -> dict[str, str]:
         return ",\n".join(out)
 
     fold = "regexp_replace(lower(strip_accents({0})), '[^a-z0-9+#]', '', 'g')"
-    norm = lambda c: f"replace(replace({fold.format(c)}, '++', 'pp'), '#', 'sharp')"
+    norm = lambda c: f"regexp_replace(replace(replace({fold.format(c)}, '++', 'pp'), '#', 'sharp'), '[^a-z0-9]', '', 'g')"
     buckets = ", ".join(f"count(*) FILTER (WHERE value / 100 <= {b}) AS le_{str(b).replace('.', '_')}" for b in limits.BOUNDS)
     return {
         "bm25_topk": f"WITH {bm25} SELECT qid, id, score, rank FROM sparse",
@@ -278,18 +283,27 @@ q AS (SELECT job_id, flag, p_size > 25 AS must FROM (SELECT *, row_number() OVER
 SELECT job_id, round_even(100 * sum((CASE WHEN must THEN 2 ELSE 1 END) * CASE flag WHEN 'N' THEN 1 WHEN 'A' THEN 0.6::DOUBLE WHEN 'R' THEN 0.35::DOUBLE ELSE 0 END) / sum(CASE WHEN must THEN 2 ELSE 1 END), 0)::BIGINT AS percent,
  count(*) FILTER (WHERE flag = 'N') AS strong, count(*) FILTER (WHERE flag = 'A') AS partial, count(*) FILTER (WHERE flag = 'R') AS transferable, count(*) FILTER (WHERE flag NOT IN ('N', 'A', 'R')) AS gap,
  count(*) FILTER (WHERE flag NOT IN ('N', 'A', 'R') AND must) AS must_have_gaps FROM q GROUP BY 1""",
-        "citations": "SELECT l_orderkey, l_linenumber, array_to_string(CASE WHEN l_suppkey % 20 <= 12 THEN generate_series(l_linenumber, l_linenumber + l_suppkey % 20) ELSE [l_linenumber, l_linenumber + l_suppkey % 20] END, ',') AS refs FROM lineitem",
-        "normalize_names": f"SELECT doc_id, substring({norm(chr(34) + 't' + chr(34))}, 1, 200) AS name FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-zà-öø-ÿÀ-ÖØ-Þ0-9+#]', '', 'g') AS t FROM documents)",
+        "citations": r"""WITH t AS (SELECT doc_id, coalesce(text, '') || ' [' || doc_id % 90 || '; ' || (doc_id % 90 + 7) || '] and [' || doc_id % 90 || '-' || (doc_id % 90 + doc_id % 20) || ', 3], [1-2-4], [9](u) [5–' || doc_id % 90 || ']' AS t FROM documents),
+g AS (SELECT doc_id, unnest(regexp_extract_all(t, '\[\d{1,3}(?:\s*[,;–-]\s*\d{1,3})*\](?:\(|)')) AS g FROM t),
+p AS (SELECT doc_id, unnest(regexp_split_to_array(trim(g, '[]'), '[,;]')) AS p FROM g WHERE NOT g LIKE '%('),
+b AS (SELECT doc_id, list_transform(regexp_split_to_array(p, '[–-]'), lambda x: trim(x)::INT) AS b FROM p),
+n AS (SELECT doc_id, unnest(CASE WHEN len(b) = 2 AND b[2] - b[1] BETWEEN 1 AND 12 THEN range(b[1], b[2] + 1)::INT[] ELSE b END) AS n FROM b)
+SELECT doc_id, string_agg(n::VARCHAR, ',' ORDER BY n) AS refs FROM (SELECT DISTINCT doc_id, n FROM n) GROUP BY doc_id""",
+        "normalize_names": f"""SELECT doc_id, len(n) AS letters, sha256(n) AS name_sha256 FROM (SELECT doc_id, {norm('t')} AS n FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-zà-öø-ÿÀ-ÖØ-Þ0-9+#]', '', 'g') AS t FROM documents))""",
         "entity_link": f"""WITH i AS (SELECT {norm('p_name')} AS k, min(p_partkey) AS f FROM part GROUP BY 1), a AS (SELECT p_partkey, {norm("CASE WHEN p_partkey % 2 = 0 THEN p_name || 's' ELSE p_name END")} AS q FROM part),
 t AS (SELECT p_partkey, 0 AS pr, q AS k FROM a UNION ALL SELECT p_partkey, 1, q || 's' FROM a UNION ALL SELECT p_partkey, 2, left(q, -1) FROM a WHERE len(q) > 3 AND q LIKE '%s')
 SELECT p_partkey, arg_min(f, pr) AS linked FROM t JOIN i USING (k) GROUP BY 1""",
         "name_search": f"""WITH p AS (SELECT p_partkey AS id, {norm('p_name')} AS label FROM part), a AS (SELECT left(label, 4) AS q, min(id) AS qid FROM p GROUP BY 1)
 SELECT * FROM (SELECT qid, id, (row_number() OVER (PARTITION BY qid ORDER BY id) - 1)::INT AS rank FROM p JOIN a ON starts_with(label, q)) WHERE rank < 12""",
-        "history_window": "SELECT conv_id, string_agg(role || ': ' || substring(text, 1, 200), chr(10) ORDER BY turn) AS history FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 6 GROUP BY 1",
+        "history_window": r"""WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'Visitor' ELSE 'Assistant' END AS who, trim(regexp_replace(text, '\[\d{1,3}(?:\s*[,;–-]\s*\d{1,3})*\]', '', 'g'), e' \t\n\r') AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations)
+SELECT conv_id, string_agg(who || ': ' || CASE WHEN len(s) <= 700 THEN s ELSE rtrim(left(s, 699)) || '…' END, chr(10) ORDER BY turn) AS history FROM t WHERE n <= 6 GROUP BY 1""",
         "block_ids": "SELECT event_id, key, sum(n) OVER (PARTITION BY key ORDER BY ts, event_id)::BIGINT AS block FROM (SELECT event_id, ts, user_id AS key, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS n FROM events)",
         "heartbeat": "WITH g AS (SELECT user_id AS key, epoch_us(ts) AS t, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS x FROM events), b AS (SELECT key, t, (x - t - 1) // 86400000000 AS n FROM g WHERE x IS NOT NULL) SELECT key, sum(n)::BIGINT AS n, max((t + n * 86400000000) // 1000000)::BIGINT AS last FROM b WHERE n > 0 GROUP BY 1",
         "red_metrics": f"SELECT epoch(time_bucket(INTERVAL 1 DAY, ts))::BIGINT AS start, event_type AS route, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors, {buckets} FROM events GROUP BY 1, 2",
-        "daily_budget": "SELECT event_id, key, used, used <= 4 AS accepted FROM (SELECT event_id, user_id AS key, sum(CASE WHEN event_type = 'purchase' THEN 3 ELSE 1 END) OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id)::BIGINT AS used FROM events)",
+        "daily_budget": """WITH RECURSIVE e AS (SELECT event_id, user_id AS key, ts::DATE AS d, CASE WHEN event_type = 'purchase' THEN 3 ELSE 1 END AS cost, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT event_id, key, d, i, cost <= 4 AS accepted, CASE WHEN cost <= 4 THEN cost ELSE 0 END AS used FROM e WHERE i = 1
+ UNION ALL SELECT e.event_id, e.key, e.d, e.i, r.used + e.cost <= 4, CASE WHEN r.used + e.cost <= 4 THEN r.used + e.cost ELSE r.used END FROM r JOIN e ON e.key = r.key AND e.d = r.d AND e.i = r.i + 1)
+SELECT event_id, key::VARCHAR AS key, accepted, used::BIGINT AS used FROM r""",
     }
 
 

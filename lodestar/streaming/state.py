@@ -10,6 +10,7 @@ Rows need key, ts (timestamp), event_id; null keys are one key. An empty table g
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -54,6 +55,43 @@ def sliding_limit(most: int, per_day: int, window: float = 60.0) -> Rule:
     return Rule(step, ["cost"], "accepted boolean, retry_after double", max(window, DAY))
 
 
+def daily_budget(most: int) -> Rule:
+    """At most ``most`` units of cost in a UTC day; a refused row costs nothing. ``used``: units spent after the row."""
+
+    def step(state, row):
+        today = int(row.seconds // DAY)
+        used = state["used"] if state.get("day") == today else 0
+        accepted = used + int(row.cost) <= most
+        used += int(row.cost) if accepted else 0
+        return {"day": today, "used": used}, (accepted, used)
+
+    return Rule(step, ["cost"], "accepted boolean, used long", DAY)
+
+
+def silences(interval: float) -> Rule:
+    """Keep-alives due since a key's last event: one for each whole ``interval`` without any. ``last``: when the last was due."""
+
+    def step(state, row):
+        before = state.get("seconds")
+        n = 0 if before is None else max(0, math.ceil((row.seconds - before) / interval) - 1)
+        return {"seconds": row.seconds}, (n, before + n * interval if n else None)
+
+    return Rule(step, [], "n long, last double", DAY)
+
+
+def block_rule() -> Rule:
+    """The step form of ``message_blocks``: rows outside any block have a null one."""
+
+    def step(state, row):
+        kind, n = state.get("kind"), state.get("n", 0)
+        if row.kind in ("text", "reasoning"):
+            n += kind != row.kind
+            return {"kind": row.kind, "n": n}, (n,)
+        return {"kind": None if row.kind == "failure" else kind, "n": n}, (None,)
+
+    return Rule(step, ["kind"], "block long", DAY)
+
+
 def ttl_cache(ttl: float = 86_400.0) -> Rule:
     """Is a question answered from the cache: same revision, no older than ``ttl`` seconds. A miss stores the answer."""
 
@@ -90,6 +128,11 @@ def _prepared(rows: DataFrame, rule: Rule) -> DataFrame:
     return rows.select(F.col("key").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id", seconds, *rule.reads)
 
 
+def _rows(out: list, names: list[str]) -> pd.DataFrame:
+    """As objects, so that a missing whole number stays one."""
+    return pd.DataFrame(out, columns=names, dtype=object).astype({"event_id": "int64"})
+
+
 def replay(rows: DataFrame, rule: Rule) -> DataFrame:
     """(event_id, key, <added columns>) of a bounded table.
 
@@ -107,7 +150,7 @@ def replay(rows: DataFrame, rule: Rule) -> DataFrame:
                     key, state, first = row.key, {}, False
                 state, added = rule.step(state, row)
                 out.append((row.event_id, row.key, *added))
-            yield pd.DataFrame(out, columns=names).astype({"event_id": "int64"})
+            yield _rows(out, names)
 
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
     return _prepared(rows, rule).repartition("key").sortWithinPartitions("key", "seconds", "event_id").mapInPandas(fold, schema)
@@ -131,7 +174,7 @@ def follow(stream: DataFrame, rule: Rule) -> DataFrame:
         saved.update((json.dumps(state),))
         at = int(1000 * (rows.seconds.iloc[-1] + rule.keep))
         saved.setTimeoutTimestamp(max(at, saved.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=names)
+        yield _rows(out, names)
 
     from pyspark.sql.types import _parse_datatype_string
 
