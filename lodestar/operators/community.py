@@ -52,7 +52,10 @@ def _moves(pairs: DataFrame, rounds: int, resolution: float, least: float) -> Da
         gain = F.round(F.col("inside") - resolution * others * F.col("k") / total, 9)
         allowed = (F.col("label") <= F.col("mine")) if i % 2 == 0 else (F.col("label") >= F.col("mine"))
         ranked = offers.where(allowed).select("id", F.struct(gain.alias("gain"), (F.col("label") == F.col("mine")).alias("stays"), "label").alias("o"))
-        new = cut(ranked.groupBy("id").agg(F.max("o.gain").alias("g"), F.collect_set("o").alias("all")).select("id", F.filter("all", lambda o: o.gain == F.col("g")).alias("all")).select("id", F.when(F.exists("all", lambda o: o.stays), F.filter("all", lambda o: o.stays)[0].label).otherwise(F.array_min(F.transform("all", lambda o: o.label))).alias("label")))
+        # the best gain, of equals the own community, then the smallest label: a maximum and a minimum, no list
+        best_of = ranked.groupBy("id").agg(F.max(F.struct("o.gain", "o.stays")).alias("m"))
+        least_of = ranked.join(best_of, "id").where((F.col("o.gain") == F.col("m.gain")) & (F.col("o.stays") == F.col("m.stays"))).groupBy("id").agg(F.min("o.label").alias("label"))
+        new = cut(least_of)
         now = modularity(pairs, new, resolution)
         labels = new
         gained, best, score = now - score, (new if now > score else best), max(now, score)

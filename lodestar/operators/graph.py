@@ -10,18 +10,24 @@ from pyspark.sql import functions as F
 #: Weight of a relation type in random walks; types not listed are not walked.
 WEIGHTS = {"AT": 1.0, "DELIVERED": 1.0, "USES": 1.0, "USED": 1.0, "AWARDED_FOR": 1.0, "AWARDED_BY": 0.8, "RELATED_TO": 0.7, "HELD_ROLE": 0.6, "BUILT": 0.6, "STUDIED": 0.6, "WON": 0.6, "IN_DOMAIN": 0.35, "SPEAKS": 0.3, "LOCATED_IN": 0.3}
 
+#: Blocks of nodes that a query without seeds is dealt over.
+BLOCKS = 64
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder that executors share (spark.checkpoint.dir; a local one only where unset)."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestar-checkpoint-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lodestar-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
 def merge_entities(rows: DataFrame) -> DataFrame:
     """One row an id: first name and url by seq, longest description (first of equals), aliases and sources united, sorted."""
-    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
     merged = rows.groupBy("id").agg(
         F.min_by("type", "seq").alias("type"),
         F.min_by("name", "seq").alias("name"),
@@ -42,6 +48,24 @@ def merge_relations(edges: DataFrame, nodes: DataFrame, props: tuple[str, ...] =
     return known.groupBy("source", "type", "target").agg(F.min("seq").alias("seq"), *fill)
 
 
+def move_ids(rows: DataFrame, merged: DataFrame, column: str) -> DataFrame:
+    """rows with ids of ``column`` moved from merged.drop_id to merged.keep_id; rows equal after it are one (mentions, describes)."""
+    to = merged.select(F.col("drop_id").alias(column), F.col("keep_id").alias("_k"))
+    return rows.join(to, column, "left").withColumn(column, F.coalesce("_k", column)).select(*rows.columns).distinct()
+
+
+def widened(edges: DataFrame, nodes: DataFrame, sets: DataFrame, types: tuple[str, ...] | None = None, hubs: tuple[str, ...] = ()) -> DataFrame:
+    """``induced`` for sets(qid, id) of the given node types alone, plus edges other than HAS_SKILL from nodes of the types
+    in ``hubs`` into the set."""
+    if types is not None:
+        sets = sets.join(nodes.where(F.col("type").isin(*types)).select("id"), "id", "left_semi")
+    out = induced(edges, sets)
+    if hubs:
+        near = edges.where("type <> 'HAS_SKILL'").join(nodes.where(F.col("type").isin(*hubs)).select(F.col("id").alias("source")), "source", "left_semi")
+        out = out.unionByName(near.join(sets.select("qid", F.col("id").alias("target")), "target").select("qid", "source", "type", "target")).distinct()
+    return out
+
+
 def remap(edges: DataFrame, merged: DataFrame) -> DataFrame:
     """Both ends of edges moved from merged.drop_id to merged.keep_id."""
     to = lambda df, end: df.join(merged.select(F.col("drop_id").alias(end), F.col("keep_id").alias("_k")), end, "left").withColumn(end, F.coalesce("_k", end)).drop("_k")
@@ -92,8 +116,17 @@ def pagerank(walk: DataFrame, nodes: DataFrame, seeds: DataFrame, damping: float
 
     Restart is the normalised positive known seeds; mass at nodes without walkable edges restarts too. The walk goes
     both ways, so that only seeds can be such nodes and a step is one join and one aggregation. Lineage is cut and
-    convergence (largest total change of a query) tested every few steps. Queries without known seeds give no rows.
+    convergence (largest total change of a query) tested every few steps. A query whose seeds are all unknown, or weigh
+    nothing, restarts at every node alike.
     """
+    good = seeds.where("weight > 0").join(nodes.select("id"), "id", "left_semi").select("qid").distinct()
+    lost = seeds.select("qid").distinct().join(good, "qid", "left_anti")
+    if not lost.isEmpty():
+        ends = walk.select(F.col("source").alias("id")).unionByName(nodes.select("id")).distinct()
+        block = F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int")
+        asked = lost.select("qid", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("_b"))  # these queries against all nodes, in blocks
+        every = ends.select("id", F.lit(1.0).alias("weight"), block.alias("_b")).join(asked, "_b").select("qid", "id", "weight")
+        seeds = seeds.join(good, "qid", "left_semi").select("qid", "id", "weight").unionByName(every)
     start = seeds.where("weight > 0").join(nodes.select("id"), "id", "left_semi").groupBy("qid", "id").agg(F.sum("weight").alias("weight"))
     total = start.groupBy("qid").agg(F.sum("weight").alias("t"))
     shares = start.join(total, "qid").select("qid", "id", (F.col("weight") / F.col("t")).alias("r"))
@@ -116,12 +149,12 @@ def pagerank(walk: DataFrame, nodes: DataFrame, seeds: DataFrame, damping: float
     return rank
 
 
-def global_pagerank(walk: DataFrame, nodes: DataFrame, iterations: int = 60, tolerance: float = 1e-9) -> DataFrame:
+def global_pagerank(walk: DataFrame, nodes: DataFrame, iterations: int = 60, tolerance: float = 1e-9, digits: int = 6) -> DataFrame:
     """(id, pagerank), uniform restart, damping 0.85; a Person gets 1.6 times the largest."""
     seeds = nodes.select(F.lit("all").alias("qid"), "id", F.lit(1.0).alias("weight"))
     ranks = pagerank(walk, nodes, seeds, 0.85, iterations, tolerance).select("id", "rank")
     top = ranks.agg(F.max("rank").alias("m")).first()[0] or 0.0
-    return ranks.join(nodes.select("id", "type"), "id").select("id", F.round(F.when(F.col("type") == "Person", F.lit(1.6 * top)).otherwise(F.col("rank")), 6).alias("pagerank"))
+    return ranks.join(nodes.select("id", "type"), "id").select("id", F.round(F.when(F.col("type") == "Person", F.lit(1.6 * top)).otherwise(F.col("rank")), digits).alias("pagerank"))
 
 
 def shortest_paths(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, most: int = 6, hubs: tuple[str, ...] = ("Person", "Domain")) -> DataFrame:

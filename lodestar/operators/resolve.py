@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import clean_skill_name, normalize_name, slugify, strip_version
+from lodestar.operators.graph import cut
 
 MOST_LETTERS = 60
 
@@ -68,3 +69,23 @@ def dash_aliases(entities: DataFrame) -> DataFrame:
     """``A — B`` as a name also gives the aliases A and B: entities(name, aliases) with those added."""
     parts = F.transform(F.split("name", " — "), lambda p: F.trim(p))
     return entities.withColumn("aliases", F.when(F.size(parts) > 1, F.array_union(F.coalesce("aliases", F.array().cast("array<string>")), parts)).otherwise(F.col("aliases")))
+
+
+def merge_similar(skills: DataFrame, pairs: DataFrame, most: int = 20) -> DataFrame:
+    """(drop_id, keep_id): which of skills(id, known, n_sources, seq) merge, given pairs(a, b) of near vectors.
+
+    Two known ones never merge. Of a pair the known one is kept, else that with more sources, else the earlier. One that
+    several others would take goes to the best of them; chains end at one that is kept. Unlike a greedy pass in input
+    order, the result does not depend on that order.
+    """
+    order = F.struct(F.coalesce("known", F.lit(False)).alias("known"), "n_sources", (-F.col("seq")).alias("seq"), "id")
+    ranked = skills.select("id", order.alias("o"))
+    ends = pairs.join(ranked.select(F.col("id").alias("a"), F.col("o").alias("oa")), "a").join(ranked.select(F.col("id").alias("b"), F.col("o").alias("ob")), "b").where(~(F.col("oa.known") & F.col("ob.known")))
+    chosen = ends.select(F.when(F.col("oa") > F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("drop_id"), F.greatest("oa", "ob").alias("keep"))
+    to = cut(chosen.groupBy("drop_id").agg(F.max("keep").alias("keep")).select("drop_id", F.col("keep.id").alias("keep_id")))
+    for _ in range(most):  # each round halves the way to the end
+        further = to.select(F.col("drop_id").alias("keep_id"), F.col("keep_id").alias("_k"))
+        if to.join(further, "keep_id", "left_semi").isEmpty():
+            break
+        to = cut(to.join(further, "keep_id", "left").select("drop_id", F.coalesce("_k", "keep_id").alias("keep_id")))
+    return to

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from lodestar.functions.text import CITATION, citation_refs, normalize_name, slugify, truncate
 from lodestar.operators import evidence, graph, search
 from lodestar.plans import answers, build, live, upkeep
-from lodestar.sources.tables import entities, node, relations, table
+from lodestar.sources.tables import entities, node, relations, spread, table
 from lodestar.streaming import limits, state
 
 RANK_STEPS = 5
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def _asked(spark, sf):
@@ -92,13 +92,10 @@ def match_path(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def global_pagerank(spark: SparkSession, sf: str) -> DataFrame:
+    """Over all weighted relation types to convergence, Persons at 1.6 times the largest; as parts in a million."""
     nodes, edges = _graph(spark, sf)
-    nodes, edges = nodes.where("type in ('Role', 'Project')"), edges.where("type = 'DELIVERED'")
-    walk = graph.cut(graph.transitions(edges, nodes))
-    seeds = nodes.select(F.lit("all").alias("qid"), "id", F.lit(1.0).alias("weight"))
-    ranks = graph.pagerank(walk, nodes, seeds, 0.85, RANK_STEPS, 0.0)
-    n = nodes.count()
-    return ranks.select("id", F.round(F.col("rank") * n, 4).alias("scaled_rank"))
+    ranks = graph.global_pagerank(graph.cut(graph.transitions(edges, nodes)), nodes, digits=15)
+    return ranks.select("id", F.round(F.col("pagerank") * 1_000_000, 2).alias("parts"))
 
 
 def ppr_k_iters(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,12 +107,25 @@ def ppr_k_iters(spark: SparkSession, sf: str) -> DataFrame:
     return graph.pagerank(walk, nodes, seeds, 0.5, RANK_STEPS, 0.0).select("qid", "id", F.round("rank", 6).alias("rank"))
 
 
-def shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """From each supplier to the first customer of the next nation; suppliers and customers meet in nations."""
+def _path_case(spark, sf):
+    """Customers, their nations and regions, suppliers at nations, parts by type; regions (Person) and types (Domain) are hubs."""
     nodes, edges = _graph(spark, sf)
+    return nodes, edges.where("type in ('LOCATED_IN', 'HELD_ROLE', 'IN_DOMAIN')")
+
+
+def shortest_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """From each supplier to the first customers of its own nation and of the next (which only a hub joins), from each
+    region to a supplier, and to parts: ways of no, two and three steps, ways over hubs, and none."""
+    nodes, edges = _path_case(spark, sf)
     first = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("k"))
-    pairs = table(spark, sf, "supplier").join(first, F.col("s_nationkey") == F.col("c_nationkey")).select(node("org:s", "s_suppkey").alias("source"), node("role:c", "k").alias("target"))
-    return graph.shortest_paths(edges.where("type in ('LOCATED_IN', 'HELD_ROLE')"), nodes, pairs).select("source", "target", (F.size("path") - 1).alias("hops"))
+    s = table(spark, sf, "supplier").select(node("org:s", "s_suppkey").alias("source"), "s_nationkey", "s_suppkey")
+    near = s.join(first, F.col("s_nationkey") == F.col("c_nationkey")).select("source", node("role:c", "k").alias("target"))
+    far = s.join(first, (F.col("s_nationkey") + 1) % 25 == F.col("c_nationkey")).select("source", node("role:c", "k").alias("target"))
+    own = s.select("source", F.col("source").alias("target"))
+    hub = s.select(F.concat(F.lit("person:r"), (F.col("s_suppkey") % 5).cast("string")).alias("source"), F.col("source").alias("target"))
+    none = s.select("source", F.concat(F.lit("skill:p"), F.col("s_suppkey").cast("string")).alias("target"))
+    pairs = near.unionByName(far).unionByName(own).unionByName(hub).unionByName(none)
+    return graph.shortest_paths(edges, nodes, pairs).select("source", "target", (F.size("path") - 1).alias("hops"), F.array_join("path", ">").alias("path"))
 
 
 def skill_evidence(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,9 +174,14 @@ def entity_link(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def name_search(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), normalize_name(F.col("p_name")).alias("label"))
-    asked = p.groupBy(F.substring("label", 1, 4).alias("q")).agg(F.min("id").alias("qid"))
-    return search.name_search(p, asked).select("qid", "id", "rank")
+    """Starts and inner parts of part names as queries; types are aliases; a part's pagerank is its share of a thousand prices."""
+    p, key = table(spark, sf, "part"), normalize_name(F.col("p_name"))
+    rank = F.round(F.col("p_retailprice") / 1000000, 6)
+    names = p.select(F.col("p_partkey").alias("id"), key.alias("label"), rank.alias("pagerank")).unionByName(p.select(F.col("p_partkey").alias("id"), normalize_name(F.col("p_type")).alias("label"), rank.alias("pagerank")))
+    asked = p.groupBy(F.substring(key, 1, 4).alias("q")).agg(F.min("p_partkey").alias("qid"))
+    inner = p.groupBy(F.substring(key, 3, 2).alias("q")).agg((F.min("p_partkey") + 1_000_000).alias("qid"))
+    kinds = p.groupBy(normalize_name(F.substring("p_type", 2, 5)).alias("q")).agg((F.min("p_partkey") + 2_000_000).alias("qid"))
+    return search.name_search(names, asked.unionByName(inner).unionByName(kinds).select("qid", "q"))
 
 
 def history_window(spark: SparkSession, sf: str) -> DataFrame:
@@ -216,9 +231,16 @@ asked AS (SELECT qid, unnest(list_slice(ts, 1, 24)) AS term FROM (
   SELECT item_id AS qid, list_distinct_in_order AS ts FROM (
    SELECT item_id, (SELECT list(x ORDER BY p) FROM (SELECT x, min(p) AS p FROM (SELECT unnest(f) AS x, generate_subscripts(f, 1) AS p) GROUP BY x)) AS list_distinct_in_order
    FROM (SELECT item_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_.+#-]+'), lambda x: len(x) >= 2 AND x NOT IN (STOPWORDS)) AS f FROM benchmark)))),
-postings AS (SELECT term, id, len, count(*) AS tf FROM (SELECT id, len(t) AS len, unnest(t) AS term FROM terms) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
-dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
-weights AS (SELECT term, id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)) AS w FROM postings JOIN dfs USING (term), stats),
+qt AS (SELECT DISTINCT term FROM asked WHERE regexp_full_match(term, '\\p{L}{6,}')),
+vocab AS (SELECT DISTINCT m FROM (SELECT unnest(t) AS m FROM terms) WHERE len(m) >= 5),
+near AS (SELECT DISTINCT term, m FROM (SELECT term, unnest(list_concat([term], list_transform(range(1, len(term) + 1), lambda i: left(term, i - 1) || substr(term, i + 1)))) AS form FROM qt)
+ JOIN (SELECT m, unnest(list_concat([m], list_transform(range(1, len(m) + 1), lambda i: left(m, i - 1) || substr(m, i + 1)))) AS form FROM vocab) USING (form) WHERE term <> m),
+forms AS (SELECT term, term AS match, 1.0::DOUBLE AS boost FROM (SELECT DISTINCT term FROM asked)
+ UNION ALL SELECT DISTINCT term, m, 1 - 1.0::DOUBLE / least(len(term), len(m)) FROM (SELECT term, m, unnest(range(0, len(term) + 1)) AS i FROM near)
+ WHERE left(term, i) = left(m, i) AND (substr(term, i + 2) IN (substr(m, i + 2), substr(m, i + 1)) OR substr(term, i + 1) = substr(m, i + 2) OR substr(term, i + 1, 2) = reverse(substr(m, i + 1, 2)) AND substr(term, i + 3) = substr(m, i + 3))),
+postings AS (SELECT match, id, len, count(*) AS tf FROM (SELECT id, len(t) AS len, unnest(t) AS match FROM terms) WHERE match IN (SELECT match FROM forms) GROUP BY ALL),
+dfs AS (SELECT match, count(*) AS df FROM postings GROUP BY match),
+weights AS (SELECT term, id, max(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS w FROM postings JOIN dfs USING (match) JOIN forms USING (match), stats GROUP BY ALL),
 scored AS (SELECT qid, id, round(sum(w), 6) AS score FROM asked JOIN weights USING (term) GROUP BY ALL),
 sparse AS (SELECT * FROM (SELECT qid, id, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1)::INT AS rank FROM scored) WHERE rank < 12)"""
 _DENSE = """
@@ -246,6 +268,8 @@ def _oracles() -> dict[str, str]:
     fold = "regexp_replace(lower(strip_accents({0})), '[^a-z0-9+#]', '', 'g')"
     norm = lambda c: f"regexp_replace(replace(replace({fold.format(c)}, '++', 'pp'), '#', 'sharp'), '[^a-z0-9]', '', 'g')"
     buckets = ", ".join(f"count(*) FILTER (WHERE value / 100 <= {b}) AS le_{str(b).replace('.', '_')}" for b in limits.BOUNDS)
+    once = lambda i: f"r{i} AS MATERIALIZED (SELECT id, sum(x) AS rank FROM (SELECT target AS id, 0.85 * rank * p AS x FROM r{i - 1} JOIN walk ON r{i - 1}.id = source UNION ALL SELECT id, (0.15 + 0.85 * coalesce((SELECT sum(rank) FROM r{i - 1} SEMI JOIN lone USING (id)), 0)) / n FROM nodes, n) GROUP BY id),"
+    GLOBAL = "\n".join(once(i) for i in range(1, 61))  # noqa: N806
     return {
         "bm25_topk": f"WITH {bm25} SELECT qid, id, score, rank FROM sparse",
         "vector_topk": f"WITH {dense('q.vec_id % 50 = 0')} SELECT qid, id, score, rank FROM dense",
@@ -261,13 +285,27 @@ SELECT * FROM (SELECT qid, id, score, (row_number() OVER (PARTITION BY qid ORDER
         "neighbors": f"WITH {_EDGES} SELECT source AS id, type, 'out' AS direction, target AS other FROM edges UNION ALL SELECT target, type, 'in', source FROM edges",
         "induced_subgraph": "SELECT c_nationkey AS qid, 'role:c' || c_custkey AS source, 'DELIVERED' AS type, 'project:o' || o_orderkey AS target FROM orders JOIN customer ON o_custkey = c_custkey",
         "match_path": "SELECT 'person:r' || n_regionkey AS n0, 'role:c' || c_custkey AS n1, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2",
-        "global_pagerank": f"""WITH {_EDGES}, {walk("'DELIVERED'", '1.0::DOUBLE')}, nodes AS (SELECT 'role:c' || c_custkey AS id FROM customer UNION ALL SELECT 'project:o' || o_orderkey FROM orders),
-restart AS (SELECT 'all' AS qid, id, 1.0::DOUBLE / count(*) OVER () AS r FROM nodes), {steps(0.85)}
-SELECT id, round(rank * (SELECT count(*) FROM nodes), 4) AS scaled_rank FROM r{RANK_STEPS}""",
+        "global_pagerank": f"""WITH RECURSIVE {_EDGES}, weighted AS (SELECT source, target, CASE type WHEN 'IN_DOMAIN' THEN 0.35 WHEN 'LOCATED_IN' THEN 0.3 ELSE 1.0 END::DOUBLE AS w FROM edges WHERE type <> 'HELD_ROLE'),
+flat AS (SELECT source, target, sum(w) AS w FROM (SELECT * FROM weighted UNION ALL SELECT target, source, w FROM weighted) GROUP BY ALL),
+walk AS (SELECT source, target, w / sum(w) OVER (PARTITION BY source) AS p FROM flat),
+nodes AS (SELECT 'role:c' || c_custkey AS id FROM customer UNION ALL SELECT 'project:o' || o_orderkey FROM orders UNION ALL SELECT 'skill:p' || p_partkey FROM part UNION ALL SELECT 'org:s' || s_suppkey FROM supplier UNION ALL SELECT 'loc:n' || n_nationkey FROM nation UNION ALL SELECT DISTINCT 'domain:' || {_SLUG.format('p_type')} FROM part UNION ALL SELECT 'person:r' || r_regionkey FROM region),
+lone AS (SELECT id FROM nodes WHERE id NOT IN (SELECT source FROM walk)), n AS (SELECT count(*)::DOUBLE AS n FROM nodes),
+r0 AS (SELECT id, 1 / n AS rank FROM nodes, n),
+{GLOBAL}
+top AS (SELECT max(rank) AS m FROM r60)
+SELECT id, round(CASE WHEN starts_with(id, 'person:') THEN 1.6 * m ELSE rank END * 1000000, 2) AS parts FROM r60, top""",
         "ppr_k_iters": f"""WITH {_EDGES}, {walk("'DELIVERED', 'USES', 'IN_DOMAIN'", "CASE WHEN type = 'IN_DOMAIN' THEN 0.35::DOUBLE ELSE 1.0::DOUBLE END")},
 restart AS (SELECT c_nationkey AS qid, 'role:c' || min(c_custkey) AS id, 1.0::DOUBLE AS r FROM customer GROUP BY 1), {steps(0.5)}
 SELECT qid, id, round(rank, 6) AS rank FROM r{RANK_STEPS}""",
-        "shortest_paths": "SELECT 'org:s' || s_suppkey AS source, 'role:c' || k AS target, 2 AS hops FROM supplier JOIN (SELECT c_nationkey, min(c_custkey) AS k FROM customer GROUP BY 1) ON s_nationkey = c_nationkey",
+        "shortest_paths": f"""WITH RECURSIVE {_EDGES},
+hops AS (SELECT DISTINCT * FROM (SELECT source AS a, target AS b FROM edges WHERE type IN ('LOCATED_IN', 'HELD_ROLE', 'IN_DOMAIN') UNION ALL SELECT target, source FROM edges WHERE type IN ('LOCATED_IN', 'HELD_ROLE', 'IN_DOMAIN'))),
+first AS (SELECT c_nationkey AS n, min(c_custkey) AS k FROM customer GROUP BY 1),
+pairs AS (SELECT 'org:s' || s_suppkey AS source, 'role:c' || k AS target FROM supplier JOIN first ON s_nationkey = n UNION SELECT 'org:s' || s_suppkey, 'role:c' || k FROM supplier JOIN first ON (s_nationkey + 1) % 25 = n
+ UNION SELECT 'org:s' || s_suppkey, 'org:s' || s_suppkey FROM supplier UNION SELECT 'person:r' || s_suppkey % 5, 'org:s' || s_suppkey FROM supplier UNION SELECT 'org:s' || s_suppkey, 'skill:p' || s_suppkey FROM supplier),
+walks AS (SELECT source, source AS here, [source] AS path FROM (SELECT DISTINCT source FROM pairs)
+ UNION ALL SELECT source, b, list_append(path, b) FROM walks JOIN hops ON here = a WHERE len(path) <= 3 AND NOT list_contains(path, b) AND (len(path) = 1 OR NOT (starts_with(here, 'person:') OR starts_with(here, 'domain:')))),
+met AS (SELECT source, target, path, row_number() OVER (PARTITION BY source, target ORDER BY len(path), path) AS n FROM walks JOIN pairs USING (source) WHERE here = target)
+SELECT source, target, len(path)::INT - 1 AS hops, array_to_string(path, '>') AS path FROM met WHERE n = 1""",
         "skill_evidence": """WITH roles AS (SELECT o_custkey AS id, min(o_orderdate)::DATE AS s, max(o_orderdate)::DATE AS e FROM orders GROUP BY 1),
 spent AS (SELECT id, e, greatest(0.1, year(e) - year(s) + (month(e) - month(s) + 1) / 12) AS y FROM roles),
 r AS (SELECT l_partkey AS k, sum(0.35 + 0.1 * least(y, 4)) AS r, count(*) AS n, sum(y) AS years, max(strftime(e, '%Y-%m')) AS last, bool_or(year(e) >= 1998) AS now
@@ -293,8 +331,10 @@ SELECT doc_id, string_agg(n::VARCHAR, ',' ORDER BY n) AS refs FROM (SELECT DISTI
         "entity_link": f"""WITH i AS (SELECT {norm('p_name')} AS k, min(p_partkey) AS f FROM part GROUP BY 1), a AS (SELECT p_partkey, {norm("CASE WHEN p_partkey % 2 = 0 THEN p_name || 's' ELSE p_name END")} AS q FROM part),
 t AS (SELECT p_partkey, 0 AS pr, q AS k FROM a UNION ALL SELECT p_partkey, 1, q || 's' FROM a UNION ALL SELECT p_partkey, 2, left(q, -1) FROM a WHERE len(q) > 3 AND q LIKE '%s')
 SELECT p_partkey, arg_min(f, pr) AS linked FROM t JOIN i USING (k) GROUP BY 1""",
-        "name_search": f"""WITH p AS (SELECT p_partkey AS id, {norm('p_name')} AS label FROM part), a AS (SELECT left(label, 4) AS q, min(id) AS qid FROM p GROUP BY 1)
-SELECT * FROM (SELECT qid, id, (row_number() OVER (PARTITION BY qid ORDER BY id) - 1)::INT AS rank FROM p JOIN a ON starts_with(label, q)) WHERE rank < 12""",
+        "name_search": f"""WITH p AS (SELECT p_partkey AS id, {norm('p_name')} AS l1, {norm('p_type')} AS l2, round(p_retailprice / 1000000, 6) AS pr, p_type FROM part),
+a AS (SELECT left(l1, 4) AS q, min(id) AS qid FROM p GROUP BY 1 UNION ALL SELECT substring(l1, 3, 2), min(id) + 1000000 FROM p GROUP BY 1 UNION ALL SELECT {norm('substring(p_type, 2, 5)')}, min(id) + 2000000 FROM p GROUP BY 1),
+s AS (SELECT qid, id, round(CASE WHEN starts_with(l1, q) OR starts_with(l2, q) THEN 2.0 ELSE 1.0 END + 50 * pr, 6)::DOUBLE AS score FROM p JOIN a ON contains(l1, q) OR contains(l2, q))
+SELECT * FROM (SELECT qid, id, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1)::INT AS rank FROM s) WHERE rank < 12""",
         "history_window": r"""WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'Visitor' ELSE 'Assistant' END AS who, trim(regexp_replace(text, '\[\d{1,3}(?:\s*[,;–-]\s*\d{1,3})*\]', '', 'g'), e' \t\n\r') AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations)
 SELECT conv_id, string_agg(who || ': ' || CASE WHEN len(s) <= 700 THEN s ELSE rtrim(left(s, 699)) || '…' END, chr(10) ORDER BY turn) AS history FROM t WHERE n <= 6 GROUP BY 1""",
         "block_ids": "SELECT event_id, key, sum(n) OVER (PARTITION BY key ORDER BY ts, event_id)::BIGINT AS block FROM (SELECT event_id, ts, user_id AS key, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS n FROM events)",

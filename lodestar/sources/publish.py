@@ -6,6 +6,7 @@ that is only appended to, so a failed publish leaves the one before in force.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 from functools import reduce
 
@@ -54,32 +55,38 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def current(spark: SparkSession, path: str) -> str | None:
-    """The version in force, if any."""
+def _newest(spark: SparkSession, path: str):
     if not _exists(spark, f"{path}/versions"):
         return None
-    row = spark.read.parquet(f"{path}/versions").agg(F.max_by("version", F.struct("built_at", "version"))).first()
-    return row[0]
+    return spark.read.parquet(f"{path}/versions").agg(F.max_by(F.struct("version", "folder"), F.struct("built_at", "folder")).alias("v")).first().v
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The version in force, if any."""
+    newest = _newest(spark, path)
+    return newest.version if newest else None
 
 
 def publish(spark: SparkSession, graph: dict[str, DataFrame], path: str, force: bool = False) -> tuple[str, bool]:
-    """(version, written). All tables first, then one row that puts them in force; unchanged content is left alone."""
+    """(version, written). All tables first, into a folder of their own, then one row that puts them in force; unchanged
+    content is left alone unless ``force``d, and what is in force is never written over."""
     version = graph_version(graph).first()[0]
     if version == current(spark, path) and not force:
         return version, False
+    folder = f"build-{uuid.uuid4().hex}"
     for name, df in graph.items():
-        df.write.mode("overwrite").parquet(f"{path}/version={version}/{name}")
-    done = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("built_at"))
+        df.write.parquet(f"{path}/{folder}/{name}")
+    done = spark.range(1).select(F.lit(version).alias("version"), F.lit(folder).alias("folder"), F.current_timestamp().alias("built_at"))
     done.coalesce(1).write.mode("append").parquet(f"{path}/versions")
     return version, True
 
 
 def load(spark: SparkSession, path: str, names: Iterable[str] = ("entities", "relations")) -> dict[str, DataFrame]:
     """Tables of the version in force; a missing type or name is filled, and edges to unknown nodes are dropped."""
-    version = current(spark, path)
-    if version is None:
+    newest = _newest(spark, path)
+    if newest is None:
         raise FileNotFoundError(f"nothing published at {path}")
-    graph = {n: spark.read.parquet(f"{path}/version={version}/{n}") for n in names}
+    graph = {n: spark.read.parquet(f"{path}/{newest.folder}/{n}") for n in names}
     nodes = graph["entities"].withColumn("type", F.coalesce("type", F.lit("Entity"))).withColumn("name", F.coalesce("name", "id"))
     graph["entities"] = nodes
     for end in ("source", "target"):
@@ -149,3 +156,26 @@ def read_repo_files(spark: SparkSession, root: str) -> DataFrame:
     plain = kept.where(F.locate("00", F.regexp_replace(F.hex(F.substring("content", 1, 4096)), "(..)", "$1 ")) == 0)
     text = F.coalesce(F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
     return plain.select(F.substring_index("p", "/", 1).alias("repo"), F.regexp_replace("p", "^[^/]+/", "").alias("path"), F.col("length").alias("size"), text.alias("text"))
+
+
+def incremental_enrich(stream: DataFrame, keys: list[str], cache: str, out: str, checkpoint: str, fn: Callable, schema: str):
+    """A query that enriches what arrives and appends it to ``out``: content that the cache knows is not computed again.
+    Each batch is written whole or again; the cache makes a repeat cheap."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        done, _ = cached_enrich(batch, keys, cache, fn, schema)
+        done.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def with_current(stream: DataFrame, path: str, table: str, on: str, sink: Callable, checkpoint: str):
+    """A query that joins each batch with ``table`` of the graph version in force when the batch begins; ``sink`` takes
+    (rows, version, batch number). A new version is picked up at the next batch, as the pointer is read again."""
+    spark = stream.sparkSession
+
+    def each(batch: DataFrame, number: int) -> None:
+        side = load(spark, path, ["entities", "relations"] if table in ("entities", "relations") else ["entities", "relations", table])[table]
+        sink(batch.join(side, on, "left"), current(spark, path), number)
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
