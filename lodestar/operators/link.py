@@ -44,11 +44,12 @@ def mentioned(questions: DataFrame, index: DataFrame, stop: tuple[str, ...] = ST
     """
     words = F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), "?,", "  "), r"\s+"), lambda w: w != "")
     split = questions.select("qid", words.alias("w")).where(F.size("w") > 0)
-    runs = [
-        F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i, n=n: F.struct(F.lit(LONGEST - n).alias("shorter"), i.alias("at"), F.array_join(F.slice("w", i, n), " ").alias("name"))))
-        .otherwise(F.array().cast("array<struct<shorter:int,at:int,name:string>>"))
-        for n in range(LONGEST, 0, -1)
-    ]
+
+    def runs_of(n: int) -> Column:
+        run = lambda i: F.struct(F.lit(LONGEST - n).alias("shorter"), i.alias("at"), F.array_join(F.slice("w", i, n), " ").alias("name"))
+        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), run)).otherwise(F.array().cast("array<struct<shorter:int,at:int,name:string>>"))
+
+    runs = [runs_of(n) for n in range(LONGEST, 0, -1)]
     asked = split.select("qid", F.explode(F.concat(*runs)).alias("r")).select("qid", "r.*")
     asked = asked.where((F.length("name") >= 2) & ~((F.col("shorter") == LONGEST - 1) & F.lower("name").isin(*stop)))
     found = lookup(asked, index).where("type <> 'Person'").groupBy("qid", "id").agg(F.min(F.struct("shorter", "at")).alias("at"))

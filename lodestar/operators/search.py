@@ -162,22 +162,24 @@ def near_pairs(vectors: DataFrame, least: float = 0.95, pivots: int = 3) -> Data
     sizes = own.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / NEAR_BLOCK).cast("int").alias("blocks"))
     around = own.withColumn("home", F.col("cell"))
     for i in range(len(picked)):
-        around = around.withColumn("_d", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("cell", F.transform("cell", lambda c, at, i=i: c + F.when(at == i, F.col("_d")).otherwise(0))).drop("_d")
+        parts = [F.get("cell", F.lit(j)) + (F.col("_d") if j == i else F.lit(0)) for j in range(len(picked))]
+        around = around.withColumn("_d", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("cell", F.array(*parts)).drop("_d")
     there = sizes.select(F.col("cell").alias("home"), F.col("blocks").alias("others"))
     met = sizes.select("cell").join(around.select("cell", "home").distinct(), "cell").join(sizes, "cell").join(there, "home")  # cells, not rows
     at = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     span = lambda n: F.sequence(F.lit(0), n - 1)
     left = own.join(met, "cell").select("cell", "home", at(F.col("blocks")).alias("i"), F.explode(span(F.col("others"))).alias("j"), "id", "v")
-    right = own.withColumnRenamed("cell", "home").join(met, "home").select("cell", "home", F.explode(span(F.col("blocks"))).alias("i"), at(F.col("others")).alias("j"), "id", "v")
+    right = own.withColumnRenamed("cell", "home").join(met, "home").select("cell", "home", F.explode(span(F.col("blocks"))).alias("i"), at(F.col("others")).alias("j"), F.col("id").alias("other"), F.col("v").alias("w"))
     kind = vectors.schema["id"].dataType.simpleString()
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame({"a": [], "b": [], "score": []})
-        s = np.stack(x["v"].to_numpy()) @ np.stack(y["v"].to_numpy()).T
+        s = np.stack(x["v"].to_numpy()) @ np.stack(y["w"].to_numpy()).T
         i, j = np.nonzero(s >= least - 1e-12)
-        found = pd.DataFrame({"a": x["id"].to_numpy()[i], "b": y["id"].to_numpy()[j], "score": s[i, j]})
+        found = pd.DataFrame({"a": x["id"].to_numpy()[i], "b": y["other"].to_numpy()[j], "score": s[i, j]})
         return found[found["a"] < found["b"]]
 
     keys = ["cell", "home", "i", "j"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, f"a {kind}, b {kind}, score double")
+    right = right.toDF(*[f"_{c}" for c in keys], "other", "w")
+    return left.groupBy(*keys).cogroup(right.groupBy(*[f"_{c}" for c in keys])).applyInPandas(compare, f"a {kind}, b {kind}, score double")

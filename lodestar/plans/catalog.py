@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import CITATION, citation_refs, normalize_name, slugify, truncate
 from lodestar.operators import evidence, graph, search
-from lodestar.plans import answers, build, live, upkeep
+from lodestar.plans import answers, build, explore, live, upkeep
 from lodestar.sources.tables import entities, node, relations, spread, table
 from lodestar.streaming import limits, state
 
@@ -213,7 +213,7 @@ def daily_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (rrf_fusion, bm25_topk, vector_topk, relation_dedup, entity_merge, type_counts, degree, neighbors, induced_subgraph, match_path, global_pagerank, ppr_k_iters, shortest_paths, skill_evidence, type_share, fit_score, citations, normalize_names, entity_link, name_search, history_window, block_ids, heartbeat, red_metrics, daily_budget)}
-QUERIES |= build.QUERIES | live.QUERIES | answers.QUERIES | upkeep.QUERIES
+QUERIES |= build.QUERIES | live.QUERIES | answers.QUERIES | upkeep.QUERIES | explore.QUERIES
 
 _SLUG = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 _EDGES = f"""edges AS (
@@ -347,4 +347,4 @@ SELECT event_id, key::VARCHAR AS key, accepted, used::BIGINT AS used FROM r""",
     }
 
 
-ORACLES = _oracles() | build.ORACLES | live.ORACLES | answers.ORACLES | upkeep.ORACLES
+ORACLES = _oracles() | build.ORACLES | live.ORACLES | answers.ORACLES | upkeep.ORACLES | explore.ORACLES
