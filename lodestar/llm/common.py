@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="lodestar-checkpoint-")
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -44,6 +46,20 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(df: DataFrame, *names: str) -> list[Column]:
+    """The columns of ``df`` but those that a result of these names replaces."""
+    gone = {n.lower() for n in names}
+    return [df[f"`{c}`"] for c in df.columns if c.lower() not in gone]
+
+
 def text_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of whole texts holds: few rows each, as a text can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")

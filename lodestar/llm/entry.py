@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +31,9 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Under the key in spark.lodestar.pii.key; without one, under a new key that nobody keeps."""
+    key = spark.conf.get("spark.lodestar.pii.key", None) or secrets.token_hex(32)
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,18 @@
 """Language identification by compression (operator 3).
 
 Each language has a zstandard raw-content dictionary of labelled text. A text is cut into blocks, each block is
-compressed with every language's dictionary, and the language with the fewest bytes wins. Texts up to SHORT bytes are
-also compressed with DICTS parts of each dictionary: the mean of several counts is finer than one byte, which decides
-short texts. A margin below ``min_margin`` (the relative gain of the best over the second best) marks the text as
-rejected.
+compressed with each of the DICTS dictionaries of every language, and the language with the fewest bytes in the mean wins:
+the mean of several counts is finer than one byte, which decides short texts. A margin below ``min_margin`` (the relative
+gain of the best over the second best) marks the text as rejected.
 
-What is fitted is bounded: DICTS x DICT_BYTES of text a language, from the SAMPLE_DOCS labelled rows with the
-smallest hash of id and text, of the MAX_LANGUAGES commonest languages; per-language statistics play no part otherwise. The dictionaries (at most
-MAX_LANGUAGES x DICTS x DICT_BYTES = 12 MB) travel with the task. Every block of every text is scored.
+What is fitted is bounded: DICTS dictionaries of DICT_BYTES a language, from the SAMPLE_DOCS labelled rows with the
+smallest hash of id and text. A long text gives a piece from a place that its hash chooses. All languages have
+dictionaries; past some hundred of them each gets a smaller one, so that together they hold ALL_BYTES at most. They travel
+with the task. Every block of every text is scored.
 
 Edge cases: a null text, or one with no letter, is ``und`` with score 0 and rejected; ties go to the language that
 sorts first; repeated rows are scored alike; with no labelled text at all every row is ``und``; an empty table gives
-no rows; other columns are ignored.
+no rows; other columns are kept, those of the names that are added are replaced.
 """
 
 from __future__ import annotations
@@ -25,10 +25,10 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, hash_bound, text_batches
+from .common import fold, free, hash_bound, text_batches, without
 
-DICTS, DICT_BYTES, SAMPLE_DOCS, MAX_LANGUAGES = 4, 32_768, 400, 96
-BLOCK, SHORT = 4_096, 600
+DICTS, DICT_BYTES, SAMPLE_DOCS, ALL_BYTES = 3, 49_152, 400, 12 << 20
+BLOCK = 4_096
 #: Below this relative margin a text is rejected.
 MIN_MARGIN = 0.001
 #: Bytes of one header that every zstandard frame carries here; they say nothing about the text.
@@ -37,10 +37,13 @@ _FRAME = 6
 
 def learn(docs: DataFrame) -> dict[str, list[bytes]]:
     """Dictionaries by language from rows with text and lang; only a bounded sample comes to the driver."""
-    usable = docs.where("lang is not null and text is not null and length(text) >= 40").select("doc_id", "lang", "text")
-    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    usable = docs.where("lang is not null and text <> ''").select("doc_id", "lang", "text")
+    common = usable.groupBy("lang").count().collect()  # a row a language
     if not common:
         return {}
+    size = min(DICT_BYTES, ALL_BYTES // (DICTS * len(common)))
+    piece = 8 * DICTS * size // SAMPLE_DOCS
+    at = F.pmod(F.col("_h"), F.greatest(F.lit(1), F.length("text") - piece + 1)).cast("int") + 1
     order, few = F.xxhash64("doc_id", "text"), Window.partitionBy("lang").orderBy("_h")
     bounds = F.create_map(*[F.lit(x) for r in common for x in (r.lang, hash_bound(SAMPLE_DOCS, r["count"]))])
     rows = (
@@ -48,7 +51,7 @@ def learn(docs: DataFrame) -> dict[str, list[bytes]]:
         .where(F.col("_h") <= bounds[F.col("lang")])  # about 2 x SAMPLE_DOCS rows a language, before they are dealt
         .withColumn("_n", F.row_number().over(few))
         .where(F.col("_n") <= SAMPLE_DOCS)
-        .select("lang", "_n", F.substring("text", 1, 2 * DICTS * DICT_BYTES // SAMPLE_DOCS * 4).alias("text"))
+        .select("lang", "_n", F.substring("text", at, F.lit(piece)).alias("text"))
         .orderBy("lang", "_n")
         .collect()
     )  # at most SAMPLE_DOCS rows a language
@@ -56,7 +59,7 @@ def learn(docs: DataFrame) -> dict[str, list[bytes]]:
     for r in rows:
         own = parts.setdefault(r.lang, [[] for _ in range(DICTS)])
         own[r._n % DICTS].append(_prepared(r.text).encode("utf-8", "surrogatepass"))
-    return {lang: [b"\n".join(p)[-DICT_BYTES:] or b"\n" for p in own] for lang, own in sorted(parts.items())}
+    return {lang: [b"\n".join(p)[-size:] or b"\n" for p in own] for lang, own in sorted(parts.items())}
 
 
 def _prepared(text: str) -> str:
@@ -68,9 +71,7 @@ class Classifier:
 
     def __init__(self, dictionaries: dict[str, list[bytes]]):
         self.langs = list(dictionaries)
-        whole = {lang: self._compressor(b"\n".join(parts)) for lang, parts in dictionaries.items()}
-        self.long = [[whole[lang]] for lang in self.langs]
-        self.short = [[whole[lang], *map(self._compressor, dictionaries[lang])] for lang in self.langs]
+        self.own = [[*map(self._compressor, dictionaries[lang])] for lang in self.langs]
 
     @staticmethod
     def _compressor(raw: bytes):
@@ -85,7 +86,7 @@ class Classifier:
         """Mean bytes of the text by language, over all its blocks."""
         data = _prepared(text).encode("utf-8", "surrogatepass")
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-        return [sum(max(len(c(b)) - _FRAME, 0) for b in blocks for c in own) / len(own) for own in (self.short if len(data) <= SHORT else self.long)]
+        return [sum(max(len(c(b)) - _FRAME, 0) for b in blocks for c in own) / len(own) for own in self.own]
 
     def __call__(self, text: str | None) -> tuple[str, float, float]:
         """(language, score from 0 to 1, margin)."""
@@ -113,14 +114,11 @@ def identify(docs: DataFrame, dictionaries: dict[str, list[bytes]], min_margin:
         for texts in batches:
             yield pd.DataFrame([classify(t) for t in texts], columns=["lang_pred", "score", "margin"])
 
-    out = docs.withColumn("_p", predict(F.col("text")))
-    return out.select(
-        *[docs[c] for c in docs.columns],
-        F.col("_p.lang_pred").alias("lang_pred"),
-        F.col("_p.score").alias("lang_score"),
-        F.col("_p.margin").alias("lang_margin"),
-        ((F.col("_p.lang_pred") == "und") | (F.col("_p.margin") < min_margin)).alias("lang_rejected"),
-    )
+    p, added = free(docs, "_p"), ("lang_pred", "lang_score", "lang_margin", "lang_rejected")
+    out = docs.withColumn(p, predict(F.col("text")))
+    lang, margin = F.col(f"{p}.lang_pred"), F.col(f"{p}.margin")
+    rejected = (lang == "und") | (margin < min_margin)
+    return out.select(*without(docs, *added), *[c.alias(n) for c, n in zip((lang, F.col(f"{p}.score"), margin, rejected), added)])
 
 
 def held_out(doc_id: str = "doc_id"):

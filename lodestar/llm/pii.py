@@ -8,7 +8,8 @@ valid (check digits, ranges, calendar), equal values stay equal in all documents
 different values stay different. Everything happens inside the row: no shuffle, no Python.
 
 Edge cases: a null text stays null; what fails its validation is left as it is; repeated rows are treated alike; an
-empty table gives no rows; other columns are kept, whatever their names.
+empty table gives no rows; other columns are kept, those of the names that are added are replaced. The key is the
+caller's: who has it can undo the pseudonyms, and it is a literal of the plan, so plans and event logs are as secret.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROUNDS, KEY = 8, "lodestar"
+from .common import free
+
+ROUNDS = 8
 #: The forms that are looked for, the more specific first.
 PATTERN = "|".join(
     (
@@ -157,19 +160,20 @@ def _written(c: Column) -> Column:
     )
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with personal values in text replaced, plus pii_found and pii_replaced (array of the kinds replaced)."""
     found = F.regexp_extract_all(F.col("text"), F.lit(PATTERN), F.lit(0))
     kinds = F.transform(found, lambda s: F.struct(s.alias("s"), _kind(s).alias("kind")))
     pairs = F.transform(kinds, lambda c: F.struct(c.s.alias("s"), c.kind.alias("kind"), F.when(c.kind.isNotNull(), _pairs(c)).alias("p")))
     mixed = F.transform(pairs, lambda c: F.struct(c.s.alias("s"), c.kind.alias("kind"), c.p.alias("p"), F.when(c.kind.isNotNull(), F.transform(c.p, lambda p: _feistel(c.kind, p, key))).alias("q")))
     done = F.transform(mixed, lambda c: F.struct(F.coalesce(F.when(c.kind.isNotNull(), _written(c)), c.s).alias("to"), c.kind.alias("kind")))
-    marked = docs.withColumn("_done", done)
+    d = free(docs, "_done")
+    marked = docs.withColumn(d, done)
     between = F.split(F.col("text"), PATTERN, -1)
-    woven = F.array_join(F.flatten(F.zip_with(between, F.col("_done.to"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    text = F.when(F.size("_done") > 0, woven).otherwise(F.col("text"))
+    woven = F.array_join(F.flatten(F.zip_with(between, F.col(f"{d}.to"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    text = F.when(F.size(d) > 0, woven).otherwise(F.col("text"))
     return marked.select(
-        *[text.alias("text") if c == "text" else docs[c] for c in docs.columns],
-        F.coalesce(F.greatest(F.size("_done"), F.lit(0)), F.lit(0)).cast("long").alias("pii_found"),
-        F.coalesce(F.filter(F.col("_done.kind"), lambda k: k.isNotNull()), F.array().cast("array<string>")).alias("pii_replaced"),
+        *[text.alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns if c.lower() not in ("pii_found", "pii_replaced")],
+        F.coalesce(F.greatest(F.size(d), F.lit(0)), F.lit(0)).cast("long").alias("pii_found"),
+        F.coalesce(F.filter(F.col(f"{d}.kind"), lambda k: k.isNotNull()), F.array().cast("array<string>")).alias("pii_replaced"),
     )

@@ -22,10 +22,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, smallest
+from .common import fold, free, smallest
 
 TREES, DEPTH, SEED, CUT = 15, 5, 7, 0.5
-SAMPLE_DOCS, DICTIONARY, SAMPLE_FINDINGS = 20_000, 250, 20_000
+SAMPLE_DOCS, DICTIONARY, SAMPLE_FINDINGS, TASKS = 20_000, 250, 20_000, 24
 LEAST, LEAST_NAMED, LEAST_MIXED = 16, 4, 8
 FEATURES = ["len", "digits", "uppers", "transitions", "distinct", "hex", "words", "paths", "dots", "assigned", "named", "example", "letters", "strict", "issuer"]
 #: Names before a secret, and words beside a made-up one.
@@ -132,6 +132,16 @@ def rule_labels(found: DataFrame) -> DataFrame:
     return found.withColumn("label", (((f.issuer == 1) | random) & (f.example == 0)).cast("int"))
 
 
+def table_labels(labels: DataFrame):
+    """For ``fitted``: labels that people gave, as labels(doc_id, secret_sha256, label); findings not among them teach nothing."""
+    given = labels.groupBy("doc_id", "secret_sha256").agg(F.max(F.col("label").cast("int")).alias("label"))
+
+    def of(found: DataFrame) -> DataFrame:
+        return found.withColumn("secret_sha256", F.sha2(F.col("c.v").cast("binary"), 256)).join(given, ["doc_id", "secret_sha256"], "left").drop("secret_sha256")
+
+    return of
+
+
 def issued_examples(spark: SparkSession, n: int = 200) -> DataFrame:
     """Documents holding made-up keys of known issuers, passwords and values that are none: what the sample may lack."""
     body = F.translate(F.sha2(F.concat(F.lit("example"), F.col("id")).cast("binary"), 256), "0123456789abcdef", "Q7C2EFGH3JKL4NOP")
@@ -187,6 +197,7 @@ def fitted(docs: DataFrame, labels=rule_labels) -> tuple[Forest, list[str]]:
     own = docs.where(fold("doc_id", 5) != 0)
     dictionary = learn_dictionary(own)
     few = smallest(own.where("text is not null").select("doc_id", "text"), SAMPLE_DOCS, "doc_id", "text")
+    few = few.repartition(TASKS)  # the sample comes from one task
     found = findings(few.unionByName(issued_examples(docs.sparkSession)), dictionary)
     return train(labels(found)), dictionary
 
@@ -211,10 +222,11 @@ def redact(docs: DataFrame, forest: Forest, dictionary: list[str], mask: str = "
     """``docs`` with every found secret replaced in its text; other texts are unchanged, and no row goes."""
     scored = F.transform(_scanned(F.col("text"), dictionary), lambda x: F.struct((-F.length(x.c.v)).alias("n"), x.c.v.alias("v"), x.c["name"].alias("name"), forest.probability(x.f).alias("p")))
     secrets = F.array_sort(F.array_distinct(F.filter(scored, lambda x: x.p >= CUT)))  # the longest first: one may hold another
-    clean = docs.withColumn("_secrets", secrets)
+    held = free(docs, "_secrets")
+    clean = docs.withColumn(held, secrets)
     # a short value goes only where its name is assigned to it
     after_name = lambda s: F.concat(F.lit(r"(\Q"), s["name"], F.lit(r"""\E["'\\)\]]{0,3}\s*[:=]+>?\s*[^\s\w]{0,3}?)\Q"""), s.v, F.lit(r"\E(?![A-Za-z0-9])"))
     shown = mask.replace("\\", "\\\\").replace("$", "\\$")
     masked = lambda t, s: F.when(F.length(s.v) >= LEAST, F.replace(t, s.v, F.lit(mask))).otherwise(F.regexp_replace(t, after_name(s), F.lit("$1" + shown)))
-    text = F.when(F.size("_secrets") > 0, F.aggregate("_secrets", F.col("text"), masked)).otherwise(F.col("text"))
-    return clean.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    text = F.when(F.size(held) > 0, F.aggregate(held, F.col("text"), masked)).otherwise(F.col("text"))
+    return clean.select(*[text.alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns])

@@ -3,7 +3,8 @@
 A word is the sum of two hashed embeddings, of the word and of its first PREFIX letters, so that inflected and unseen
 forms share what was learned; filters of several widths run over them, the largest response of each filter
 over the whole text is kept, and a logistic layer gives the score, calibrated (Platt) on held-back rows. It is trained
-in numpy from a bounded sample: the SAMPLE labelled rows with the smallest hash of their id, whole texts. A threshold
+in numpy from a bounded sample: the SAMPLE labelled rows with the smallest hash of their id, whole texts, fewer where
+texts are so long that they would hold over SAMPLE_LETTERS in the mean. A threshold
 for each language is chosen on the held-back rows; it decides the extra column ``toxic``, never the score.
 
 Words and first letters are hashed to 2^BITS buckets. Those seen in fewer than LEAST_TEXTS training texts get no
@@ -15,7 +16,8 @@ Scoring needs no shuffle.
 
 Edge cases: null and empty texts, and texts without words, are scored as no words; very long texts are pooled whole;
 repeated rows score alike; labels that are null take no part; with no labels, or labels of one kind only, every score
-is that kind's rate; an empty table gives no rows; other columns are ignored.
+is that kind's rate, and so it is where the rows left to train on, beside those for calibration, are of one kind; an empty
+table gives no rows; other columns are kept, those of the names that are added are replaced.
 """
 
 from __future__ import annotations
@@ -29,11 +31,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import text_batches, without
 
 BITS, EMBED, FILTERS, WIDTHS, PREFIX = 20, 16, 8, (1, 2, 3), 4
 BUCKETS, LEAST_TEXTS, ROWS = 1 << BITS, 4, 1 << 15
-SAMPLE, EPOCHS, STEPS, BATCH, RATE, DROP, START, SEED = 10_000, 6, 1_400, 32, 4e-3, 0.5, 0.02, 11
+SAMPLE, SAMPLE_LETTERS, EPOCHS, STEPS, BATCH, RATE, DROP, START, SEED = 10_000, 100_000_000, 6, 1_400, 32, 4e-3, 0.5, 0.02, 11
+MOST_EPOCHS = 200
 #: Words remembered with their bucket in a Python worker; then the memo starts anew.
 MEMO = 500_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -121,7 +124,7 @@ class TextCNN:
         texts = [self.rows(t) for t in texts]
         rng, params = np.random.default_rng(SEED), [self.embed, *self.taps, *self.bias, self.out, self.base]
         first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-        for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(texts)))):  # a small sample is gone over more often
+        for _ in range(max(EPOCHS, min(MOST_EPOCHS, -(-STEPS * BATCH // len(texts))))):  # a small sample is gone over more often
             order = rng.permutation(len(texts))
             for k in range(0, len(order), BATCH):
                 rows = order[k : k + BATCH]
@@ -169,7 +172,7 @@ class TextCNN:
             self.scale, self.shift = self.scale - d[0], self.shift - d[1]
         score = self.scores(texts)
         for lang in [None, *sorted({x for x in langs if x})]:
-            own = np.array([lang is None or x == lang for x in langs])
+            own = np.array([lang is None or x == lang for x in langs], dtype=bool)
             if lang is None or (own.sum() >= 50 and y[own].sum() >= 5):
                 cuts = np.linspace(0.1, 0.9, 33)
                 hit = [(score[own] >= c) for c in cuts]
@@ -180,12 +183,14 @@ class TextCNN:
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic") -> TextCNN:
     """Trained from rows of labels where ``usable``; at most SAMPLE texts come to the driver."""
     few = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & usable).select("doc_id", F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id")).limit(SAMPLE)
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(few), "doc_id").orderBy(F.xxhash64("doc_id")).limit(SAMPLE).collect()
+    joined = docs.select("doc_id", "text", "lang").join(F.broadcast(few), "doc_id")
+    mean = joined.agg(F.avg(F.length("text"))).first()[0] or 0.0
+    rows = joined.orderBy(F.xxhash64("doc_id")).limit(min(SAMPLE, int(SAMPLE_LETTERS / max(mean, 1.0)))).collect()
     y, texts = np.array([float(r.y) for r in rows]), [_buckets(r.text) for r in rows]
     held = np.array([zlib.crc32(b"c%d" % r.doc_id) % 4 == 0 for r in rows], dtype=bool)
     model = TextCNN([t for t, h in zip(texts, held) if not h])
-    if len(set(y.tolist())) < 2:
-        rate = float(y.mean()) if len(y) else 0.0
+    if len(set(y[~held].tolist())) < 2:
+        rate = float(y.mean()) if len(y) else 0.0  # of all rows
         model.out[:], model.shift = 0, float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)))
         model.thresholds = {None: 0.5}
         return model
@@ -205,4 +210,5 @@ def score(docs: DataFrame, model: TextCNN) -> DataFrame:
 
     base = model.thresholds.get(None, 0.5)
     cuts = [F.when(F.col("lang") == lang, F.lit(c)) for lang, c in model.thresholds.items() if lang]
-    return docs.withColumn("toxicity", run(F.col("text"))).withColumn("toxic", F.col("toxicity") >= F.coalesce(*cuts, F.lit(base)))
+    scored = docs.select(*without(docs, "toxicity", "toxic"), run(F.col("text")).alias("toxicity"))
+    return scored.withColumn("toxic", F.col("toxicity") >= F.coalesce(*cuts, F.lit(base)))

@@ -265,7 +265,7 @@ def test_language_id(spark, odd, none):
 
 def test_pii(spark, none):
     rows = [(1, "card 4041894974608795, 4041 8949 7460 8795; bad 4041894974608796"), (2, "on 2024-02-29 or 29/02/2024, not 2023-02-30"), (3, "ip 61.131.143.218 and 300.1.1.1"), (4, "ssn 123-45-6789, 666-12-1234"), (5, "call +1 (564) 555-4526"), (6, "mail abc.25@mail2.example.com"), (7, None), (8, ""), (9, "nothing"), (10, "again 4041894974608795"), (11, "x 31.12.1999 y")]
-    got = {r.doc_id: r for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
     import re
 
     a, b = re.match(r"card (\d{16}), ([\d ]{19}); bad 4041894974608796$", got[1].text).groups()
@@ -279,22 +279,87 @@ def test_pii(spark, none):
     assert re.match(r"call \+1 \(\d{3}\) \d{3}-\d{4}$", got[5].text) and "555-4526" not in got[5].text
     assert re.match(r"mail \w{3}\.\w{2}@mail2\.example\.com$", got[6].text) and re.match(r"x \d\d\.\d\d\.\d{4} y$", got[11].text)
     assert (got[7].text, got[8].text, got[9].text) == (None, "", "nothing") and got[7].pii_found == 0
-    assert pii.pseudonymised(none).count() == 0
+    assert pii.pseudonymised(none, "k").count() == 0
 
 
 def test_pii_is_a_permutation(spark):
     days = spark.range(4000).select(F.col("id").alias("doc_id"), F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
-    out = pii.pseudonymised(days)
+    out = pii.pseudonymised(days, "k")
     assert out.select("text").distinct().count() == 4000 and out.where(F.to_date("text").isNull()).count() == 0
 
 
+def brute_pseudonym(kind, left, right, a, b, key, before=None):
+    """The Feistel rounds on a pair, in plain Python."""
+    for i in range(pii.ROUNDS):
+        x, m = (right, a) if i % 2 == 0 else (left, b)
+        tweak = "|".join([key, kind, str(a), str(b), *([before] if before is not None else [])])
+        f = int(hashlib.sha256(f"{tweak}|{i}|{x}".encode()).hexdigest()[:15], 16) % m
+        left, right = ((left + f) % a, right) if i % 2 == 0 else (left, (right + f) % b)
+    return left, right
+
+
+def test_pii_against_plain_python(spark):
+    rng = random.Random(12)
+    rows, want = [], []
+    for _ in range(200):
+        o = [rng.randrange(256) for _ in range(4)]
+        rows.append(".".join(map(str, o)))
+        x, y = brute_pseudonym("ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "secret")
+        want.append(f"{x // 256}.{x % 256}.{y // 256}.{y % 256}")
+        body = "".join(rng.choice("0123456789") for _ in range(rng.randrange(12, 19)))
+        luhn = lambda t: sum(d if i % 2 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, t[::-1])))
+        rows.append(body + str(-luhn(body) % 10))
+        half = len(body) // 2
+        x, y = brute_pseudonym("card", int(body[:half]), int(body[half:]), 10**half, 10 ** (len(body) - half), "secret")
+        new = f"{x:0{half}d}{y:0{len(body) - half}d}"
+        want.append(new + str(-luhn(new) % 10))
+    got = [r.text for r in pii.pseudonymised(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "secret").orderBy("doc_id").collect()]
+    assert got == want
+
+
+def test_clashing_names(spark, odd):
+    """Columns that are named as a helper or as a result."""
+    docs = odd.withColumns({c: F.lit(1) for c in ("_done", "_secrets", "_p", "pii_found", "lang_pred", "toxic", "toxicity")})
+    n = odd.count()
+    assert pii.pseudonymised(docs, "k").columns.count("pii_found") == 1 and pii.pseudonymised(docs, "k").where("_done = 1").count() == n
+    assert secret_scan.redact(docs, secret_scan.Forest([0.0]), []).where("_secrets = 1").count() == n
+    found = langid.identify(docs, {"en": [b"the and of"], "de": [b"der und die"]})
+    assert found.columns.count("lang_pred") == 1 and found.where("_p = 1").count() == n
+    model = toxicity.fit(odd, spark.createDataFrame([(1, 1), (5, 0)], "doc_id long, toxic int"), F.lit(True))
+    assert toxicity.score(docs, model).columns.count("toxic") == 1 and toxicity.score(docs, model).count() == n
+
+
+def test_language_margins(spark):
+    """Half one language, half another: a narrow margin, rejected; short texts and many languages teach."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    known = {r.lang: r.t for r in docs.where("lang in ('en', 'de') and length(text) > 2000").groupBy("lang").agg(F.min_by("text", "doc_id").alias("t")).collect()}
+    dictionaries = langid.learn(docs.where("length(text) < 3000"))
+    half = min(map(len, known.values())) // 2
+    both = spark.createDataFrame([(1, known["en"][:half] + " " + known["de"][:half]), (2, known["en"])], "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.identify(both, dictionaries, 0.02).collect()}
+    assert got[1].lang_margin < got[2].lang_margin and not got[2].lang_rejected and got[2].lang_pred == "en"
+    assert {r.lang_rejected for r in langid.identify(both, dictionaries, 1.0).collect()} == {True}
+    many = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.col("id") % 150).alias("text"), F.concat(F.lit("l"), F.col("id") % 150).alias("lang"))
+    learned = langid.learn(many)
+    assert len(learned) == 150 and sum(len(b) for parts in learned.values() for b in parts) <= langid.ALL_BYTES
+
+
+def test_secrets_with_given_labels(spark):
+    rows = [(i, f"{'token' if i % 2 else 'colour'}=abcdefgh{i:04d}xyzwv") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", F.sha2(F.regexp_extract("text", "=(.*)", 1).cast("binary"), 256).alias("secret_sha256"), (F.col("doc_id") % 2).alias("label"))
+    forest, words = secret_scan.fitted(docs, secret_scan.table_labels(labels))
+    got = {r.doc_id: r.is_secret for r in secret_scan.scan(docs, forest, words).collect()}
+    assert got == {i: i % 2 == 1 for i in range(40)}
+
+
 def test_pii_is_whole(spark):
     import re
 
     phones = ["+44 20 7946 0958", "+33 1 23 45 67 89", "+49 30 901820", "+34 912 34 56 78", "+49 (0)30/901820", "+442079460958", "+1 564 555 4526"]
     mails = [f"maria.schneider-hoffmann.berlin{i}@x.org" for i in ("", "1", "2", ".and.a.much.longer.tail.here")]
     rows = [*phones, *mails, "+33 1 23 45 67 89 2024-02-30", "1 +2345 6"]
-    got = [r.text for r in pii.pseudonymised(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    got = [r.text for r in pii.pseudonymised(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
     for old, new in zip(phones, got):
         assert re.sub(r"\d", "9", old) == re.sub(r"\d", "9", new) and old[:2] == new[:2] and old[-6:] != new[-6:]
     assert got[0][:3] == "+44" and got[0].replace(" ", "") == got[5] and got[1] == got[-2][:17] and got[-2].endswith(" 2024-02-30") and got[-1] == rows[-1]
@@ -304,7 +369,7 @@ def test_pii_is_whole(spark):
     assert len(set(own)) == 4 and not any("berlin" in n or "tail.here" in n or "nn.be" in n for n in own) and all(n.endswith("@x.org") for n in own)
     # two letters beyond the first 20 are permuted: all 1296 tails differ
     tails = spark.range(1296).select(F.col("id").alias("doc_id"), F.concat(F.lit("abcdefghij.klmnopqrst"), F.lpad(F.lower(F.conv(F.col("id").cast("string"), 10, 36)), 2, "0"), F.lit("@x.org")).alias("text"))
-    out = pii.pseudonymised(tails)
+    out = pii.pseudonymised(tails, "k")
     assert out.select("text").distinct().count() == 1296 and out.join(tails, ["doc_id", "text"]).count() == 0
 
 
@@ -420,7 +485,6 @@ def test_bpe(odd, none):
     assert all(r.decoded == (r.text or "") for r in back)
 
 
-@pytest.mark.xfail(reason="borderline: sf0.1 has about 2,600 labelled rows to train on; recall there was 0.875 in a trial and above 0.9 in a run of this test")
 def test_toxicity(spark, odd, none):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     test = entry.fold("doc_id", 3) == 1
