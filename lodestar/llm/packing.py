@@ -42,7 +42,7 @@ from .common import stored, text_batches
 
 WINDOW, END, LANE_TOKENS = 4096, 2, 1 << 20
 #: Words remembered with their ids in a Python worker, then the memo starts anew; bytes of text split at a time.
-MEMO, SPLIT_BYTES = 1_500_000, 1 << 24
+MEMO, SPLIT_BYTES = 1_000_000, 1 << 23
 _MARKS = ".,;:!?*&%$#"
 
 
