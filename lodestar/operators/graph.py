@@ -125,8 +125,8 @@ def pagerank(walk: DataFrame, nodes: DataFrame, seeds: DataFrame, damping: float
         ends = walk.select(F.col("source").alias("id")).unionByName(nodes.select("id")).distinct()
         block = F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int")
         asked = lost.select("qid", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("_b"))  # these queries against all nodes, in blocks
-        every = ends.select("id", F.lit(1.0).alias("weight"), block.alias("_b")).join(asked, "_b").select("qid", "id", "weight")
-        seeds = seeds.join(good, "qid", "left_semi").select("qid", "id", "weight").unionByName(every)
+        alike = ends.select("id", F.lit(1.0).alias("weight"), block.alias("_b")).join(asked, "_b").select("qid", "id", "weight")
+        seeds = seeds.join(good, "qid", "left_semi").select("qid", "id", "weight").unionByName(alike)
     start = seeds.where("weight > 0").join(nodes.select("id"), "id", "left_semi").groupBy("qid", "id").agg(F.sum("weight").alias("weight"))
     total = start.groupBy("qid").agg(F.sum("weight").alias("t"))
     shares = start.join(total, "qid").select("qid", "id", (F.col("weight") / F.col("t")).alias("r"))
@@ -135,6 +135,9 @@ def pagerank(walk: DataFrame, nodes: DataFrame, seeds: DataFrame, damping: float
     held = F.coalesce("lone", F.lit(0.0))
     restart = cut(shares.join(lone, "qid", "left").select("qid", "id", "r", held.alias("lone"), (held * (1 - damping) / (1 - damping * held)).alias("rest")))
     rank = restart.select("qid", "id", F.col("r").alias("rank"))
+    # edges are dealt and sorted by their source once; only ranks are shuffled in a step
+    parts = int(walk.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    walk = walk.select("source", "target", "p").repartition(parts, "source").sortWithinPartitions("source").persist()
     for i in range(1, iterations + 1):
         flow = rank.join(walk, rank.id == walk.source).select("qid", F.col("target").alias("id"), (damping * F.col("rank") * F.col("p")).alias("x"))
         stuck = F.col("rest") + (F.col("lone") - F.col("rest")) * F.pow(damping * F.col("lone"), F.lit(i - 1))
@@ -144,8 +147,10 @@ def pagerank(walk: DataFrame, nodes: DataFrame, seeds: DataFrame, damping: float
             new = cut(new)
             change = new.select("qid", "id", "rank").unionByName(rank.select("qid", "id", (-F.col("rank")).alias("rank"))).groupBy("qid", "id").agg(F.sum("rank").alias("c")).groupBy("qid").agg(F.sum(F.abs("c")).alias("c")).agg(F.max("c")).first()[0]
             if change is None or change < tolerance:
-                return new
+                rank = new
+                break
         rank = new
+    walk.unpersist()  # ranks are cut from it
     return rank
 
 

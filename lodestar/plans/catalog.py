@@ -174,9 +174,9 @@ def entity_link(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def name_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Starts and inner parts of part names as queries; types are aliases; a part's pagerank is its share of a thousand prices."""
+    """Starts and inner parts of part names as queries; types are aliases; a part's size stands for its pagerank."""
     p, key = table(spark, sf, "part"), normalize_name(F.col("p_name"))
-    rank = F.round(F.col("p_retailprice") / 1000000, 6)
+    rank = F.round(F.col("p_size") / 10000, 4)
     names = p.select(F.col("p_partkey").alias("id"), key.alias("label"), rank.alias("pagerank")).unionByName(p.select(F.col("p_partkey").alias("id"), normalize_name(F.col("p_type")).alias("label"), rank.alias("pagerank")))
     asked = p.groupBy(F.substring(key, 1, 4).alias("q")).agg(F.min("p_partkey").alias("qid"))
     inner = p.groupBy(F.substring(key, 3, 2).alias("q")).agg((F.min("p_partkey") + 1_000_000).alias("qid"))
@@ -331,7 +331,7 @@ SELECT doc_id, string_agg(n::VARCHAR, ',' ORDER BY n) AS refs FROM (SELECT DISTI
         "entity_link": f"""WITH i AS (SELECT {norm('p_name')} AS k, min(p_partkey) AS f FROM part GROUP BY 1), a AS (SELECT p_partkey, {norm("CASE WHEN p_partkey % 2 = 0 THEN p_name || 's' ELSE p_name END")} AS q FROM part),
 t AS (SELECT p_partkey, 0 AS pr, q AS k FROM a UNION ALL SELECT p_partkey, 1, q || 's' FROM a UNION ALL SELECT p_partkey, 2, left(q, -1) FROM a WHERE len(q) > 3 AND q LIKE '%s')
 SELECT p_partkey, arg_min(f, pr) AS linked FROM t JOIN i USING (k) GROUP BY 1""",
-        "name_search": f"""WITH p AS (SELECT p_partkey AS id, {norm('p_name')} AS l1, {norm('p_type')} AS l2, round(p_retailprice / 1000000, 6) AS pr, p_type FROM part),
+        "name_search": f"""WITH p AS (SELECT p_partkey AS id, {norm('p_name')} AS l1, {norm('p_type')} AS l2, round(p_size / 10000.0::DOUBLE, 4) AS pr, p_type FROM part),
 a AS (SELECT left(l1, 4) AS q, min(id) AS qid FROM p GROUP BY 1 UNION ALL SELECT substring(l1, 3, 2), min(id) + 1000000 FROM p GROUP BY 1 UNION ALL SELECT {norm('substring(p_type, 2, 5)')}, min(id) + 2000000 FROM p GROUP BY 1),
 s AS (SELECT qid, id, round(CASE WHEN starts_with(l1, q) OR starts_with(l2, q) THEN 2.0 ELSE 1.0 END + 50 * pr, 6)::DOUBLE AS score FROM p JOIN a ON contains(l1, q) OR contains(l2, q))
 SELECT * FROM (SELECT qid, id, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1)::INT AS rank FROM s) WHERE rank < 12""",

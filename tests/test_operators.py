@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import text
-from lodestar.operators import community, detect, documents, graph, guard, resolve, retrieve
+from lodestar.operators import community, detect, documents, graph, guard, link, repos, resolve, retrieve
 from lodestar.plans import live
 from lodestar.sources import publish
 from lodestar.sources.tables import table
@@ -171,7 +171,7 @@ def test_pagerank_with_lone_seeds(spark):
     for steps in (1, 4, 60):
         expect = {}
         for q, vs in seeds.items():
-            known = {i: v for i, v in vs.items() if i in "abcxy" and v > 0}
+            known = {i: v for i, v in vs.items() if i in "abcxy" and v > 0} or dict.fromkeys("abcxy", 1.0)
             start = {i: v / sum(known.values()) for i, v in known.items()}
             rank = dict(start)
             for _ in range(steps):
@@ -197,3 +197,43 @@ def test_slugs_keep_plus_and_sharp_apart(spark):
     known = spark.createDataFrame([], "id string, name string, aliases array<string>, seq long")
     found = resolve.skills(raw, listed, known, spark.createDataFrame([], "name string")).collect()
     assert {(r.id, r.label) for r in found} == {("skill:c", "C"), ("skill:cpp", "C++"), ("skill:csharp", "C#")}
+
+
+def test_streams_of_budgets_silences_and_blocks(spark):
+    rows = [("a", 0, 1, 3, "text"), ("a", 5, 2, 3, "tool"), ("a", 40, 3, 1, "text"), ("a", 41, 4, 1, "reasoning"), ("b", 41, 5, 1, "failure"), ("a", 90_000, 6, 4, "text")]
+    df = spark.createDataFrame(rows, "key string, s int, event_id long, cost int, kind string").withColumn("ts", F.timestamp_seconds("s"))
+    of = lambda rule, *c: {r.event_id: tuple(r[x] for x in c) for r in state.replay(df, rule).collect()}
+    assert of(state.daily_budget(4), "accepted", "used") == {1: (True, 3), 2: (False, 3), 3: (True, 4), 4: (False, 4), 5: (True, 1), 6: (True, 4)}
+    assert of(state.silences(10.0), "n", "last") == {1: (0, None), 2: (0, None), 3: (3, 35.0), 4: (0, None), 5: (0, None), 6: (8995, 89991.0)}
+    assert of(state.block_rule(), "block") == {1: (1,), 2: (None,), 3: (1,), 4: (2,), 5: (None,), 6: (3,)}
+
+
+def test_linking(spark):
+    nodes = spark.createDataFrame([("s", "Skill", "Graph Neural Network", ["GNN"], 2), ("p", "Project", "GNN", None, 1), ("l", "Skill", "LLMs", None, 3), ("x", "Person", "Ada", None, 4)], "id string, type string, name string, aliases array<string>, seq long")
+    index = link.name_index(nodes)
+    asked = spark.createDataFrame([("gnn",), ("LLM",), ("graph-neural networks",), ("llmss",), ("?",)], "name string")
+    assert {r.name: r.id for r in link.lookup(asked, index).collect()} == {"gnn": "s", "LLM": "l", "graph-neural networks": "s", "llmss": "l"}
+    questions = spark.createDataFrame([(1, "Does Ada know LLM, graph neural network?"), (2, "with the and"), (3, None)], "qid long, text string")
+    assert [(r.qid, r.id, r.position) for r in link.mentioned(questions, index).orderBy("position").collect()] == [(1, "s", 1), (1, "l", 2)]
+
+
+def test_repository_texts(spark):
+    repo = spark.createDataFrame([("r", "about", ["x"], "2024-01-02T", None)], "repo string, description string, topics array<string>, created_at string, pushed_at string")
+    langs = spark.createDataFrame([("r", "Go", 75, 1), ("r", "C", 25, 2)], "repo string, language string, bytes long, position int")
+    tech = spark.createDataFrame([("r", "Kafka", "go.mod")], "repo string, technology string, evidence string")
+    files = spark.createDataFrame([("r", "a.go"), ("r", "ios/b.go"), ("r", "pubspec.yaml")], "repo string, path string")
+    found = repos.profile_text(repo, langs, tech, repos.relevant(files), r"\.go$").first().text
+    assert found == "# Repository r\n\nabout\n\nLanguages (by bytes of code): Go 75%, C 25%.\nTechnologies verified from the code and manifests: Kafka (go.mod).\nTopics: x.\nActivity: created 2024-01-02.\nSource files: 1 (e.g. a.go)."
+    subjects = spark.createDataFrame([("p", "Project", "repo-x", "", None, None, "github", None, None), ("q", "Project", "Q", "own", None, ["h"], "cv", None, None)], "id string, type string, name string, description string, aliases array<string>, highlights array<string>, source string, renamed boolean, minor boolean")
+    said = spark.createDataFrame([("p", "sum", ["a"], "Repo X!", ["AI"], False), ("q", "sum", ["a"], "New", [], True)], "subject string, summary string, highlights array<string>, display_name string, domains array<string>, substantial boolean")
+    got = {r.id: r for r in repos.apply_extraction(subjects, said).collect()}
+    assert (got["p"].name, got["p"].description, got["p"].highlights, got["p"].domains, got["p"].minor) == ("repo-x", "sum", ["a"], ["ai"], True)
+    assert (got["q"].name, got["q"].description, got["q"].highlights, got["q"].minor) == ("Q", "own", ["h"], False)
+
+
+def test_followups(spark):
+    focus = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3), (1, "d", 4)], "qid long, id string, position int")
+    nodes = spark.createDataFrame([("a", "Skill", "Spark", "tool"), ("b", "Skill", "Agility", "concept"), ("c", "Project", "Atlas", None), ("d", "Project", "Bolt", None)], "id string, type string, name string, category string")
+    asked = spark.createDataFrame([(1, "what of spark", "en", "ask")], "qid long, text string, language string, intent string")
+    got = [r.question for r in retrieve.followups(focus, nodes, asked, {"en": "More?", "fr": "Encore ?"}).orderBy("position").collect()]
+    assert got == ["What was built in Atlas?", "What was built in Bolt?", "More?"]
