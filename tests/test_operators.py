@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import text
-from lodestar.operators import community, detect, documents, graph, guard, link, repos, resolve, retrieve
+from lodestar.operators import community, detect, documents, graph, guard, link, repos, resolve, retrieve, surface, view
 from lodestar.plans import live
 from lodestar.sources import publish
 from lodestar.sources.tables import table
@@ -237,3 +237,101 @@ def test_followups(spark):
     asked = spark.createDataFrame([(1, "what of spark", "en", "ask")], "qid long, text string, language string, intent string")
     got = [r.question for r in retrieve.followups(focus, nodes, asked, {"en": "More?", "fr": "Encore ?"}).orderBy("position").collect()]
     assert got == ["What was built in Atlas?", "What was built in Bolt?", "More?"]
+
+
+def test_select_repos(spark):
+    repo = spark.createDataFrame([("a", False, None), ("b", True, False), ("c", None, True), ("d", False, False)], "repo string, fork boolean, private boolean")
+    names = lambda *r: spark.createDataFrame([(x,) for x in r], "repo string")
+    kept = lambda **more: {r.repo for r in detect.select_repos(repo, **more).collect()}
+    assert kept() == {"a", "d"} and kept(forks=True) == {"a", "b", "d"} and kept(private=True) == {"a", "c", "d"}
+    assert kept(include=names("a", "b"), exclude=names("a"), forks=True) == {"b"}
+
+
+def test_generated_languages_of_apps(spark):
+    sizes = spark.createDataFrame([("r", "Dart", 90), ("r", "C++", 100), ("r", "Nix", 1), ("q", "C++", 10)], "repo string, language string, bytes long")
+    got = repos.top_languages(sizes, spark.createDataFrame([("r",)], "repo string"), ("C++",))
+    assert [(r.repo, r.language, r.position) for r in got.orderBy("repo", "position").collect()] == [("q", "C++", 1), ("r", "Dart", 1)]
+
+
+def test_export_and_fresh_answers(spark, tmp_path):
+    nodes = spark.createDataFrame([("a", [0.5])], "id string, embedding array<float>")
+    publish.export_json({"entities": nodes}, str(tmp_path / "out"))
+    back = spark.read.json(str(tmp_path / "out" / "entities"))
+    assert back.columns == ["id"] and back.count() == 1
+    cache = spark.sql("select * from values ('k', 'r1', 'old', timestamp'2024-01-01 00:00:00'), ('k', 'r1', 'new', timestamp'2024-01-02 00:00:00'), ('k', 'r2', 'else', timestamp'2024-01-02 00:00:00') t(key, revision, value, created)")
+    asked = spark.createDataFrame([("k", "r1"), ("k", "r3")], "key string, revision string")
+    at = lambda t: {r.revision: r.value for r in publish.fresh_answers(asked, cache, F.lit(t).cast("timestamp")).collect()}
+    assert at("2024-01-02 12:00:00") == {"r1": "new", "r3": None}
+    assert at("2024-01-05 00:00:00") == {"r1": None, "r3": None}
+
+
+def test_revision_follows_contents(spark):
+    files = lambda *r: publish.revision(spark.createDataFrame(r, "path string, content string")).first()[0]
+    assert files(("a", "1"), ("b", "2")) == files(("b", "2"), ("a", "1")) != files(("a", "2"), ("b", "1"))
+
+
+def test_dash_aliases(spark):
+    rows = spark.createDataFrame([("A — B", ["x"]), ("A — B", None), ("A", None)], "name string, aliases array<string>")
+    assert [r.aliases for r in resolve.dash_aliases(rows).collect()] == [["x", "A", "B"], ["A", "B"], None]
+
+
+def test_moves_after_a_merge(spark):
+    said = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (3, "c")], "chunk_id long, entity_id string")
+    merged = spark.createDataFrame([("b", "a")], "drop_id string, keep_id string")
+    assert sorted(map(tuple, graph.move_ids(said, merged, "entity_id").collect())) == [(1, "a"), (2, "a"), (3, "c")]
+
+
+def test_widened(spark):
+    edges = spark.createDataFrame([("p", "USES", "s"), ("me", "BUILT", "p"), ("me", "HAS_SKILL", "s"), ("p", "USES", "t"), ("o", "AT", "p")], "source string, type string, target string")
+    nodes = spark.createDataFrame([("p", "Project"), ("s", "Skill"), ("t", "Skill"), ("me", "Person"), ("o", "Org")], "id string, type string")
+    sets = spark.createDataFrame([(1, "p"), (1, "s"), (1, "o")], "qid long, id string")
+    got = graph.widened(edges, nodes, sets, ("Project", "Skill"), ("Person",))
+    assert {tuple(r)[1:] for r in got.select("qid", "source", "type", "target").collect()} == {("p", "USES", "s"), ("me", "BUILT", "p")}
+
+
+def test_community_context(spark):
+    nodes = spark.createDataFrame([("a", "Skill", "A", "first"), ("b", "Skill", "B", None), ("c", "Skill", "C", None)], "id string, type string, name string, description string")
+    member = spark.createDataFrame([("a", "m"), ("b", "m"), ("c", "n")], "id string, community string")
+    edges = spark.createDataFrame([("a", "USES", "b"), ("a", "USES", "c")], "source string, type string, target string")
+    ranked = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 0.5)], "id string, k double")
+    got = {r.community: r.text for r in view.community_context(member, edges, nodes, ranked).collect()}
+    assert got["m"] == "Entities:\n- Skill: B — \n- Skill: A — first\n\nRelations:\n- A —USES→ B"
+    assert got["n"] == "Entities:\n- Skill: C — \n\nRelations:\n"
+
+
+def test_connect(spark):
+    nodes = spark.createDataFrame([("x", "Project", "Atlas", None, 1), ("y", "Skill", "Spark", None, 2), ("z", "Project", "Bolt", None, 3), ("w", "Skill", "Lone", None, 4)], "id string, type string, name string, aliases array<string>, seq long")
+    edges = spark.createDataFrame([("x", "USES", "y"), ("z", "USES", "y")], "source string, type string, target string")
+    pairs = spark.createDataFrame([("atlas", "z"), ("x", "Lone"), ("x", "nobody")], "a string, b string")
+    got = surface.connect(pairs, nodes, edges, link.name_index(nodes)).collect()
+    assert [(r.a, r.b, r.source, r.target) for r in got] == [("atlas", "z", "x", "z")]
+    assert "y" in str(got[0].path)
+
+
+def test_streams_of_enrichment(spark, tmp_path):
+    """Content that the cache knows is not computed again, and a batch joins the version that is in force when it begins."""
+    asked = tmp_path / "in"
+
+    def fn(batches):
+        for b in batches:
+            yield pd.DataFrame({"_key": b["_key"], "n": b["t"].str.len()})
+
+    cache, out = str(tmp_path / "cache"), str(tmp_path / "out")
+    for words in (["aa", "b"], ["b", "ccc"]):
+        spark.createDataFrame([(w,) for w in words], "t string").coalesce(1).write.mode("append").parquet(str(asked))
+        stream = spark.readStream.schema("t string").parquet(str(asked))
+        publish.incremental_enrich(stream, ["t"], cache, out, str(tmp_path / "c1"), fn, "n long").awaitTermination()
+    assert sorted((r.t, r.n) for r in spark.read.parquet(out).collect()) == [("aa", 2), ("b", 1), ("b", 1), ("ccc", 3)]
+    assert spark.read.parquet(cache).count() == 3
+
+    edges = spark.createDataFrame([], "source string, type string, target string")
+    graphs = [spark.createDataFrame([("aa", "Skill", name)], "id string, type string, name string") for name in ("old", "new")]
+    seen = []
+    sink = lambda rows, version, number: seen.append((version, sorted((r.id, r.name) for r in rows.collect())))
+    versions = []
+    for g in graphs:
+        versions.append(publish.publish(spark, {"entities": g, "relations": edges}, str(tmp_path / "graph"))[0])
+        spark.createDataFrame([("aa",), ("zz",)], "id string").coalesce(1).write.mode("append").parquet(str(tmp_path / "ids"))
+        stream = spark.readStream.schema("id string").parquet(str(tmp_path / "ids"))
+        publish.with_current(stream, str(tmp_path / "graph"), "entities", "id", sink, str(tmp_path / "c2")).awaitTermination()
+    assert seen == [(versions[0], [("aa", "old"), ("zz", None)]), (versions[1], [("aa", "new"), ("zz", None)])]
