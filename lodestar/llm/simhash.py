@@ -27,6 +27,8 @@ from .common import cut, text_batches
 from .components import components
 
 WORDS, SEED, MOST = 3, 42, 2
+#: Distinct fingerprints whose variants one task writes.
+PRINTS = 200_000
 #: (mask of the part that is left out, bits of the rest)
 _CUTS = [(0, 22), (22, 43), (43, 64)]
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -91,12 +93,15 @@ def _grouped(docs: DataFrame) -> DataFrame:
     text_batches(docs.sparkSession)
     rows = cut(docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("t"), _fingerprints(F.col("text")).alias("f")))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("t")))
-    prints = rows.groupBy("f").agg(least.alias("least"))
+    total = rows.count()
+    # dealt by number: Spark would join these small partitions, but each row becomes 131 variants
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, total // PRINTS)
+    prints = cut(rows.groupBy("f").agg(least.alias("least")).repartition(tasks, "f"))
     roots = components(links(prints.select("f")), "a", "b")
     # over the members' smallest, one row per fingerprint
     rooted = prints.join(roots, prints.f == roots.node, "left").select("f", "least", F.coalesce("root", "f").alias("root"))
-    ids = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("keeper")), "root").select("f", "keeper")
-    return rows.join(ids, "f").select("doc_id", "t", "f", F.col("keeper.id").alias("component_id"), "keeper")
+    ids = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("keeper")), "root")
+    return rows.join(ids.select("f", "keeper"), "f").select("doc_id", "t", "f", F.col("keeper.id").alias("component_id"), "keeper")
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
