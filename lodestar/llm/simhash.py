@@ -29,6 +29,8 @@ from .components import components
 WORDS, SEED, MOST = 3, 42, 2
 #: Distinct fingerprints whose variants one task writes.
 PRINTS = 200_000
+#: A fingerprint is common beyond this part of all rows, so that fewer than HOT are.
+HOT = 1000
 #: (mask of the part that is left out, bits of the rest)
 _CUTS = [(0, 22), (22, 43), (43, 64)]
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -96,12 +98,16 @@ def _grouped(docs: DataFrame) -> DataFrame:
     total = rows.count()
     # dealt by number: Spark would join these small partitions, but each row becomes 131 variants
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, total // PRINTS)
-    prints = cut(rows.groupBy("f").agg(least.alias("least")).repartition(tasks, "f"))
+    prints = cut(rows.groupBy("f").agg(least.alias("least"), F.count(F.lit(1)).alias("n")).repartition(tasks, "f"))
     roots = components(links(prints.select("f")), "a", "b")
     # over the members' smallest, one row per fingerprint
-    rooted = prints.join(roots, prints.f == roots.node, "left").select("f", "least", F.coalesce("root", "f").alias("root"))
-    ids = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("keeper")), "root")
-    return rows.join(ids.select("f", "keeper"), "f").select("doc_id", "t", "f", F.col("keeper.id").alias("component_id"), "keeper")
+    rooted = prints.join(roots, prints.f == roots.node, "left").select("f", "n", "least", F.coalesce("root", "f").alias("root"))
+    ids = cut(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("keeper")), "root").select("f", "n", "keeper"))
+    # a fingerprint that over a HOT-th of the rows have is one of fewer than HOT: its rows are not brought together
+    hot = F.col("n") * HOT > total
+    marked = rows.join(F.broadcast(ids.where(hot).select("f", "keeper")), "f", "left")
+    rest = marked.where("keeper is null").drop("keeper").join(ids.where(~hot).select("f", "keeper"), "f")
+    return marked.where("keeper is not null").unionByName(rest).select("doc_id", "t", "f", F.col("keeper.id").alias("component_id"), "keeper")
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:

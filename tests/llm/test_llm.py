@@ -430,7 +430,9 @@ def brute_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def test_simhash(odd, none):
+@pytest.mark.parametrize("hot", [1, 4, 1000])
+def test_simhash(odd, none, hot, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", hot)
     rows = texts(odd)
     got = {}
     for r in simhash.simhash_groups(odd).collect():
