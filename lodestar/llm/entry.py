@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, knn, langid, packing, pii, secret_scan, simhash, suffix_dedup, toxicity
+from . import bpe, exact_dedup, knn, langid, lm, packing, pii, secret_scan, simhash, suffix_dedup, toxicity
 from .common import fold, table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -63,7 +63,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_language_id, op4_pii, op5_secret_scan, op6_voronoi_topk, op7_simhash, op8_prefix_bpe, op9_toxicity, op10_exact_dedup)}
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.scores(table(spark, sf_dir, "documents"), fold("doc_id", 10) != 0, public_tokenizers.path(WORD_BPE))
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_language_id, op4_pii, op5_secret_scan, op6_voronoi_topk, op7_simhash, op8_prefix_bpe, op9_toxicity, op10_exact_dedup, op13_lm_scoring)}
 
 ORACLES = {
     "op1_suffix_dedup": r"""
