@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, knn, langid, lm, packing, pii, secret_scan, simhash, suffix_dedup, toxicity
+from . import bpe, exact_dedup, knn, langid, lm, packing, pii, prefix_trie, secret_scan, simhash, suffix_dedup, toxicity
 from .common import fold, table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -63,12 +63,16 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.scores(table(spark, sf_dir, "documents"), fold("doc_id", 10) != 0, public_tokenizers.path(WORD_BPE))
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_language_id, op4_pii, op5_secret_scan, op6_voronoi_topk, op7_simhash, op8_prefix_bpe, op9_toxicity, op10_exact_dedup, op13_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_language_id, op4_pii, op5_secret_scan, op6_voronoi_topk, op7_simhash, op8_prefix_bpe, op9_toxicity, op10_exact_dedup, op12_prefix_trie, op13_lm_scoring)}
 
 ORACLES = {
     "op1_suffix_dedup": r"""
@@ -98,4 +102,16 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 5"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
 FROM t WINDOW g AS (PARTITION BY t)""",
+    "op12_prefix_trie": """
+WITH tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i::BIGINT], range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+convs AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (SELECT c, c - c % 5 AS head, xor(list_reduce(list_concat([4294967295], list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295) % 9 AS h FROM convs, tab),
+turns AS (SELECT conv_id AS c, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p FROM conversations WHERE conv_id IS NOT NULL),
+anew AS (SELECT heads.c, p, x FROM heads JOIN turns ON turns.c = head AND p <= h UNION ALL SELECT heads.c, p, x FROM heads JOIN turns ON turns.c = heads.c AND p > h),
+listed AS (SELECT heads.c, coalesce(list(x ORDER BY p) FILTER (WHERE x IS NOT NULL), []) AS xs FROM heads LEFT JOIN anew ON anew.c = heads.c GROUP BY 1),
+prefixes AS (SELECT c, d, xs[:d] AS k, d = len(xs) AS ends FROM (SELECT c, xs, unnest(range(0, len(xs) + 1)) AS d FROM listed)),
+nodes AS (SELECT k, d, min(c) AS conv_id, count(*) AS n, (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE strlen(k[-1].t) END AS saved, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS sha, bool_and(ends) AS leaf FROM prefixes GROUP BY k, d),
+below AS (SELECT p.k, p.d, sum(saved) AS saved, count(*) FILTER (WHERE leaf) AS leaves, count(*) FILTER (WHERE n.d = p.d + 1) AS children FROM nodes n JOIN prefixes p ON p.c = n.conv_id AND p.d <= n.d GROUP BY ALL)
+SELECT n.conv_id, n.d::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n AS n_convs, children AS n_children, leaves AS n_leaves, below.saved::BIGINT AS saved_tokens, n.sha AS ends_sha256
+FROM nodes n JOIN below ON below.k = n.k AND below.d = n.d LEFT JOIN nodes u ON n.d > 0 AND u.d = n.d - 1 AND u.k = n.k[:-2]""",
 }
