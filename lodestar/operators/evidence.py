@@ -27,17 +27,30 @@ def skill_evidence(roles: DataFrame, role_skills: DataFrame, project_skills: Dat
     )
 
 
+#: What a status earns, in twentieths of the whole, and what an importance weighs.
+EARNED = {"strong": 20, "partial": 12, "transferable": 7, "gap": 0}
+MUST, NICE = 2, 1
+
+
 def fit_score(requirements: DataFrame, grades: DataFrame) -> DataFrame:
-    """By job_id: percent (half-even), counts by status and unmet musts; a requirement without a grade is a gap."""
+    """By job_id: percent (half-even), counts by status and unmet musts; a requirement without a grade is a gap.
+
+    Sums and the division are of whole numbers, so the result is the exact one whatever the order or the partitions; sums
+    of floating-point shares would round halves either way.
+    """
     status = F.coalesce("status", F.lit("gap"))
-    weight = F.when(F.col("importance") == "must", 2).otherwise(1)
-    earned = F.when(F.col("status") == "strong", 1.0).when(F.col("status") == "partial", 0.6).when(F.col("status") == "transferable", 0.35).otherwise(0.0)
+    weight = F.when(F.col("importance") == "must", MUST).otherwise(NICE)
+    earned = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in EARNED.items() for x in (k, v)]), F.col("status")), F.lit(0))
     graded = requirements.join(grades.select("job_id", "idx", "status"), ["job_id", "idx"], "left").withColumn("status", status)
-    return graded.groupBy("job_id").agg(
-        F.bround(100 * F.sum(weight * earned) / F.sum(weight)).cast("long").alias("percent"),
-        *[F.count_if(F.col("status") == s).alias(s) for s in ("strong", "partial", "transferable", "gap")],
+    sums = graded.groupBy("job_id").agg(
+        F.sum(100 // EARNED["strong"] * weight * earned).alias("_n"),
+        F.sum(weight).alias("_of"),
+        *[F.count_if(F.col("status") == s).alias(s) for s in EARNED],
         F.count_if((F.col("status") == "gap") & (F.col("importance") == "must")).alias("must_have_gaps"),
     )
+    whole, twice = F.expr("_n div _of"), 2 * (F.col("_n") % F.col("_of"))
+    up = F.when(twice == F.col("_of"), whole % 2).otherwise((twice > F.col("_of")).cast("long"))
+    return sums.select("job_id", (whole + up).alias("percent"), *EARNED, "must_have_gaps")
 
 
 def shares(rows: DataFrame, group: str, kind: str, size: str, least: float = 0.05) -> DataFrame:

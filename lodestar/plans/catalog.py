@@ -318,9 +318,10 @@ SELECT id, round(round(least(1, x), 6), 2) AS strength, evidence, round(round(co
         "type_share": "SELECT * FROM (SELECT p_brand, p_type, sum(p_size)::BIGINT AS size, round(sum(p_size) / sum(sum(p_size)) OVER (PARTITION BY p_brand), 6) AS share FROM part GROUP BY 1, 2) WHERE share >= 0.05",
         "fit_score": """WITH f AS (SELECT o_custkey AS job_id, l_partkey, min(l_returnflag) AS flag FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
 q AS (SELECT job_id, flag, p_size > 25 AS must FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY l_partkey) AS i FROM f) JOIN part ON l_partkey = p_partkey WHERE i <= 12)
-SELECT job_id, round_even(100 * sum((CASE WHEN must THEN 2 ELSE 1 END) * CASE flag WHEN 'N' THEN 1 WHEN 'A' THEN 0.6::DOUBLE WHEN 'R' THEN 0.35::DOUBLE ELSE 0 END) / sum(CASE WHEN must THEN 2 ELSE 1 END), 0)::BIGINT AS percent,
+SELECT job_id, n // d + CASE WHEN 2 * (n % d) > d THEN 1 WHEN 2 * (n % d) = d THEN (n // d) % 2 ELSE 0 END AS percent, strong, partial, transferable, gap, must_have_gaps FROM (SELECT job_id,
+ sum(5 * (CASE WHEN must THEN 2 ELSE 1 END) * CASE flag WHEN 'N' THEN 20 WHEN 'A' THEN 12 WHEN 'R' THEN 7 ELSE 0 END)::BIGINT AS n, sum(CASE WHEN must THEN 2 ELSE 1 END)::BIGINT AS d,
  count(*) FILTER (WHERE flag = 'N') AS strong, count(*) FILTER (WHERE flag = 'A') AS partial, count(*) FILTER (WHERE flag = 'R') AS transferable, count(*) FILTER (WHERE flag NOT IN ('N', 'A', 'R')) AS gap,
- count(*) FILTER (WHERE flag NOT IN ('N', 'A', 'R') AND must) AS must_have_gaps FROM q GROUP BY 1""",
+ count(*) FILTER (WHERE flag NOT IN ('N', 'A', 'R') AND must) AS must_have_gaps FROM q GROUP BY 1)""",
         "citations": r"""WITH t AS (SELECT doc_id, coalesce(text, '') || ' [' || doc_id % 90 || '; ' || (doc_id % 90 + 7) || '] and [' || doc_id % 90 || '-' || (doc_id % 90 + doc_id % 20) || ', 3], [1-2-4], [9](u) [5–' || doc_id % 90 || ']' AS t FROM documents),
 g AS (SELECT doc_id, unnest(regexp_extract_all(t, '\[\d{1,3}(?:\s*[,;–-]\s*\d{1,3})*\](?:\(|)')) AS g FROM t),
 p AS (SELECT doc_id, unnest(regexp_split_to_array(trim(g, '[]'), '[,;]')) AS p FROM g WHERE NOT g LIKE '%('),
