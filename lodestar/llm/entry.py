@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, knn, langid, lm, packing, pii, prefix_trie, secret_scan, simhash, suffix_dedup, toxicity
+from . import bpe, exact_dedup, knn, langid, lm, packing, pii, prefix_trie, ranked_search, secret_scan, simhash, suffix_dedup, toxicity
 from .common import fold, table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -63,6 +63,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(ranked_search.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -72,7 +76,7 @@ def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_language_id, op4_pii, op5_secret_scan, op6_voronoi_topk, op7_simhash, op8_prefix_bpe, op9_toxicity, op10_exact_dedup, op12_prefix_trie, op13_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_language_id, op4_pii, op5_secret_scan, op6_voronoi_topk, op7_simhash, op8_prefix_bpe, op9_toxicity, op10_exact_dedup, op11_ranked_search, op12_prefix_trie, op13_lm_scoring)}
 
 ORACLES = {
     "op1_suffix_dedup": r"""
@@ -102,6 +106,15 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 5"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
 FROM t WINDOW g AS (PARTITION BY t)""",
+    "op11_ranked_search": r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+stats AS (SELECT count(*) AS nn, sum(len(t))::BIGINT AS ll FROM docs WHERE len(t) > 0),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+postings AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, stats GROUP BY term, nn),
+parts AS (SELECT term, doc_id, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * nn) // ll))) AS part FROM postings JOIN weights USING (term), stats),
+scores AS (SELECT item_id, doc_id, sum(part)::BIGINT AS score FROM asked JOIN parts USING (term) GROUP BY ALL)
+SELECT * FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scores WHERE score > 0) WHERE rank <= 10""",
     "op12_prefix_trie": """
 WITH tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i::BIGINT], range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
 convs AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
