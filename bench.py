@@ -7,7 +7,7 @@ import time
 from lodestar.plans import catalog
 from lodestar.session import local_session
 
-HEADLINE = ["bm25_topk", "vector_topk", "rrf_fusion", "ppr_k_iters", "shortest_paths", "skill_evidence", "fit_score", "entity_merge", "degree", "induced_subgraph", "block_ids", "linked_questions", "entity_evidence", "node_relations", "mentions"]
+HEADLINE = ["bm25_topk", "vector_topk", "rrf_fusion", "ppr_k_iters", "global_pagerank", "shortest_paths", "skill_evidence", "fit_score", "entity_merge", "degree", "induced_subgraph", "block_ids", "linked_questions", "entity_evidence", "node_relations", "mentions"]
 
 
 def main() -> None:

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from lodestar.operators import community, documents, graph, retrieve
 from lodestar.sources.tables import entities, node, relations, table
 
-STEPS = 15
-
-
 def _words(spark, sf):
     """(item_id, pos, word): plain words of 7 letters and more, in order."""
     items = table(spark, sf, "benchmark")
@@ -42,7 +39,7 @@ def _asked(spark, sf):
 
 
 def _found(spark, sf):
-    return retrieve.hybrid(corpus(spark, sf), *_asked(spark, sf), iterations=STEPS)
+    return retrieve.hybrid(corpus(spark, sf), *_asked(spark, sf))
 
 
 def hybrid_retrieve(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,7 +55,7 @@ def fit_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Ten benchmark items make a job; each is a requirement with 3 passages and 5 entities; sources once a job."""
     asked, vectors = _asked(spark, sf)
     key = lambda df: df.withColumn("qid", F.struct(F.floor(F.col("qid") / 10).alias("job_id"), (F.col("qid") % 10).alias("idx")))
-    found = retrieve.hybrid(corpus(spark, sf), key(asked), key(vectors), k_chunks=3, k_entities=5, iterations=STEPS).sources
+    found = retrieve.hybrid(corpus(spark, sf), key(asked), key(vectors), k_chunks=3, k_entities=5).sources
     merged = retrieve.merged_evidence(found.select("qid.job_id", "qid.idx", "ref", "kind", "id"))
     return merged.withColumn("requirements", F.array_join(F.transform("requirements", lambda x: x.cast("string")), ","))
 
@@ -74,12 +71,12 @@ def _sold(spark, sf):
 
 def communities(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges = _sold(spark, sf)
-    return community.communities(edges, nodes, rounds=6)
+    return community.communities(edges, nodes)
 
 
 def community_cards(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges = _sold(spark, sf)
-    found = community.cards(community.communities(edges, nodes, rounds=6), edges, nodes)
+    found = community.cards(community.communities(edges, nodes), edges, nodes)
     return found.withColumn("key_entities", F.array_join("key_entities", ","))
 
 

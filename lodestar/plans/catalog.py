@@ -11,7 +11,8 @@ from lodestar.plans import answers, build, explore, live, upkeep
 from lodestar.sources.tables import entities, node, relations, spread, table
 from lodestar.streaming import limits, state
 
-RANK_STEPS = 5
+#: A seed's share below which a node of ppr_k_iters waits, steps that its SQL has room for, and plain steps to the end.
+LEAST, PUSHES, PLAIN = 1e-6, 40, 130
 
 
 def _docs(spark, sf):
@@ -99,12 +100,13 @@ def global_pagerank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ppr_k_iters(spark: SparkSession, sf: str) -> DataFrame:
-    """Personalised PageRank from the first customer of each nation, a fixed number of steps."""
+    """Personalised PageRank from the first customer of each nation over all weighted relation types, until no node's
+    residual is over LEAST; the ranks that are reached."""
     nodes, edges = _graph(spark, sf)
-    walk = graph.cut(graph.transitions(edges.where("type in ('DELIVERED', 'USES', 'IN_DOMAIN')"), nodes))
+    walk = graph.cut(graph.transitions(edges, nodes))
     first = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("k"))
     seeds = first.select(F.col("c_nationkey").alias("qid"), node("role:c", "k").alias("id"), F.lit(1.0).alias("weight"))
-    return graph.pagerank(walk, nodes, seeds, 0.5, RANK_STEPS, 0.0).select("qid", "id", F.round("rank", 6).alias("rank"))
+    return graph.pagerank(walk, nodes, seeds, 0.5, LEAST).select("qid", "id", F.round("rank", 9).alias("rank"))
 
 
 def _path_case(spark, sf):
@@ -253,23 +255,16 @@ def _oracles() -> dict[str, str]:
 
     bm25 = _BM25.replace("STOPWORDS", ", ".join(f"'{w}'" for w in STOP))
     dense = lambda where: _DENSE.replace("QUERY", where)
-    walk = lambda kinds, weight: f"both_ways AS (SELECT source, target, {weight} AS w FROM edges WHERE type IN ({kinds}) UNION ALL SELECT target, source, {weight} FROM edges WHERE type IN ({kinds})), flat AS (SELECT source, target, sum(w) AS w FROM both_ways GROUP BY ALL), walk AS (SELECT source, target, w / sum(w) OVER (PARTITION BY source) AS p FROM flat)"
-
-    def steps(d: float) -> str:
-        out = ["r0 AS (SELECT qid, id, r AS rank FROM restart)"]
-        for i in range(1, RANK_STEPS + 1):
-            a = f"r{i - 1}"
-            out.append(
-                f"r{i} AS (SELECT qid, id, sum(x) AS rank FROM (SELECT {a}.qid, target AS id, {d} * rank * p AS x FROM {a} JOIN walk ON {a}.id = walk.source"
-                f" UNION ALL SELECT restart.qid, restart.id, r * ({1 - d} + {d} * coalesce((SELECT sum(rank) FROM {a} WHERE {a}.qid = restart.qid AND {a}.id NOT IN (SELECT source FROM walk)), 0)) FROM restart) GROUP BY ALL)"
-            )
-        return ",\n".join(out)
+    walk = """weighted AS (SELECT source, target, CASE type WHEN 'IN_DOMAIN' THEN 0.35 WHEN 'LOCATED_IN' THEN 0.3 ELSE 1.0 END::DOUBLE AS w FROM edges WHERE type <> 'HELD_ROLE'),
+flat AS (SELECT source, target, sum(w) AS w FROM (SELECT * FROM weighted UNION ALL SELECT target, source, w FROM weighted) GROUP BY ALL),
+walk AS MATERIALIZED (SELECT source, target, w / sum(w) OVER (PARTITION BY source) AS p FROM flat)"""
+    push = lambda i: f"r{i} AS MATERIALIZED (SELECT qid, id, sum(rank) AS rank, sum(r) AS r FROM (SELECT qid, id, rank + CASE WHEN r > {LEAST} THEN 0.5 * r ELSE 0 END AS rank, CASE WHEN r > {LEAST} THEN 0 ELSE r END AS r FROM r{i - 1} UNION ALL SELECT qid, target, 0, 0.5 * r * p FROM r{i - 1} JOIN walk ON id = source WHERE r > {LEAST}) GROUP BY ALL)"
 
     fold = "regexp_replace(lower(strip_accents({0})), '[^a-z0-9+#]', '', 'g')"
     norm = lambda c: f"regexp_replace(replace(replace({fold.format(c)}, '++', 'pp'), '#', 'sharp'), '[^a-z0-9]', '', 'g')"
     buckets = ", ".join(f"count(*) FILTER (WHERE value / 100 <= {b}) AS le_{str(b).replace('.', '_')}" for b in limits.BOUNDS)
     once = lambda i: f"r{i} AS MATERIALIZED (SELECT id, sum(x) AS rank FROM (SELECT target AS id, 0.85 * rank * p AS x FROM r{i - 1} JOIN walk ON r{i - 1}.id = source UNION ALL SELECT id, (0.15 + 0.85 * coalesce((SELECT sum(rank) FROM r{i - 1} SEMI JOIN lone USING (id)), 0)) / n FROM nodes, n) GROUP BY id),"
-    GLOBAL = "\n".join(once(i) for i in range(1, 61))  # noqa: N806
+    GLOBAL = "\n".join(once(i) for i in range(1, PLAIN + 1))  # noqa: N806
     return {
         "bm25_topk": f"WITH {bm25} SELECT qid, id, score, rank FROM sparse",
         "vector_topk": f"WITH {dense('q.vec_id % 50 = 0')} SELECT qid, id, score, rank FROM dense",
@@ -285,18 +280,17 @@ SELECT * FROM (SELECT qid, id, score, (row_number() OVER (PARTITION BY qid ORDER
         "neighbors": f"WITH {_EDGES} SELECT source AS id, type, 'out' AS direction, target AS other FROM edges UNION ALL SELECT target, type, 'in', source FROM edges",
         "induced_subgraph": "SELECT c_nationkey AS qid, 'role:c' || c_custkey AS source, 'DELIVERED' AS type, 'project:o' || o_orderkey AS target FROM orders JOIN customer ON o_custkey = c_custkey",
         "match_path": "SELECT 'person:r' || n_regionkey AS n0, 'role:c' || c_custkey AS n1, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2",
-        "global_pagerank": f"""WITH RECURSIVE {_EDGES}, weighted AS (SELECT source, target, CASE type WHEN 'IN_DOMAIN' THEN 0.35 WHEN 'LOCATED_IN' THEN 0.3 ELSE 1.0 END::DOUBLE AS w FROM edges WHERE type <> 'HELD_ROLE'),
-flat AS (SELECT source, target, sum(w) AS w FROM (SELECT * FROM weighted UNION ALL SELECT target, source, w FROM weighted) GROUP BY ALL),
-walk AS (SELECT source, target, w / sum(w) OVER (PARTITION BY source) AS p FROM flat),
+        "global_pagerank": f"""WITH {_EDGES}, {walk},
 nodes AS (SELECT 'role:c' || c_custkey AS id FROM customer UNION ALL SELECT 'project:o' || o_orderkey FROM orders UNION ALL SELECT 'skill:p' || p_partkey FROM part UNION ALL SELECT 'org:s' || s_suppkey FROM supplier UNION ALL SELECT 'loc:n' || n_nationkey FROM nation UNION ALL SELECT DISTINCT 'domain:' || {_SLUG.format('p_type')} FROM part UNION ALL SELECT 'person:r' || r_regionkey FROM region),
 lone AS (SELECT id FROM nodes WHERE id NOT IN (SELECT source FROM walk)), n AS (SELECT count(*)::DOUBLE AS n FROM nodes),
 r0 AS (SELECT id, 1 / n AS rank FROM nodes, n),
 {GLOBAL}
-top AS (SELECT max(rank) AS m FROM r60)
-SELECT id, round(CASE WHEN starts_with(id, 'person:') THEN 1.6 * m ELSE rank END * 1000000, 2) AS parts FROM r60, top""",
-        "ppr_k_iters": f"""WITH {_EDGES}, {walk("'DELIVERED', 'USES', 'IN_DOMAIN'", "CASE WHEN type = 'IN_DOMAIN' THEN 0.35::DOUBLE ELSE 1.0::DOUBLE END")},
-restart AS (SELECT c_nationkey AS qid, 'role:c' || min(c_custkey) AS id, 1.0::DOUBLE AS r FROM customer GROUP BY 1), {steps(0.5)}
-SELECT qid, id, round(rank, 6) AS rank FROM r{RANK_STEPS}""",
+top AS (SELECT max(rank) AS m FROM r{PLAIN})
+SELECT id, round(CASE WHEN starts_with(id, 'person:') THEN 1.6 * m ELSE rank END * 1000000, 2) AS parts FROM r{PLAIN}, top""",
+        "ppr_k_iters": f"""WITH {_EDGES}, {walk},
+r0 AS (SELECT c_nationkey AS qid, 'role:c' || min(c_custkey) AS id, 0.0::DOUBLE AS rank, 1.0::DOUBLE AS r FROM customer GROUP BY 1),
+{", ".join(map(push, range(1, PUSHES + 1)))}
+SELECT qid, id, round(rank, 9) AS rank FROM r{PUSHES} WHERE rank > 0""",
         "shortest_paths": f"""WITH RECURSIVE {_EDGES},
 hops AS (SELECT DISTINCT * FROM (SELECT source AS a, target AS b FROM edges WHERE type IN ('LOCATED_IN', 'HELD_ROLE', 'IN_DOMAIN') UNION ALL SELECT target, source FROM edges WHERE type IN ('LOCATED_IN', 'HELD_ROLE', 'IN_DOMAIN'))),
 first AS (SELECT c_nationkey AS n, min(c_custkey) AS k FROM customer GROUP BY 1),

@@ -1,5 +1,8 @@
 """Operators that SQL does not reach, against small brute-force forms and hand-made cases."""
 
+import random
+from fractions import Fraction
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -161,25 +164,122 @@ def test_hybrid(spark):
     assert retrieve.payload(found).first().seeds == ["s:a", "s:b"]
 
 
+def exact_ranks(walk, ids, seeds, damping=0.5, steps=400):
+    """The plain power iteration, for one query."""
+    known = {i: v for i, v in seeds.items() if i in ids and v > 0} or dict.fromkeys(ids, 1.0)
+    start = {i: v / sum(known.values()) for i, v in known.items()}
+    rank = dict(start)
+    for _ in range(steps):
+        lost = sum(v for i, v in rank.items() if i not in walk)
+        new = {n: start.get(n, 0) * (1 - damping + damping * lost) for n in ids}
+        for m, out in walk.items():
+            for n, p in out.items():
+                new[n] += damping * rank.get(m, 0) * p
+        rank = new
+    return rank
+
+
+def as_walk(spark, walk):
+    return spark.createDataFrame([(a, b, p) for a, out in walk.items() for b, p in out.items()], "source string, target string, p double")
+
+
 def test_pagerank_with_lone_seeds(spark):
-    """Seeds without edges hold and give back mass; the power iteration in plain Python, step by step."""
+    """Seeds without edges hold and give back mass; unknown seeds and none restart everywhere."""
     walk = {"a": {"b": 1.0}, "b": {"a": 0.25, "c": 0.75}, "c": {"b": 1.0}}
     seeds = {"q": {"a": 1.0, "x": 2.0, "y": 1.0}, "r": {"x": 3.0}, "s": {"c": 1.0, "zz": 5.0}, "t": {"a": -1.0}}
     nodes = spark.createDataFrame([(n,) for n in "abcxy"], "id string")
-    w = spark.createDataFrame([(a, b, p) for a, out in walk.items() for b, p in out.items()], "source string, target string, p double")
     df = spark.createDataFrame([(q, i, v) for q, vs in seeds.items() for i, v in vs.items()], "qid string, id string, weight double")
-    for steps in (1, 4, 60):
-        expect = {}
-        for q, vs in seeds.items():
-            known = {i: v for i, v in vs.items() if i in "abcxy" and v > 0} or dict.fromkeys("abcxy", 1.0)
-            start = {i: v / sum(known.values()) for i, v in known.items()}
-            rank = dict(start)
-            for _ in range(steps):
-                lost = sum(v for i, v in rank.items() if i not in walk)
-                rank = {n: 0.5 * sum(rank.get(m, 0) * out.get(n, 0) for m, out in walk.items()) + start.get(n, 0) * (0.5 + 0.5 * lost) for n in "abcxy"} if start else {}
-            expect |= {(q, i): v for i, v in rank.items() if v}
-        found = {(r.qid, r.id): r["rank"] for r in graph.pagerank(w, nodes, df, 0.5, steps).collect() if r["rank"]}
-        assert found == pytest.approx(expect, abs=1e-8)
+    expect = {(q, i): v for q, vs in seeds.items() for i, v in exact_ranks(walk, "abcxy", vs).items() if v}
+    found = {(r.qid, r.id): r["rank"] for r in graph.pagerank(as_walk(spark, walk), nodes, df, 0.5, 1e-12).collect()}
+    assert found == pytest.approx(expect, abs=1e-10)
+
+
+@pytest.mark.parametrize("hub", [10_000, 3])
+def test_pushed_ranks_lack_no_more_than_what_is_left(spark, monkeypatch, hub):
+    """At any bound each rank is at most the true one, and together they lack at most 1 less their sum; hubs of few edges
+    are dealt over several keys with the same result."""
+    monkeypatch.setattr(graph, "HUB", hub)
+    rng = random.Random(3)
+    weights = {}
+    for i in range(60):
+        for j in [rng.randrange(60) for _ in range(2)] + [0]:
+            if i != j:
+                weights[i, j] = weights[j, i] = weights.get((i, j), rng.choice([0.3, 1.0, 0.7]))
+    walk = {}
+    for (i, j), w in weights.items():
+        walk.setdefault(str(i), {})[str(j)] = w / sum(v for (a, _), v in weights.items() if a == i)
+    ids = [str(i) for i in range(60)]
+    nodes = spark.createDataFrame([(i,) for i in ids], "id string")
+    df = spark.createDataFrame([("a", "7", 1.0), ("b", "0", 2.0), ("b", "9", 1.0)], "qid string, id string, weight double")
+    exact = {"a": exact_ranks(walk, ids, {"7": 1.0}), "b": exact_ranks(walk, ids, {"0": 2.0, "9": 1.0})}
+    for least in (0.05, 1e-6):
+        found = {"a": {}, "b": {}}
+        for r in graph.pagerank(as_walk(spark, walk), nodes, df, 0.5, least).collect():
+            found[r.qid][r.id] = r["rank"]
+        for q, ranks in found.items():
+            lacks = [exact[q][i] - ranks.get(i, 0.0) for i in ids]
+            assert min(lacks) > -1e-12 and sum(lacks) <= 1 - sum(ranks.values()) + 1e-12
+    assert max(lacks) < 1e-5
+
+
+def test_global_pagerank_to_the_end(spark):
+    """Chebyshev's steps end where plain ones do; nodes without edges share what they would give back."""
+    nodes = spark.createDataFrame([(n, "Person" if n == "x" else "Skill") for n in "abcdx"], "id string, type string")
+    weights = {("a", "b"): 2.0, ("b", "c"): 5.0, ("b", "d"): 3.0, ("c", "d"): 4.0}
+    both = {**weights, **{(b, a): w for (a, b), w in weights.items()}}
+    walk = {i: {j: w / sum(v for (x, _), v in both.items() if x == i) for (a, j), w in both.items() if a == i} for i in "abcd"}
+    plain = exact_ranks(walk, "abcdx", {}, 0.85)
+    found = {r.id: r.pagerank for r in graph.global_pagerank(as_walk(spark, walk), nodes, digits=12).collect()}
+    assert found.pop("x") == pytest.approx(1.6 * max(plain.values()), abs=1e-8)
+    assert found == pytest.approx({i: v for i, v in plain.items() if i != "x"}, abs=1e-8)
+
+
+def test_shortest_paths_from_both_ends(spark):
+    """Against a plain search over all paths: hubs, ties, ends that are hubs, unknown ends, loops, odd and even lengths."""
+    import itertools
+
+    rng = random.Random(9)
+    ids = [f"n{i:02}" for i in range(26)]
+    hubs = {"n03", "n11"}
+    links = {tuple(sorted(rng.sample(ids, 2))) for _ in range(30)}
+    near = {i: sorted({b for x in links for a, b in (x, x[::-1]) if a == i}) for i in ids}
+
+    def plain(s, t):
+        front = [(s,)]
+        for _ in range(7):
+            hit = [p for p in front if p[-1] == t]
+            if hit:
+                return min(hit)
+            front = [(*p, n) for p in front if len(p) == 1 or p[-1] not in hubs for n in near.get(p[-1], []) if n not in p]
+        return None
+
+    nodes = spark.createDataFrame([(i, "Domain" if i in hubs else "Skill") for i in ids], "id string, type string")
+    edges = spark.createDataFrame([(a, "R", b) for a, b in links] + [("n00", "R", "n00")], "source string, type string, target string")
+    asked = [*itertools.product(ids, ids), ("n01", "zz"), ("zz", "zz")]
+    found = {(r.source, r.target): tuple(r.path) for r in graph.shortest_paths(edges, nodes, spark.createDataFrame(asked * 2, "source string, target string")).collect()}
+    expect = {(s, t): p for s, t in asked if (p := plain(s, t)) and len(p) <= 7}
+    assert found == expect and max(map(len, expect.values())) > 5
+
+
+def test_fit_score_at_any_partitioning(spark):
+    """Halves are rounded to even exactly, whatever the order of the rows."""
+    from lodestar.operators import evidence
+
+    rng = random.Random(1)
+    rows = [(j, i, rng.choice(["must", "nice", None]), rng.choice(["strong", "partial", "transferable", "gap", None])) for j in range(300) for i in range(rng.randint(1, 12))]
+    value = {"strong": 20, "partial": 12, "transferable": 7}
+    expect = {}
+    for j in range(300):
+        own = [r for r in rows if r[0] == j]
+        expect[j] = round(Fraction(100 * sum((2 if r[2] == "must" else 1) * value.get(r[3], 0) for r in own), 20 * sum(2 if r[2] == "must" else 1 for r in own)))
+    df = spark.createDataFrame(rows, "job_id int, idx int, importance string, status string")
+    for n in (1, 3, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            found = {r.job_id: r.percent for r in evidence.fit_score(df.drop("status").repartition(n), df.drop("importance").repartition(n)).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        assert found == expect
 
 
 def test_resolve(spark):
