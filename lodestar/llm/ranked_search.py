@@ -113,7 +113,8 @@ def search(found: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id
     each = found.select("row", key, "n", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("row", key, "n", F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"))
     postings = stored(each.join(numbers, "term").select("tid", "row", key, "n", "tf"))
     weight = F.floor(1000 * F.log(F.lit(float(2 * total + 2)) / (2 * F.col("df") + 1).cast("double")))
-    weights = postings.groupBy("tid").agg(F.count(F.lit(1)).alias("df")).select("tid", weight.alias("w")).where("w > 0")
+    # written, so that Spark knows its size: broadcast while it is small, and beyond that a join whose hot terms can be split
+    weights = stored(postings.groupBy("tid").agg(F.count(F.lit(1)).alias("df")).select("tid", weight.alias("w")).where("w > 0"))
     size = F.expr(f"100 - 90 + (90 * n * {total}L) div {max(1, words)}L")
     part = F.col("w") * F.expr("(1000000000L * tf) div (1000 * tf + 8 * m)")
     shards = max(1, -(-total // SHARD))
