@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.sources.tables import table
-from lodestar.streaming import state
+from lodestar.streaming import limits, state
 
 WINDOW, MOST, PER_DAY, TTL = 5 * 86_400, 3, 2, 20 * 86_400
 
@@ -45,12 +45,30 @@ def message_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return state.message_blocks(calls(table(spark, sf, "events"))).fillna(0, ["block"])
 
 
-QUERIES = {f.__name__: f for f in (rate_limit, ttl_cache, breaker, message_blocks)}
+def requests(events: DataFrame) -> DataFrame:
+    """events as requests: every fifth of the cheapest is a health check, purchases are posted, searches fit no route, errors
+    end without a status, and each seventh event is not found."""
+    kind, n = F.col("event_type"), F.col("event_id")
+    return events.select(
+        "ts", F.when((n % 5 == 0) & (F.col("value") < 20), "/healthz").otherwise(F.concat(F.lit("/"), kind, F.lit("/"), F.col("user_id").cast("string"))).alias("path"),
+        F.when(kind != "search", F.concat(F.lit("/"), kind, F.lit("/{id}"))).alias("route"), F.when(kind == "purchase", "POST").otherwise("GET").alias("method"),
+        F.when(kind != "error", F.when(n % 7 == 0, 404).otherwise(200)).alias("status"), (F.col("value") / 100).alias("latency"), (kind == "error").alias("failed"),
+    )
+
+
+def request_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests a day by route, method and status."""
+    return limits.request_counts(requests(table(spark, sf, "events")), 1440).withColumn("start", F.unix_seconds(F.col("start").cast("timestamp")))
+
+
+QUERIES = {f.__name__: f for f in (request_counts, rate_limit, ttl_cache, breaker, message_blocks)}
 
 _SECONDS = "epoch_us(ts) / 1000000.0::DOUBLE"
 _STEPS = f"""e AS (SELECT event_id, user_id AS key, {_SECONDS} AS s, CASE WHEN event_type = 'purchase' THEN 2 ELSE 1 END AS cost,
  floor(epoch_us(ts) / 1000000 / 2592000)::BIGINT AS revision, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"""
 ORACLES = {
+    "request_counts": """SELECT epoch(time_bucket(INTERVAL 1 DAY, ts))::BIGINT AS start, CASE WHEN event_type <> 'search' THEN '/' || event_type || '/{id}' ELSE 'unmatched' END AS route, CASE WHEN event_type = 'purchase' THEN 'POST' ELSE 'GET' END AS method,
+ CASE WHEN event_type = 'error' THEN '500' WHEN event_id % 7 = 0 THEN '404' ELSE '200' END AS status, count(*) AS n FROM events WHERE NOT (event_id % 5 = 0 AND value < 20) GROUP BY ALL""",
     "rate_limit": f"""WITH RECURSIVE {_STEPS},
 r AS (SELECT key, 0::BIGINT AS i, NULL::BIGINT AS event_id, [0.0::DOUBLE][2:] AS hits, -1::BIGINT AS day, 0 AS used, true AS accepted, NULL::DOUBLE AS retry_after FROM (SELECT DISTINCT key FROM e)
  UNION ALL SELECT key, i, event_id, CASE WHEN busy OR full_ THEN recent ELSE list_concat(recent, list_transform(range(cost), lambda x: s)) END, today, CASE WHEN busy OR full_ THEN before ELSE before + cost END, NOT (busy OR full_),

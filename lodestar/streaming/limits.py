@@ -12,11 +12,30 @@ from pyspark.sql import functions as F
 BOUNDS = (0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0)
 
 
+#: Paths that are asked by machines and not counted.
+HEALTH = ("/metrics", "/healthz", "/readyz")
+
+
+def _counted(requests: DataFrame) -> DataFrame:
+    """With a watermark where it is a stream; without health checks where a path is given."""
+    rows = requests.withWatermark("ts", "10 minutes") if requests.isStreaming else requests
+    return rows.where(~F.coalesce(F.col("path").isin(*HEALTH), F.lit(False))) if "path" in rows.columns else rows
+
+
 def red_metrics(events: DataFrame, minutes: int = 60) -> DataFrame:
-    """(start, route, n, errors, le_<bound>...): cumulative histogram by tumbling window; works on streams too."""
-    rows = events.withWatermark("ts", "10 minutes") if events.isStreaming else events
+    """(start, route, method if given, n, errors, le_<bound>...): cumulative histogram by tumbling window; works on streams
+    too. Health checks are left out where events have a path."""
+    rows = _counted(events)
+    keys = ["route", *(c for c in ("method",) if c in rows.columns)]
     buckets = [F.count_if(F.col("latency") <= b).alias(f"le_{str(b).replace('.', '_')}") for b in BOUNDS]
-    return rows.groupBy(F.window("ts", f"{minutes} minutes").alias("w"), "route").agg(F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("errors"), *buckets).select(F.col("w.start").alias("start"), "route", "n", "errors", *[f"le_{str(b).replace('.', '_')}" for b in BOUNDS])
+    return rows.groupBy(F.window("ts", f"{minutes} minutes").alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("errors"), *buckets).select(F.col("w.start").alias("start"), *keys, "n", "errors", *[f"le_{str(b).replace('.', '_')}" for b in BOUNDS])
+
+
+def request_counts(requests: DataFrame, minutes: int = 60) -> DataFrame:
+    """(start, route, method, status, n) of requests(ts, path, route, method, status) by tumbling window: no health checks;
+    a path that fits no route is unmatched, a request that ended without a status counts as 500. Works on streams too."""
+    rows = _counted(requests).withColumns({"route": F.coalesce("route", F.lit("unmatched")), "status": F.coalesce(F.col("status").cast("string"), F.lit("500"))})
+    return rows.groupBy(F.window("ts", f"{minutes} minutes").alias("w"), "route", "method", "status").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "route", "method", "status", "n")
 
 
 def heartbeats(events: DataFrame, seconds: int) -> DataFrame:
