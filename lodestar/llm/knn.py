@@ -13,8 +13,8 @@ The driver holds PIVOTS pivots and PIVOTS x (k + 1) distances, both fixed. Where
 the bounds prune little and the join nears queries x rows, in blocks.
 
 Edge cases: vectors that are null, or hold null, NaN or infinite components, or whose length differs from the most
-common one of the pivots, take no part; ties go to the smaller vec_id; a null vec_id takes no part; repeated ids are
-separate candidates; fewer than k candidates give all; an empty table gives no rows; other columns are ignored.
+common one of the pivots, take no part; ties go to the smaller vec_id; a null vec_id takes no part; rows that
+share an id are queries and candidates of their own, told apart by a row number that is written once; fewer than k candidates give all; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
 def voronoi_topk(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows other than the query's own with the largest inner product."""
     rows = vectors.where(F.col("vec_id").isNotNull() & _usable("embedding")).select(
-        F.col("vec_id").cast("long").alias("vec_id"), _quantised("embedding").alias("v"), is_query.alias("q")
+        F.col("vec_id").cast("long").alias("vec_id"), _quantised("embedding").alias("v"), is_query.alias("q"), F.monotonically_increasing_id().alias("row")
     )
     chosen = rows.orderBy(F.xxhash64("vec_id"), F.xxhash64("v")).limit(pivots).select("v").collect()  # at most ``pivots`` rows
     width = max((len(r.v) for r in chosen), key=[len(r.v) for r in chosen].count, default=0)
@@ -64,7 +64,7 @@ def voronoi_topk(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int =
                 continue
             v = _matrix(b["v"])
             size = (v**2).sum(1)
-            out = {"vec_id": b["vec_id"], "v": b["v"], "q": b["q"]}
+            out = {"row": b["row"], "vec_id": b["vec_id"], "v": b["v"], "q": b["q"]}
             for role, lift in (("s", np.sqrt(np.maximum(top - size, 0))), ("r", np.zeros(len(v)))):
                 x = np.hstack([v, lift[:, None]])
                 d2 = (x**2).sum(1)[:, None] + (points**2).sum(1) - 2 * x @ points.T
@@ -72,7 +72,7 @@ def voronoi_topk(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int =
                 out[f"{role}_cell"], out[f"{role}_dist"] = cell, np.sqrt(np.maximum(d2[np.arange(len(x)), cell], 0))
             yield pd.DataFrame(out)
 
-    kept = cut(rows.mapInPandas(placed, "vec_id long, v array<long>, q boolean, s_cell int, s_dist double, r_cell int, r_dist double"))
+    kept = cut(rows.mapInPandas(placed, "row long, vec_id long, v array<long>, q boolean, s_cell int, s_dist double, r_cell int, r_dist double"))
 
     nearest = Window.partitionBy("s_cell").orderBy("s_dist")
     summary = kept.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 1).select("s_cell", "s_dist").collect()  # pivots x (k + 1)
@@ -105,30 +105,31 @@ def voronoi_topk(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int =
     sizes = {r.cell: r.n for r in sent.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # pivots rows
     cells = spark.createDataFrame([(c, max(1, -(-n // BLOCK)), max(1, -(-queries[c] // CHUNK))) for c, n in sizes.items()], "cell int, blocks int, chunks int")
     deal = lambda i, n: F.pmod(F.xxhash64(i), n).cast("int")
-    data = sent.select("cell", "vec_id", "v").join(F.broadcast(cells), "cell").select("cell", deal("vec_id", F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "vec_id", "v")
-    asked = kept.where("q").join(F.broadcast(grouped), "r_cell").select("cell", F.col("vec_id").alias("query_id"), F.col("v").alias("w")).join(F.broadcast(cells), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), deal("query_id", F.col("chunks")).alias("chunk"), "query_id", "w")
+    data = sent.select("cell", "row", "vec_id", "v").join(F.broadcast(cells), "cell").select("cell", deal("row", F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "row", "vec_id", "v")
+    asked = kept.where("q").join(F.broadcast(grouped), "r_cell").select("cell", F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("w")).join(F.broadcast(cells), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), deal("query_row", F.col("chunks")).alias("chunk"), "query_row", "query_id", "w")
 
     def solve(asked: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+        names = ["query_row", "query_id", "vec_id", "row", "score"]
+        empty = pd.DataFrame({n: [] for n in names}).astype("int64")
         if not len(asked) or not len(data):
             return empty
-        data = data.sort_values("vec_id", kind="stable")
-        ids, v, out = data["vec_id"].to_numpy(), _matrix(data["v"]), []
+        data = data.sort_values(["vec_id", "row"])
+        ids, rows, v, out = data["vec_id"].to_numpy(), data["row"].to_numpy(), _matrix(data["v"]), []
         exact = float(np.abs(v).max(initial=0)) * float(max(np.abs(x).max(initial=0) for x in asked["w"])) * v.shape[1] < 2**52
         for i in range(0, len(asked), 256):
             part = asked.iloc[i : i + 256]
-            own, w = part["query_id"].to_numpy(), _matrix(part["w"])
+            own, asker, w = part["query_row"].to_numpy(), part["query_id"].to_numpy(), _matrix(part["w"])
             score = (w @ v.T).astype(np.int64) if exact else w.astype(np.int64) @ v.astype(np.int64).T
-            score[own[:, None] == ids[None, :]] = np.iinfo(np.int64).min
+            score[own[:, None] == rows[None, :]] = np.iinfo(np.int64).min
             n = min(k, len(ids))
             least = np.partition(score, len(ids) - n, axis=1)[:, len(ids) - n]
             for j in range(len(own)):
                 near = np.flatnonzero(score[j] >= least[j])  # ascending ids
                 near = near[np.argsort(-score[j][near], kind="stable")][:n]
-                out += [(own[j], ids[x], score[j, x]) for x in near if score[j, x] > np.iinfo(np.int64).min]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else empty
+                out += [(own[j], asker[j], ids[x], rows[x], score[j, x]) for x in near if score[j, x] > np.iinfo(np.int64).min]
+        return pd.DataFrame(out, columns=names) if out else empty
 
     keys = ["cell", "block", "chunk"]
-    found = asked.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(solve, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = asked.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(solve, "query_row long, query_id long, vec_id long, row long, score long")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

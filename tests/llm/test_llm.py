@@ -414,6 +414,20 @@ def test_topk(spark):
     assert knn.voronoi_topk(df.where("vec_id < 3"), F.col("vec_id") == 0).count() == 2
 
 
+def test_topk_of_rows_that_share_an_id(spark):
+    """Each row asks and answers for itself; only a query's own row is no candidate of it."""
+    rng = np.random.default_rng(4)
+    rows = [(0, [1.0, 0.0]), (0, [0.9, 0.1]), (1, [0.5, 0.5]), (2, [0.2, 0.9])] + [(50 * (i % 3), rng.normal(0, 1, 2).tolist()) for i in range(30)] + [(7, [0.3, 0.3])] * 4
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    q = [(i, np.floor(256 * np.array(v)).astype(np.int64)) for i, v in rows]
+    want = []
+    for at, (i, w) in enumerate(q):
+        if i % 50 == 0:
+            best = sorted((-int(w @ v), j) for other, (j, v) in enumerate(q) if other != at)[:5]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert sorted(map(tuple, knn.voronoi_topk(df, F.col("vec_id") % 50 == 0, 5, 4).collect())) == sorted(want)
+
+
 def brute_print(text):
     out, words = "", []
     for c in text or "":
