@@ -71,21 +71,42 @@ def dash_aliases(entities: DataFrame) -> DataFrame:
     return entities.withColumn("aliases", F.when(F.size(parts) > 1, F.array_union(F.coalesce("aliases", F.array().cast("array<string>")), parts)).otherwise(F.col("aliases")))
 
 
-def merge_similar(skills: DataFrame, pairs: DataFrame, most: int = 20) -> DataFrame:
-    """(drop_id, keep_id): which of skills(id, known, n_sources, seq) merge, given pairs(a, b) of near vectors.
+def merge_similar(skills: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(drop_id, keep_id): which of skills(id, known, sources, seq) merge, given pairs(a, b) of near vectors; exactly what one
+    pass over the pairs in the order of (earlier seq, later seq) gives.
 
-    Two known ones never merge. Of a pair the known one is kept, else that with more sources, else the earlier. One that
-    several others would take goes to the best of them; chains end at one that is kept. Unlike a greedy pass in input
-    order, the result does not depend on that order.
+    Of a pair whose ends are both still there, unless both are known, the earlier is kept if it is known or has as many
+    sources as the later, else the later; the kept one takes over the other's sources. keep_id is who is left in the end.
+
+    A pair's outcome depends on the earlier pairs of its two ends alone. So each round settles, all at once, the pairs that
+    are the first of both their ends; then these go, and so do all pairs of what was dropped. There are as many rounds as
+    pairs in the longest chain of pairs that wait for one another.
     """
-    order = F.struct(F.coalesce("known", F.lit(False)).alias("known"), "n_sources", (-F.col("seq")).alias("seq"), "id")
-    ranked = skills.select("id", order.alias("o"))
-    ends = pairs.join(ranked.select(F.col("id").alias("a"), F.col("o").alias("oa")), "a").join(ranked.select(F.col("id").alias("b"), F.col("o").alias("ob")), "b").where(~(F.col("oa.known") & F.col("ob.known")))
-    chosen = ends.select(F.when(F.col("oa") > F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("drop_id"), F.greatest("oa", "ob").alias("keep"))
-    to = cut(chosen.groupBy("drop_id").agg(F.max("keep").alias("keep")).select("drop_id", F.col("keep.id").alias("keep_id")))
-    for _ in range(most):  # each round halves the way to the end
+    order = F.struct("seq", "id")
+    state = cut(skills.select("id", F.coalesce("known", F.lit(False)).alias("known"), F.array_distinct(F.coalesce("sources", F.array().cast(skills.schema["sources"].dataType))).alias("sources"), order.alias("at")))
+    ends = pairs.where("a <> b").select(F.struct("a", "b").alias("p")).select("p.*")
+    placed = ends.join(state.select(F.col("id").alias("a"), F.col("at").alias("ta")), "a").join(state.select(F.col("id").alias("b"), F.col("at").alias("tb")), "b")
+    swap = F.col("ta") > F.col("tb")
+    rest = cut(placed.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.struct(F.least("ta", "tb").alias("x"), F.greatest("ta", "tb").alias("y")).alias("rank")).distinct())
+    merged = rest.select(F.col("a").alias("drop_id"), F.col("b").alias("keep_id")).limit(0)
+    while not rest.isEmpty():
+        first = rest.select(F.explode(F.array("a", "b")).alias("id"), "rank").groupBy("id").agg(F.min("rank").alias("first"))
+        of = lambda end: first.select(F.col("id").alias(end), F.col("first").alias(f"first_{end}"))  # noqa: B023, E731
+        ready = rest.join(of("a"), "a").join(of("b"), "b").where((F.col("rank") == F.col("first_a")) & (F.col("rank") == F.col("first_b"))).select("a", "b")
+        now = lambda end: state.select(F.col("id").alias(end), F.col("known").alias(f"known_{end}"), F.col("sources").alias(f"sources_{end}"))  # noqa: B023, E731
+        both = ready.join(now("a"), "a").join(now("b"), "b")
+        earlier = F.col("known_a") | (F.size("sources_a") >= F.size("sources_b"))
+        done = cut(both.select("a", "b", (~(F.col("known_a") & F.col("known_b"))).alias("merge"), F.when(earlier, F.col("b")).otherwise(F.col("a")).alias("drop_id"), F.when(earlier, F.col("a")).otherwise(F.col("b")).alias("keep_id"), F.array_union("sources_a", "sources_b").alias("_all")))
+        gone = done.where("merge").select("drop_id", "keep_id", "_all")
+        merged = merged.unionByName(gone.select("drop_id", "keep_id"))
+        state = cut(state.join(gone.select(F.col("keep_id").alias("id"), "_all"), "id", "left").select("id", "known", F.coalesce("_all", "sources").alias("sources"), "at"))
+        rest = rest.join(done.select("a", "b"), ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            rest = rest.join(gone.select(F.col("drop_id").alias(end)), end, "left_anti")
+        rest = cut(rest)
+    to = cut(merged)
+    while True:  # each round halves the way to the end
         further = to.select(F.col("drop_id").alias("keep_id"), F.col("keep_id").alias("_k"))
         if to.join(further, "keep_id", "left_semi").isEmpty():
-            break
+            return to
         to = cut(to.join(further, "keep_id", "left").select("drop_id", F.coalesce("_k", "keep_id").alias("keep_id")))
-    return to

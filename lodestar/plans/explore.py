@@ -168,9 +168,10 @@ def near_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def merged_similar(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors as skills: every seventh is known, sources by number; near ones merge."""
-    v = table(spark, sf, "embeddings")
-    skills = v.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 7 == 0).alias("known"), (F.col("vec_id") % 4).alias("n_sources"), F.col("vec_id").alias("seq"))
+    """Vectors as skills: every seventh is known, sources are numbers that overlap; near ones merge in input order."""
+    v, k = table(spark, sf, "embeddings"), F.col("vec_id")
+    sources = F.transform(F.sequence(F.lit(0), k % 4), lambda i: i + k % 3)
+    skills = v.select(k.alias("id"), (k % 7 == 0).alias("known"), sources.alias("sources"), k.alias("seq"))
     return resolve.merge_similar(skills, near_vectors(spark, sf))
 
 
@@ -286,10 +287,15 @@ SELECT l_orderkey AS job_id, idx::INT AS idx, l_partkey::VARCHAR AS requirement,
 SELECT o_orderkey, CASE a WHEN 0 THEN strftime(d, '%Y-%m') WHEN 1 THEN strftime(d, '%Y') ELSE '?' END || ' – ' || CASE b WHEN 0 THEN strftime(d, '%Y-%m-%d') WHEN 1 THEN 'soon' ELSE 'present' END AS period, CASE WHEN s IS NULL THEN 0.5 ELSE round(greatest(0.1, (e - s + 1) / 12.0::DOUBLE), 4) END AS years FROM y""",
     "distinctive_names": """SELECT DISTINCT p_partkey, name FROM (SELECT p_partkey, unnest([p_name, replace(p_brand, '#', ''), array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' '), replace(p_name, ' ', ''), left(p_brand, 5)]) AS name FROM part) WHERE len(name) >= 6 AND regexp_matches(name, '[0-9.+#/ -]|^[A-Z]')""",
     "near_vectors": f"WITH {_PAIRS} SELECT a, b, round(score, 5) AS score FROM p WHERE score >= 0.4",
-    "merged_similar": f"""WITH RECURSIVE {_PAIRS}, o AS (SELECT vec_id AS id, (vec_id % 7 = 0, vec_id % 4, -vec_id) AS o FROM embeddings),
-c AS (SELECT CASE WHEN x.o > y.o THEN b ELSE a END AS d, CASE WHEN x.o > y.o THEN a ELSE b END AS k, greatest(x.o, y.o) AS o FROM p JOIN o x ON x.id = a JOIN o y ON y.id = b WHERE score >= 0.4 AND NOT (a % 7 = 0 AND b % 7 = 0)),
-t AS (SELECT d, arg_max(k, o) AS k FROM c GROUP BY d), r AS (SELECT d, k FROM t UNION SELECT r.d, t.k FROM r JOIN t ON r.k = t.d)
-SELECT d AS drop_id, k AS keep_id FROM r WHERE k NOT IN (SELECT d FROM t)""",
+    "merged_similar": f"""WITH RECURSIVE {_PAIRS}, q AS (SELECT a, b, row_number() OVER (ORDER BY a, b) AS i FROM p WHERE score >= 0.4), base AS (SELECT vec_id AS id, list_transform(range(vec_id % 4 + 1), lambda x: x + vec_id % 3) AS s FROM embeddings),
+w AS (SELECT i, a, b, x.s AS sa, y.s AS sb FROM q JOIN base x ON x.id = a JOIN base y ON y.id = b),
+t AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS d, NULL::BIGINT AS k, [0::BIGINT][2:] AS gone, MAP {{-1::BIGINT: [0::BIGINT]}} AS held
+ UNION ALL SELECT i, CASE WHEN ok THEN CASE WHEN first THEN b ELSE a END END, CASE WHEN ok THEN CASE WHEN first THEN a ELSE b END END, CASE WHEN ok THEN list_append(gone, CASE WHEN first THEN b ELSE a END) ELSE gone END,
+  CASE WHEN ok THEN map_concat(held, MAP {{CASE WHEN first THEN a ELSE b END: list_distinct(list_concat(na, nb))}}) ELSE held END
+ FROM (SELECT *, a % 7 = 0 OR len(na) >= len(nb) AS first, NOT (list_contains(gone, a) OR list_contains(gone, b) OR a % 7 = 0 AND b % 7 = 0) AS ok FROM (
+  SELECT w.i, a, b, gone, held, coalesce(held[a], sa) AS na, coalesce(held[b], sb) AS nb FROM t JOIN w ON w.i = t.i + 1))),
+m AS (SELECT d, k FROM t WHERE d IS NOT NULL), r AS (SELECT d, k FROM m UNION ALL SELECT r.d, m.k FROM r JOIN m ON r.k = m.d)
+SELECT d AS drop_id, k AS keep_id FROM r WHERE k NOT IN (SELECT d FROM m)""",
     "repo_edges": f"""WITH r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 1 THEN 'project:order-' || (o_orderkey - 1) ELSE 'project:order-' || o_orderkey END AS p FROM orders),
 u AS (SELECT p, 'skill:' || {_SLUG.format('p_brand')} AS t, CASE WHEN p_size > 25 THEN 'code' ELSE 'topic' END AS via, CASE WHEN p_size > 25 THEN p_name ELSE 'topic' END AS ev FROM lineitem JOIN r ON l_orderkey = k JOIN part ON l_partkey = p_partkey WHERE p_size > 25 OR p_size <= 10)
 SELECT DISTINCT 'person:x' AS source, 'BUILT' AS type, p AS target, '' AS via, '' AS evidence FROM r UNION ALL SELECT p, 'USES', t, min((via, ev))[1], min((via, ev))[2] FROM u GROUP BY p, t""",

@@ -435,3 +435,30 @@ def test_streams_of_enrichment(spark, tmp_path):
         stream = spark.readStream.schema("id string").parquet(str(tmp_path / "ids"))
         publish.with_current(stream, str(tmp_path / "graph"), "entities", "id", sink, str(tmp_path / "c2")).awaitTermination()
     assert seen == [(versions[0], [("aa", "old"), ("zz", None)]), (versions[1], [("aa", "new"), ("zz", None)])]
+
+
+def test_similar_skills_merge_as_in_one_pass(spark):
+    """Rounds of pairs that are first at both ends give what one pass over the ordered pairs gives, on random pairs."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        ids = [f"s{i:02}" for i in rng.sample(range(60), 40)]
+        skills = [(x, rng.choice([True, False, False, None]), [f"d{rng.randrange(6)}" for _ in range(rng.randrange(4))], i) for i, x in enumerate(ids)]
+        pairs = {tuple(rng.sample(ids, 2)) for _ in range(70)}
+        known, held, alive, to = {s[0]: bool(s[1]) for s in skills}, {s[0]: set(s[2]) for s in skills}, set(ids), {}
+        near = {frozenset(p) for p in pairs}
+        for i, a in enumerate(ids):
+            for b in ids[i + 1 :]:
+                if a in alive and b in alive and frozenset((a, b)) in near and not (known[a] and known[b]):
+                    keep, drop = (a, b) if known[a] or len(held[a]) >= len(held[b]) else (b, a)
+                    held[keep] |= held[drop]
+                    alive.discard(drop)
+                    to[drop] = keep
+        expect = {}
+        for d, k in to.items():
+            while k in to:
+                k = to[k]
+            expect[d] = k
+        df = spark.createDataFrame(skills, "id string, known boolean, sources array<string>, seq long")
+        found = resolve.merge_similar(df, spark.createDataFrame([*pairs, (ids[0], ids[0])], "a string, b string"))
+        assert {r.drop_id: r.keep_id for r in found.collect()} == expect and len(expect) > 10
+    assert resolve.merge_similar(df.limit(0), spark.createDataFrame([], "a string, b string")).count() == 0
