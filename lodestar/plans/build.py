@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.text import STOP, query_terms, terms
 from lodestar.operators import documents, graph, resolve
 from lodestar.operators.search import fuzzy_terms as fuzzy
-from lodestar.sources.tables import entities, node, relations, table
+from lodestar.sources.tables import entities, node, relations, spread, table
 
 
 def _raw(spark, sf):
@@ -73,7 +73,7 @@ def first_words(items: DataFrame) -> DataFrame:
 
 
 def mentions(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
     return documents.mentions(docs, first_words(table(spark, sf, "benchmark")))
 
 

@@ -46,6 +46,18 @@ def test_mentions_prefer_long_labels(spark):
     assert found == {(1, "b"), (1, "c"), (1, "d"), (1, "e"), (3, "a")}
 
 
+def test_mentions_by_trie_and_by_join(spark, monkeypatch):
+    """Both ways give the same on random texts with marks, dots, hyphens, accents and labels that begin alike."""
+    rng = random.Random(6)
+    words = ["go", "Go", "GO", "node", "Node.js", "node.js", "js", "c++", "C++", "été", "Été", "a-b", "a", "b", "x_y", "straße", "STRASSE", "(x)", "one two", "one  two three", "two three"]
+    labels = spark.createDataFrame([(f"e{i:02}", w, rng.randrange(3)) for i, w in enumerate(words * 2)], "entity_id string, label string, priority int")
+    texts = [rng.choice([" ", "-", ".", ", ", "\n", ""]).join(rng.choice(words) for _ in range(rng.randint(1, 14))) for _ in range(400)] + ["", None, "one two\tthree", "Node.JS."]
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "id long, text string")
+    found = sorted(map(tuple, documents.mentions(docs.where("id % 2 = 0").withColumn("id", F.xxhash64("text")), labels).collect()))
+    monkeypatch.setattr(documents, "TRIE_LETTERS", 0)
+    assert found == sorted(map(tuple, documents.mentions(docs.where("id % 2 = 0").withColumn("id", F.xxhash64("text")), labels).collect())) and len(found) > 200
+
+
 def test_guard(spark):
     good = ["MATCH (s:Skill) RETURN s.name LIMIT 5;", "MATCH (s {name: 'Data set CREATE'}) RETURN s"]
     bad = ["MATCH (n) DETACH DELETE n RETURN 1", "CREATE (n) RETURN n", "MATCH (n) RETURN n; MATCH (m) RETURN m", "call db.labels() YIELD x RETURN x", "MATCH (n)", " ; ", None]
