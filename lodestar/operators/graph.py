@@ -15,14 +15,20 @@ WEIGHTS = {"HELD_ROLE": 0.6, "AT": 1.0, "BUILT": 0.6, "DELIVERED": 1.0, "USES":
 BLOCKS, HUB = 64, 10_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that executors share (spark.checkpoint.dir; a local one only where unset)."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that executors share (spark.checkpoint.dir; a local one only where that is unset, on a local master)."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lodestar-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the folder that executors share."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import CITATION, citation_refs, normalize_name, slugify, truncate
 from lodestar.operators import evidence, graph, search
 from lodestar.plans import answers, build, explore, live, upkeep
+from lodestar.sources import publish
 from lodestar.sources.tables import entities, node, relations, spread, table
 from lodestar.streaming import limits, state
 
@@ -40,6 +43,13 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return search.bm25(_docs(spark, sf), _asked(spark, sf), 12)
 
 
+def bm25_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from an index that is published and loaded again; the search reads no text."""
+    path = f"{graph.shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    publish.publish(spark, search.text_index(_docs(spark, sf)), path)
+    return search.bm25_indexed(publish.tables(spark, path, ("totals", "vocabulary", "postings")), _asked(spark, sf), 12)
+
+
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     v = _vectors(spark, sf)
     return search.vector_topk(v, v.where("id % 50 = 0").withColumnRenamed("id", "qid"), 12, 0.5)
@@ -214,7 +224,7 @@ def daily_budget(spark: SparkSession, sf: str) -> DataFrame:
     return state.replay(_events(spark, sf).withColumn("cost", F.when(F.col("kind") == "purchase", 3).otherwise(1)), state.daily_budget(4))
 
 
-QUERIES = {f.__name__: f for f in (rrf_fusion, bm25_topk, vector_topk, relation_dedup, entity_merge, type_counts, degree, neighbors, induced_subgraph, match_path, global_pagerank, ppr_k_iters, shortest_paths, skill_evidence, type_share, fit_score, citations, normalize_names, entity_link, name_search, history_window, block_ids, heartbeat, red_metrics, daily_budget)}
+QUERIES = {f.__name__: f for f in (rrf_fusion, bm25_topk, bm25_indexed, vector_topk, relation_dedup, entity_merge, type_counts, degree, neighbors, induced_subgraph, match_path, global_pagerank, ppr_k_iters, shortest_paths, skill_evidence, type_share, fit_score, citations, normalize_names, entity_link, name_search, history_window, block_ids, heartbeat, red_metrics, daily_budget)}
 QUERIES |= build.QUERIES | live.QUERIES | answers.QUERIES | upkeep.QUERIES | explore.QUERIES
 
 _SLUG = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
@@ -267,6 +277,7 @@ walk AS MATERIALIZED (SELECT source, target, w / sum(w) OVER (PARTITION BY sourc
     GLOBAL = "\n".join(once(i) for i in range(1, PLAIN + 1))  # noqa: N806
     return {
         "bm25_topk": f"WITH {bm25} SELECT qid, id, score, rank FROM sparse",
+        "bm25_indexed": f"WITH {bm25} SELECT qid, id, score, rank FROM sparse",
         "vector_topk": f"WITH {dense('q.vec_id % 50 = 0')} SELECT qid, id, score, rank FROM dense",
         "rrf_fusion": f"""WITH {bm25}, {dense('q.vec_id IN (SELECT item_id FROM benchmark)')},
 fused AS (SELECT qid, id, round(sum(1.0::DOUBLE / (61 + rank)), 9) AS score FROM (SELECT qid, id, rank FROM sparse UNION ALL SELECT qid, id, rank FROM dense) GROUP BY ALL)

@@ -81,12 +81,17 @@ def publish(spark: SparkSession, graph: dict[str, DataFrame], path: str, force:
     return version, True
 
 
-def load(spark: SparkSession, path: str, names: Iterable[str] = ("entities", "relations")) -> dict[str, DataFrame]:
-    """Tables of the version in force; a missing type or name is filled, and edges to unknown nodes are dropped."""
+def tables(spark: SparkSession, path: str, names: Iterable[str]) -> dict[str, DataFrame]:
+    """Tables of the version in force, as they were published."""
     newest = _newest(spark, path)
     if newest is None:
         raise FileNotFoundError(f"nothing published at {path}")
-    graph = {n: spark.read.parquet(f"{path}/{newest.folder}/{n}") for n in names}
+    return {n: spark.read.parquet(f"{path}/{newest.folder}/{n}") for n in names}
+
+
+def load(spark: SparkSession, path: str, names: Iterable[str] = ("entities", "relations")) -> dict[str, DataFrame]:
+    """Tables of the version in force; a missing type or name is filled, and edges to unknown nodes are dropped."""
+    graph = tables(spark, path, names)
     nodes = graph["entities"].withColumn("type", F.coalesce("type", F.lit("Entity"))).withColumn("name", F.coalesce("name", "id"))
     graph["entities"] = nodes
     for end in ("source", "target"):

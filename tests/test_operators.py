@@ -145,6 +145,26 @@ def test_limit_cost(spark):
     assert state.replay(df.limit(0), state.sliding_limit(3, 10)).count() == 0
 
 
+@pytest.mark.parametrize("fuzzy", [True, False])
+def test_search_by_a_stored_index(spark, tmp_path, monkeypatch, fuzzy):
+    """Small blocks in several runs give what a scan of the texts gives, and blocks that cannot matter are not read."""
+    from lodestar.operators import search
+
+    monkeypatch.setattr(search, "POSTINGS", 3)
+    monkeypatch.setattr(search, "ORDERED", 40)
+    rng = random.Random(2)
+    words = ["kitchen", "kitchens", "kichten", "garden", "gardens", "river", "a1", "stone", "bridge", "common"]
+    docs = spark.createDataFrame([(i, None if i == 3 else " ".join(rng.choice([*words, "common", "common"]) for _ in range(rng.randint(0, 40)))) for i in range(150)], "id long, text string")
+    asked = spark.createDataFrame([(i, " ".join(rng.sample(words, rng.randint(1, 4)))) for i in range(12)] + [(50, "nowhere"), (51, None)], "qid long, text string")
+    publish.publish(spark, search.text_index(docs), str(tmp_path))
+    index = publish.tables(spark, str(tmp_path), ("totals", "vocabulary", "postings"))
+    found = search.bm25_indexed(index, asked, 3, fuzzy)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, search.bm25(docs, asked, 3, fuzzy).select(*found.columns).collect()))
+    assert index["postings"].where("block >= 4294967296").count() > 0 and index["postings"].agg(F.max(F.size("posted"))).first()[0] == 3
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan and search.bm25_indexed({**index, "postings": index["postings"].limit(0)}, asked, 3, fuzzy).count() == 0
+
+
 def test_hybrid(spark):
     """Seeds, walk, focus and passages of a small corpus, recomputed in plain Python."""
     nodes = [("s:a", "Skill", "alpha"), ("s:b", "Skill", "beta"), ("s:c", "Skill", "gamma"), ("p", "Person", "pat")]
