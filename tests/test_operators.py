@@ -175,7 +175,7 @@ def test_hybrid(spark):
         spark.createDataFrame([(*n, "") for n in nodes], "id string, type string, name string, text string"), spark.createDataFrame(edges, "source string, type string, target string"),
         spark.createDataFrame([(i, "t", t) for i, t in texts.items()], "id long, title string, text string"), spark.createDataFrame([(i, e) for i, es in ents.items() for e in es], "chunk_id long, entity_id string"),
     )
-    found = retrieve.hybrid(c, spark.createDataFrame([(7, 0, "alpha"), (7, 1, " "), (8, 0, "nothing")], "qid long, sub int, text string"), iterations=40)
+    found = retrieve.hybrid(c, spark.createDataFrame([(7, 0, "alpha"), (7, 1, " "), (8, 0, "nothing")], "qid long, sub int, text string"))
     rrf = {1: 1 / 61, 4: 1 / 62}
     seed = {"s:a": 1 + 15 * (1 / 61 + 1 / 62), "s:b": 15 / 62}
     assert {r.id: r.score for r in found.seeds.collect()} == pytest.approx(seed, abs=1e-6)
