@@ -317,6 +317,29 @@ def test_pii_against_plain_python(spark):
     assert got == want
 
 
+def test_addresses_against_plain_python(spark):
+    """Local parts of any length, with marks and letters of any script; none of their letters stays by intent."""
+    base36 = lambda n, width: np.base_repr(n, 36).lower().rjust(width, "0") if width else ""
+
+    def pseudonym(local):
+        low = local.lower()
+        low = low if low.isascii() else "u-" + low.encode().hex()
+        letters, new = [c for c in low if c.isalnum()], ""
+        for i in range(0, len(letters), pii.LETTERS):
+            piece = "".join(letters[i : i + pii.LETTERS])
+            half = len(piece) // 2
+            number = lambda t: int(t or "0", 36)
+            x, y = brute_pseudonym("email", number(piece[:half]), number(piece[half:]), 36**half, 36 ** (len(piece) - half), "k", "".join(letters[:i]) if i else None)
+            new += base36(x, half) + base36(y, len(piece) - half)
+        rest = iter(new)
+        return "".join(next(rest) if c.isalnum() else c for c in low)
+
+    locals_ = ["jürgen.müller", "o'connor", "a" * 70, "Иван.Петров", "x", "li.wei+news_1", "é", "Zoë-Ann", "b" * 200]
+    df = spark.createDataFrame([(i, f"to <{x}@mail.example.org>, again {x}@mail.example.org.") for i, x in enumerate(locals_)], "doc_id long, text string")
+    got = [r.text for r in pii.pseudonymised(df, "k").orderBy("doc_id").collect()]
+    assert got == [f"to <{pseudonym(x)}@mail.example.org>, again {pseudonym(x)}@mail.example.org." for x in locals_]
+
+
 def test_clashing_names(spark, odd):
     """Columns that are named as a helper or as a result."""
     docs = odd.withColumns({c: F.lit(1) for c in ("_done", "_secrets", "_p", "pii_found", "lang_pred", "toxic", "toxicity")})
