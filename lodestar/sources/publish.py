@@ -1,14 +1,16 @@
 """Publishing a graph: content versions, all-or-nothing replacement, export, statistics, and caches by content.
 
-A graph is a dict of tables by name. Versions are directories; a reader follows the newest row of ``versions``, a table
-that is only appended to, so a failed publish leaves the one before in force.
+A graph is a dict of tables by name. Versions are directories; a reader follows the pointer of the largest number in
+``versions``, where each number is given once, so a failed publish leaves the one before in force.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,10 +57,50 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def _newest(spark: SparkSession, path: str):
-    if not _exists(spark, f"{path}/versions"):
+#: Seconds after which a pointer that is still empty is taken for one that a publisher broke off at.
+STALE = 600
+
+
+class Overtaken(RuntimeError):
+    """Another publisher has put a version in force since this one looked."""
+
+
+class Pointer(NamedTuple):
+    number: int
+    version: str
+    folder: str
+
+
+def _newest(spark: SparkSession, path: str) -> Pointer | None:
+    """The pointer with the largest number; one that a publisher left empty when it broke off counts for nothing."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
         return None
-    return spark.read.parquet(f"{path}/versions").agg(F.max_by(F.struct("version", "folder"), F.struct("built_at", "folder")).alias("v")).first().v
+    names = sorted((f.getPath().getName() for f in fs.listStatus(folder)), reverse=True)
+    for name in names:
+        if name.isdigit():
+            stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(folder, name))
+            told = bytes(stream.readAllBytes()).decode().split("\n")
+            stream.close()
+            if len(told) == 3:  # whole
+                return Pointer(int(name), told[0], told[1])
+    return None
+
+
+def _point(spark: SparkSession, path: str, number: int, version: str, folder: str) -> None:
+    """Put a version in force as ``number``, which nobody may have taken: the file is made only if it is not there, which
+    file systems of clusters do in one step."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/versions/{number:012d}")
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        out = fs.create(to, False)
+    except Exception as e:  # which exception says so depends on the file system
+        if fs.exists(to):
+            raise Overtaken(f"version {number} at {path} was published by someone else") from e
+        raise
+    out.write(bytearray(f"{version}\n{folder}\n".encode()))
+    out.close()
 
 
 def current(spark: SparkSession, path: str) -> str | None:
@@ -68,19 +110,37 @@ def current(spark: SparkSession, path: str) -> str | None:
 
 
 def publish(spark: SparkSession, graph: dict[str, DataFrame], path: str, force: bool = False) -> tuple[str, bool]:
-    """(version, written). All tables first, into a folder of their own, then one row that puts them in force; unchanged
-    content is left alone unless ``force``d, and what is in force is never written over."""
+    """(version, written). All tables first, into a folder of their own, then one pointer that puts them in force; unchanged
+    content is left alone unless ``force``d, and what is in force is never written over.
+
+    Of two publishers that began from the same version one gets the next number; the other is ``Overtaken`` and has
+    changed nothing, so it can look at what is in force and publish again.
+    """
+    before = _newest(spark, path)
     version = graph_version(graph).first()[0]
-    if version == current(spark, path) and not force:
+    if before and version == before.version and not force:
         return version, False
     folder = f"build-{uuid.uuid4().hex}"
     for name, df in graph.items():
         df.write.parquet(f"{path}/{folder}/{name}")
-    done = spark.range(1).select(F.lit(version).alias("version"), F.lit(folder).alias("folder"), F.current_timestamp().alias("built_at"))
-    done.coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    _point(spark, path, _after(spark, path, before), version, folder)
     return version, True
 
 
+def _after(spark: SparkSession, path: str, before: Pointer | None) -> int:
+    """The number behind ``before``, past any that a broken publisher has left empty for STALE seconds; one that is younger
+    may be about to be written."""
+    newest, number = _newest(spark, path), (before.number if before else 0) + 1
+    if newest and (before is None or newest.number > before.number):
+        raise Overtaken(f"version {newest.number} at {path} was published by someone else")
+    while _exists(spark, to := f"{path}/versions/{number:012d}"):
+        p = spark._jvm.org.apache.hadoop.fs.Path(to)
+        if time.time() - p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime() / 1000 < STALE:
+            raise Overtaken(f"version {number} at {path} is being published by someone else")
+        number += 1
+    return number
+
+
 def tables(spark: SparkSession, path: str, names: Iterable[str]) -> dict[str, DataFrame]:
     """Tables of the version in force, as they were published."""
     newest = _newest(spark, path)

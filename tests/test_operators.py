@@ -1,5 +1,6 @@
 """Operators that SQL does not reach, against small brute-force forms and hand-made cases."""
 
+import os
 import random
 from fractions import Fraction
 
@@ -111,6 +112,30 @@ def test_publish_and_cache(spark, tmp_path):
     assert publish.cached_enrich(texts("b", "ccc"), ["t"], cache, fn, "n long")[1] == 1
 
 
+def test_two_publishers(spark, tmp_path, monkeypatch):
+    """Of two that began from one version the second to finish is overtaken and changes nothing; readers see whole versions,
+    and a pointer that was left empty is passed over."""
+    path, of = str(tmp_path / "g"), lambda *ids: {"entities": spark.createDataFrame([(i, "Skill", i) for i in ids], "id string, type string, name string"), "relations": spark.createDataFrame([], "source string, type string, target string")}
+    first = publish.publish(spark, of("a"), path)[0]
+    looked = publish._newest(spark, path)
+    second = publish.publish(spark, of("a", "b"), path)[0]
+    seen = publish._newest
+    monkeypatch.setattr(publish, "_newest", lambda s, p, answers=[looked]: answers.pop() if answers else seen(s, p))  # began before the second
+    with pytest.raises(publish.Overtaken):
+        publish.publish(spark, of("c"), path)
+    monkeypatch.undo()
+    assert first != second == publish.current(spark, path) and {r.id for r in publish.load(spark, path)["entities"].collect()} == {"a", "b"}
+    with pytest.raises(publish.Overtaken):  # at the last moment: the number is taken
+        publish._point(spark, path, looked.number + 1, "x", "y")
+    (tmp_path / "g" / "versions" / "000000000003").touch()
+    assert publish.current(spark, path) == second
+    with pytest.raises(publish.Overtaken):  # it may be about to be written
+        publish.publish(spark, of("c"), path)
+    os.utime(tmp_path / "g" / "versions" / "000000000003", (0, 0))
+    third = publish.publish(spark, of("c"), path)[0]
+    assert publish.current(spark, path) == third and publish._newest(spark, path).number == 4
+
+
 def test_repo_files_and_notes(spark, tmp_path):
     for name, content in {"r/README.md": b"# Hi", "r/src/a.py": "é".encode(), "r/node_modules/x.js": b"x", "r/l.txt": b"\xe9", "r/b.bin": b"a\x00b", "r/big.txt": b"x" * 200_001}.items():
         (tmp_path / "repos" / name).parent.mkdir(parents=True, exist_ok=True)
