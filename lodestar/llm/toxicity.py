@@ -59,14 +59,15 @@ def _buckets(text: str | None) -> np.ndarray:
 
 
 class TextCNN:
-    def __init__(self, texts: list[np.ndarray], seed: int = SEED):
+    def __init__(self, texts: list[np.ndarray], seed: int = SEED, least_texts: int = LEAST_TEXTS):
         """Untrained; ``texts`` (buckets by word) decide which buckets have a row of the embedding table."""
+        self.seed = seed
         rng, seen = np.random.default_rng(seed), np.zeros(BUCKETS, np.int32)
         for t in texts:
             seen[np.unique([t & (BUCKETS - 1), t >> BITS])] += 1
         seen[0] = 0
         most = np.argsort(-seen, kind="stable")[: ROWS - 1]
-        self.kept = np.sort(most[seen[most] >= LEAST_TEXTS]).astype(np.int32)
+        self.kept = np.sort(most[seen[most] >= least_texts]).astype(np.int32)
         self.embed = rng.normal(0, START, (len(self.kept) + 1, EMBED)).astype(np.float32)
         self.taps = [rng.normal(0, (1 / (EMBED * w)) ** 0.5, (w, EMBED, FILTERS)).astype(np.float32) for w in WIDTHS]
         self.bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
@@ -122,7 +123,7 @@ class TextCNN:
 
     def train(self, texts: list[np.ndarray], labels: np.ndarray) -> None:
         texts = [self.rows(t) for t in texts]
-        rng, params = np.random.default_rng(SEED), [self.embed, *self.taps, *self.bias, self.out, self.base]
+        rng, params = np.random.default_rng(self.seed), [self.embed, *self.taps, *self.bias, self.out, self.base]
         first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
         for _ in range(max(EPOCHS, min(MOST_EPOCHS, -(-STEPS * BATCH // len(texts))))):  # a small sample is gone over more often
             order = rng.permutation(len(texts))
@@ -185,20 +186,37 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
     few = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & usable).select("doc_id", F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id")).limit(SAMPLE)
     joined = docs.select("doc_id", "text", "lang").join(F.broadcast(few), "doc_id")
     mean = joined.agg(F.avg(F.length("text"))).first()[0] or 0.0
-    rows = joined.orderBy(F.xxhash64("doc_id")).limit(min(SAMPLE, int(SAMPLE_LETTERS / max(mean, 1.0)))).collect()
-    y, texts = np.array([float(r.y) for r in rows]), [_buckets(r.text) for r in rows]
-    held = np.array([zlib.crc32(b"c%d" % r.doc_id) % 4 == 0 for r in rows], dtype=bool)
-    model = TextCNN([t for t, h in zip(texts, held) if not h])
+    rows = joined.orderBy(F.xxhash64("doc_id"), "doc_id", "y", F.xxhash64("text")).limit(min(SAMPLE, int(SAMPLE_LETTERS / max(mean, 1.0)))).collect()
+    return trained([(r.doc_id, _buckets(r.text), r.lang, float(r.y)) for r in rows])
+
+
+def trained(rows: list[tuple[int, np.ndarray, str | None, float]], seed: int = SEED, least_texts: int = LEAST_TEXTS) -> TextCNN:
+    """From (doc_id, buckets by word, language, label) in a fixed order; a quarter of the rows is for calibration."""
+    y, texts = np.array([r[3] for r in rows]), [r[1] for r in rows]
+    held = np.array([zlib.crc32(b"c%d" % r[0]) % 4 == 0 for r in rows], dtype=bool)
+    model = TextCNN([t for t, h in zip(texts, held) if not h], seed, least_texts)
     if len(set(y[~held].tolist())) < 2:
         rate = float(y.mean()) if len(y) else 0.0  # of all rows
         model.out[:], model.shift = 0, float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)))
         model.thresholds = {None: 0.5}
         return model
     model.train([t for t, h in zip(texts, held) if not h], y[~held])
-    model.calibrate([t for t, h in zip(texts, held) if h], y[held], [r.lang for r, h in zip(rows, held) if h])
+    model.calibrate([t for t, h in zip(texts, held) if h], y[held], [r[2] for r, h in zip(rows, held) if h])
     return model
 
 
+def crossed(rows: list[tuple[int, np.ndarray, str | None, float]], seed: int = SEED, least_texts: int = LEAST_TEXTS, folds: int = 3) -> tuple[int, int, int, float]:
+    """(positive rows, those scored 0.7 or more, other rows so scored, mean log loss), each row scored by a model that is
+    trained on the other folds of ``rows``. Settings are chosen by this, on training rows alone."""
+    fold = np.array([zlib.crc32(b"f%d" % r[0]) % folds for r in rows])
+    y, score = np.array([r[3] for r in rows]), np.zeros(len(rows))
+    for k in range(folds):
+        model = trained([r for r, f in zip(rows, fold) if f != k], seed, least_texts)
+        score[fold == k] = model.scores([r[1] for r, f in zip(rows, fold) if f == k])
+    p = np.clip(np.where(y == 1, score, 1 - score), 1e-6, 1)
+    return int(y.sum()), int(((score >= 0.7) & (y == 1)).sum()), int(((score >= 0.7) & (y == 0)).sum()), float(-np.log(p).mean())
+
+
 def score(docs: DataFrame, model: TextCNN) -> DataFrame:
     """``docs`` plus toxicity (0 to 1) and toxic (by the language's threshold)."""
     text_batches(docs.sparkSession)

