@@ -43,13 +43,18 @@ def slugify(text: Column, most: int = 80) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(F.substring(slug, 1, most), "-+$", ""), F.lit("")), F.lit("item"))
 
 
+#: Marks around a skill's name, notes behind it, and a version at its end.
+AROUND = r"""^[\s\-*•"'`]+|[\s\-*•"'`]+$"""
+NOTE = r"(?i)\s*\((optional|coming soon|planned|future)\)\s*$"
+VERSION = r"(?i)\s+v?\d+(\.\d+|\.x)*\+?$"
+
+
 def clean_skill_name(text: Column) -> Column:
-    bare = F.regexp_replace(text, r"""^[\s\-*•"'`]+|[\s\-*•"'`]+$""", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?i)\s*\((optional|coming soon|planned|future)\)\s*$", ""), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, AROUND, ""), NOTE, ""), r"\s+", " "))
 
 
 def strip_version(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?i)\s+v?\d+(\.\d+|\.x)*\+?$", "")
+    return F.regexp_replace(text, VERSION, "")
 
 
 def snippet(text: Column, most: int) -> Column:

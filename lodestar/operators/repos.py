@@ -12,6 +12,9 @@ from lodestar.operators.documents import chunk, mentions
 SKIP_DOCS = r"(?i)(LICEN[CS]E|CHANGELOG|CODE_OF_CONDUCT|CONTRIBUTING|SECURITY|SUPPORT|AUTHORS)"
 PLATFORM = r"^(android|ios|linux|macos|windows|web)/"
 FIRST_DOCS, MOST_FILES = 3, 6
+#: The lines of a repository's profile.
+HEADING, LANGUAGES, VERIFIED, TOPICS, ACTIVITY = "# Repository ", "Languages (by bytes of code): ", "Technologies verified from the code and manifests: ", "Topics: ", "Activity: "
+CREATED, PUSHED, FILES, EXAMPLES = "created ", "last push ", "Source files: ", " (e.g. "
 
 
 def first_docs(files: DataFrame, most: int = FIRST_DOCS) -> DataFrame:
@@ -55,12 +58,12 @@ def profile_text(repos: DataFrame, languages: DataFrame, technologies: DataFrame
     for df in (shares, techs, counts, first):
         r = r.join(df, "repo", "left")
     some = lambda c: F.nullif(F.col(c), F.lit(""))
-    dates = F.concat_ws(", ", F.concat(F.lit("created "), F.substring(some("created_at"), 1, 10)), F.concat(F.lit("last push "), F.substring(some("pushed_at"), 1, 10)))
+    dates = F.concat_ws(", ", F.concat(F.lit(CREATED), F.substring(some("created_at"), 1, 10)), F.concat(F.lit(PUSHED), F.substring(some("pushed_at"), 1, 10)))
     topics = F.when(F.size("topics") > 0, F.array_join("topics", ", "))
     lines = F.concat_ws(
-        "\n", F.concat(F.lit("# Repository "), "repo", F.lit("\n")), F.concat(some("description"), F.lit("\n")),
-        F.concat(F.lit("Languages (by bytes of code): "), "langs", F.lit(".")), F.concat(F.lit("Technologies verified from the code and manifests: "), "techs", F.lit(".")),
-        F.concat(F.lit("Topics: "), topics, F.lit(".")), F.when(dates != "", F.concat(F.lit("Activity: "), dates, F.lit("."))), F.concat(F.lit("Source files: "), F.col("n").cast("string"), F.lit(" (e.g. "), "some", F.lit(").")),
+        "\n", F.concat(F.lit(HEADING), "repo", F.lit("\n")), F.concat(some("description"), F.lit("\n")),
+        F.concat(F.lit(LANGUAGES), "langs", F.lit(".")), F.concat(F.lit(VERIFIED), "techs", F.lit(".")),
+        F.concat(F.lit(TOPICS), topics, F.lit(".")), F.when(dates != "", F.concat(F.lit(ACTIVITY), dates, F.lit("."))), F.concat(F.lit(FILES), F.col("n").cast("string"), F.lit(EXAMPLES), "some", F.lit(").")),
     )
     return r.select("repo", lines.alias("text"))
 

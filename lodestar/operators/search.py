@@ -141,8 +141,9 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 12, floor: floa
     at = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     data = data.select("id", "embedding", at("id", blocks).alias("block")).select("*", span(parts).alias("part"))
     asked = queries.where("embedding is not null").select("qid", F.col("embedding").alias("q"), at("qid", parts).alias("part")).select("*", span(blocks).alias("block"))
-    # a query's key can be a struct: it travels as a number and is joined back
-    keyed = asked.select(F.xxhash64("qid").alias("key"), "q", "part", "block")
+    # a query's key can be a struct: it travels as a number, written once, and is joined back
+    ids = cut(queries.select("qid").distinct().select("qid", F.monotonically_increasing_id().alias("key")))
+    keyed = asked.join(ids, "qid").select("key", "q", "part", "block")
     kind = vectors.schema["id"].dataType.simpleString()
 
     def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
@@ -155,7 +156,6 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 12, floor: floa
         return found if floor is None else found[(1 + found["score"]) / 2 >= floor]
 
     found = data.groupBy("block", "part").cogroup(keyed.groupBy("block", "part")).applyInPandas(best, f"key long, id {kind}, score double")
-    ids = queries.select(F.xxhash64("qid").alias("key"), "qid").distinct()
     return top(top(found, k, by="key").drop("rank").join(ids, "key").drop("key"), k)
 
 

@@ -15,7 +15,7 @@ from lodestar.sources.tables import entities, node, relations, spread, table
 from lodestar.streaming import limits, state
 
 #: A seed's share below which a node of ppr_k_iters waits, steps that its SQL has room for, and plain steps to the end.
-LEAST, PUSHES, PLAIN = 1e-6, 40, 130
+LEAST, PUSHES, PLAIN = 1e-5, 40, 130
 
 
 def _docs(spark, sf):
