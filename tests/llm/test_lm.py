@@ -155,3 +155,52 @@ def test_nothing_to_learn_from(spark):
 
     r = lm.scores(docs, F.lit(False), PATH).first()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and r.base_score == pytest.approx(0) and r.score < 0
+
+
+def trigrams(rows, held):
+    """log10 probability of each text from all training texts, by plain counts."""
+    tokenizer = Tokenizer.from_file(PATH)
+    v = tokenizer.get_vocab_size()
+    ids = [[2, 2, *(x for w in words(t) for x in tokenizer.encode(w, add_special_tokens=False).ids), 2] for _, t in rows]
+    learned = [(x[i - 2], x[i - 1], x[i]) for x, (doc, _) in zip(ids, rows) if not held(doc) for i in range(2, len(x))]
+    one, two, three = Counter(c for _, _, c in learned), Counter((b, c) for _, b, c in learned), Counter(learned)
+    after, after_kinds, both, both_kinds = Counter(), Counter(), Counter(), Counter()
+    for (b, _), n in two.items():
+        after[b] += n
+        after_kinds[b] += 1
+    for (a, b, _), n in three.items():
+        both[a, b] += n
+        both_kinds[a, b] += 1
+
+    def p(a, b, c):
+        q = (one[c] + 1) / (len(learned) + v)
+        q = (two[b, c] + after_kinds[b] * q) / (after[b] + after_kinds[b]) if after[b] else q
+        return (three[a, b, c] + both_kinds[a, b] * q) / (both[a, b] + both_kinds[a, b]) if both[a, b] else q
+
+    return [sum(math.log10(p(*x[i - 2 : i + 1])) for i in range(2, len(x))) for x in ids]
+
+
+def test_the_model_counts_every_training_text(spark, rows, scored, monkeypatch):
+    """Scores are those of counts over all training rows, however rows, blocks and shards lie."""
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    want = sorted((str(i), round(s, 3)) for (i, _), s in zip(rows, trigrams(rows, held)))
+    assert [held(i) for i, _ in rows].count(True) and len(want) == len(scored)
+    monkeypatch.setattr(lm, "BLOCK", 1)
+    monkeypatch.setattr(lm, "SHARD", 5000)
+    docs = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], SCHEMA)
+    again = [r.asDict() for r in lm.scores(docs.repartition(7), fold("doc_id", 10) != 0, PATH).collect()]
+    for found in (scored, again):
+        got = sorted((str(r["doc_id"]), round(r["score"], 3)) for r in found)
+        assert [x for x, _ in got] == [x for x, _ in want]
+        assert [x for _, x in got] == pytest.approx([x for _, x in want], rel=1e-5, abs=2e-3)
+
+
+def test_one_training_text_more_changes_the_scores(spark):
+    """A single text among many counts: nothing is learned from a share of them."""
+    from pyspark.sql import functions as F
+
+    texts = [(i, f"alpha beta gamma {'delta' if i % 2 else 'epsilon'}") for i in range(300)]
+    score = lambda rows: lm.scores(spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], SCHEMA), F.col("doc_id") != 999, PATH).where("doc_id = 999").first().score
+    asked = (999, "zeta gamma beta")
+    more = [(1000 + i, "zeta gamma beta") for i in range(1)]
+    assert score([*texts, *more, asked]) > score([*texts, asked]) + 0.5
