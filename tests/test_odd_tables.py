@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from lodestar.operators import graph, resolve
 from lodestar.plans import catalog
 
 
@@ -31,3 +32,27 @@ def test_histories_cut_at_blanks(spark, tmp_path):
     turns = [(1 + i, 1, "user", t) for t, i in cuts] + [(20, i, "user" if i % 2 else None, t) for i, t in enumerate(odd)] + [(30, None, "user", "late"), (30, 2, "system", "a"), (30, 1, "user", "b"), (31, 1, "user", None), (None, 1, "user", "n")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
     same(spark, tmp_path, "history_window")
+
+
+@pytest.mark.parametrize("turns", [20, 1 << 16])
+def test_a_long_chain_of_similar_skills_takes_few_rounds(spark, monkeypatch, turns):
+    """Each pair waits for the one before it; what is stored on the way does not grow with the chain."""
+    monkeypatch.setattr(resolve, "TURNS", turns, raising=False)
+    cuts = []
+    monkeypatch.setattr(resolve, "cut", lambda df: (cuts.append(1), graph.cut(df))[1])
+    n = 60
+    skills = spark.createDataFrame([(i, i % 7 == 0, [i % 5, None], i) for i in range(n)], "id long, known boolean, sources array<int>, seq long")
+    found = resolve.merge_similar(skills, spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long"))
+    held, to = {i: {i % 5, None} for i in range(n)}, {}
+    for a in range(n - 1):
+        if a not in to and not (a % 7 == 0 and (a + 1) % 7 == 0):
+            drop, keep = (a + 1, a) if a % 7 == 0 or len(held[a]) >= len(held[a + 1]) else (a, a + 1)
+            to[drop] = keep
+            held[keep] |= held[drop]
+    want = {}
+    for d, k in to.items():
+        while k in to:
+            k = to[k]
+        want[d] = k
+    assert {r.drop_id: r.keep_id for r in found.collect()} == want and len(want) > 20
+    assert len(cuts) < 60
