@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from lodestar.operators import graph, resolve
+from lodestar.operators import community, graph, resolve
 from lodestar.plans import catalog
 
 
@@ -56,3 +56,33 @@ def test_a_long_chain_of_similar_skills_takes_few_rounds(spark, monkeypatch, tur
         want[d] = k
     assert {r.drop_id: r.keep_id for r in found.collect()} == want and len(want) > 20
     assert len(cuts) < 60
+
+
+def left_by(spark, run):
+    """Folders that ``run`` leaves among what executors share."""
+    shared = graph.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(shared))
+    run()
+    return set(os.listdir(shared)) - before
+
+
+def ring(spark, n=12):
+    nodes = spark.createDataFrame([(f"n{i:02}", "Skill") for i in range(n)], "id string, type string")
+    return nodes, spark.createDataFrame([(f"n{i:02}", "USES", f"n{(i + k) % n:02}") for i in range(n) for k in (1, 2)], "source string, type string, target string")
+
+
+def test_steps_of_ranks_do_not_pile_up(spark):
+    """However many steps there are, what they store is deleted when the next has replaced it, and so are their edges."""
+    nodes, edges = ring(spark)
+    seeds = spark.createDataFrame([("q", "n00", 1.0)], "qid string, id string, weight double")
+    assert len(left_by(spark, lambda: graph.global_pagerank(graph.walk(edges, nodes), nodes).count())) <= 2
+    assert len(left_by(spark, lambda: graph.pagerank(graph.walk(edges, nodes), nodes, seeds, 0.5, 1e-3).count())) <= 3
+    assert not spark.catalog.listTables()
+
+
+def test_a_walk_in_proportion_ranks_as_probabilities(spark):
+    nodes, edges = ring(spark)
+    seeds = spark.createDataFrame([("q", "n00", 1.0), ("q", "n05", 3.0)], "qid string, id string, weight double")
+    for ranks in (lambda w: graph.global_pagerank(w, nodes, digits=9), lambda w: graph.pagerank(w, nodes, seeds, 0.5, 1e-6)):
+        a, b = ({r[-2]: r[-1] for r in ranks(w).collect()} for w in (graph.walk(edges, nodes), graph.transitions(edges, nodes)))
+        assert len(a) == 12 and a == pytest.approx(b, abs=1e-9)
