@@ -86,3 +86,10 @@ def test_a_walk_in_proportion_ranks_as_probabilities(spark):
     for ranks in (lambda w: graph.global_pagerank(w, nodes, digits=9), lambda w: graph.pagerank(w, nodes, seeds, 0.5, 1e-6)):
         a, b = ({r[-2]: r[-1] for r in ranks(w).collect()} for w in (graph.walk(edges, nodes), graph.transitions(edges, nodes)))
         assert len(a) == 12 and a == pytest.approx(b, abs=1e-9)
+
+
+def test_rounds_of_communities_do_not_pile_up(spark):
+    nodes, edges = ring(spark)
+    found = []
+    assert len(left_by(spark, lambda: found.extend(community.communities(edges, nodes, rounds=4).collect()))) <= 8
+    assert {r.id for r in found} == {f"n{i:02}" for i in range(12)}
