@@ -93,3 +93,10 @@ def test_rounds_of_communities_do_not_pile_up(spark):
     found = []
     assert len(left_by(spark, lambda: found.extend(community.communities(edges, nodes, rounds=4).collect()))) <= 8
     assert {r.id for r in found} == {f"n{i:02}" for i in range(12)}
+
+
+@pytest.mark.parametrize("name,most", [("community_cards", 12), ("node_relations", 1), ("profile_counts", 9)])
+def test_shuffles_are_not_there_all_at_once(spark, sf_dir, name, most):
+    """What is left to run when a query is returned: earlier shuffles are stored and gone by then."""
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= most, plan.count("Exchange hashpartitioning")
