@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from lodestar.operators import community, graph, resolve
+from lodestar.operators import community, graph, resolve, search
 from lodestar.plans import catalog
 
 
@@ -100,3 +100,18 @@ def test_shuffles_are_not_there_all_at_once(spark, sf_dir, name, most):
     """What is left to run when a query is returned: earlier shuffles are stored and gone by then."""
     plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= most, plan.count("Exchange hashpartitioning")
+
+
+def test_postings_are_shuffled_once(spark, monkeypatch):
+    """Terms in very many documents are few; they travel, and no other table meets the postings."""
+    plans = []
+    monkeypatch.setattr(search, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), graph.cut(df))[1])
+    docs = spark.createDataFrame([(i, f"common w{i % 5} x{i}") for i in range(40)], "id long, text string")
+    monkeypatch.setattr(search, "ORDERED", 16)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        found = search.text_index(docs)["postings"].collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(p.id for r in found if r.term == "common" for p in r.posted) == list(range(40)) and sum(r.term == "common" for r in found) >= 3
+    assert [p.count("Exchange hashpartitioning") for p in plans if "Window" in p] == [1]
